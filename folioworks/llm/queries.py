@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .fingerprints import op1_scaled_sketch
+from .language import op9_subword_language
 from .packing import op4_differencing_pack
 from .sharding import op5_prefix_sum_shards
 from .token_cache import op6_digest_cache_counts
@@ -10,10 +12,12 @@ from .wavelet import op3_wavelet_shards
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_scaled_sketch,
         op3_wavelet_shards,
         op4_differencing_pack,
         op5_prefix_sum_shards,
         op6_digest_cache_counts,
+        op9_subword_language,
     )
 }
 
