@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprints import op1_scaled_sketch
 from .language import op9_subword_language
 from .packing import op4_differencing_pack
+from .quality import op2_rule_ensemble
 from .sharding import op5_prefix_sum_shards
 from .token_cache import op6_digest_cache_counts
 from .wavelet import op3_wavelet_shards
@@ -13,6 +14,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_scaled_sketch,
+        op2_rule_ensemble,
         op3_wavelet_shards,
         op4_differencing_pack,
         op5_prefix_sum_shards,
