@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_prefix_join_contamination
 from .fingerprints import op1_scaled_sketch
 from .language import op9_subword_language
 from .packing import op4_differencing_pack
@@ -19,6 +20,7 @@ QUERIES = {
         op4_differencing_pack,
         op5_prefix_sum_shards,
         op6_digest_cache_counts,
+        op8_prefix_join_contamination,
         op9_subword_language,
     )
 }
