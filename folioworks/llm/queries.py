@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op8_prefix_join_contamination
 from .fingerprints import op1_scaled_sketch
+from .hmm import op10_hidden_markov
 from .language import op9_subword_language
 from .packing import op4_differencing_pack
 from .quality import op2_rule_ensemble
@@ -22,6 +23,7 @@ QUERIES = {
         op6_digest_cache_counts,
         op8_prefix_join_contamination,
         op9_subword_language,
+        op10_hidden_markov,
     )
 }
 
