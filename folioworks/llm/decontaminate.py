@@ -184,6 +184,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without any window of an item, with all columns. Rows are known by a hash of doc_id and text."""
+    key = F.xxhash64("doc_id", "text")
+    hit = contamination(docs.select(key.alias("doc_id"), "text"), benchmark).where("n_hit > 0")
+    # written out, so the join knows its size
+    gone = written(hit.select(F.col("doc_id").alias("gone_key")).distinct(), "gone")
+    marked = docs.withColumn("row_key", key)
+    return marked.join(gone, marked["row_key"] == gone["gone_key"], "left_anti").drop("row_key")
+
+
 def op8_prefix_join_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

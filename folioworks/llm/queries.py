@@ -6,6 +6,7 @@ from .decontaminate import op8_prefix_join_contamination
 from .fingerprints import op1_scaled_sketch
 from .hmm import op10_hidden_markov
 from .language import op9_subword_language
+from .neardup import op7_bagminhash_classes
 from .packing import op4_differencing_pack
 from .quality import op2_rule_ensemble
 from .sharding import op5_prefix_sum_shards
@@ -21,6 +22,7 @@ QUERIES = {
         op4_differencing_pack,
         op5_prefix_sum_shards,
         op6_digest_cache_counts,
+        op7_bagminhash_classes,
         op8_prefix_join_contamination,
         op9_subword_language,
         op10_hidden_markov,
