@@ -1,0 +1 @@
+"""Help archives, e-books and scraped page sets as Spark tables: encodings, navigation, content, links, reading state."""

@@ -82,6 +82,7 @@ def toc_nodes(nodes: DataFrame) -> DataFrame:
 
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(archive_id, node_id, ancestor_id, steps): each node with itself and all above it, by as many joins as the tree is deep."""
+    nodes = nodes.persist()  # read once a level
     up = nodes.select("archive_id", F.col("node_id").alias("child"), F.col("parent_id").alias("above"))
     level = nodes.select("archive_id", "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("steps"))
     out = level

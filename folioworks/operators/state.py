@@ -57,7 +57,7 @@ def current_path(events: DataFrame, spine: DataFrame) -> DataFrame:
     known = spine.select(F.lower("path").alias("path_key"), F.lit(True).alias("known")).distinct()
     seen = events.withColumn("path_key", F.lower("path")).join(known, "path_key", "left")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return seen.select("event_id", "user_id", F.last(F.when("known", F.col("path")), ignorenulls=True).over(order).alias("current_path"))
+    return seen.select("event_id", "user_id", F.last(F.when(F.col("known"), F.col("path")), ignorenulls=True).over(order).alias("current_path"))
 
 
 def reading_state(events: DataFrame) -> DataFrame:
