@@ -22,7 +22,9 @@ def _as_entries(files: DataFrame, root: str) -> DataFrame:
 
 
 def read_entries(spark: SparkSession, root: str) -> DataFrame:
-    """Entries of extracted archives: one folder under root is one archive. Unread columns are pruned."""
+    """Entries of extracted archives: one folder under root is one archive. Unread columns are pruned.
+
+    Spark's reader leaves out files without a byte."""
     return _as_entries(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root)
 
 
