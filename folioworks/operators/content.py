@@ -120,6 +120,13 @@ def classify_links(refs: DataFrame) -> DataFrame:
     return refs.withColumn("link_class", kind)
 
 
+def harden_links(html: Column) -> Column:
+    """html whose links out of the archive open apart and without access to the opener; script links stay."""
+    href = lambda tag: attribute(tag, "href")
+    outward = lambda tag: tag.rlike(r"(?i)^<\s*a\b") & is_external(href(tag)) & ~trimmed(href(tag)).rlike("(?i)^javascript:")
+    return in_tags(html, lambda tag: F.when(outward(tag), F.regexp_replace(tag, r"\s*/?>$", ' target="_blank" rel="noopener">')).otherwise(tag))
+
+
 def missing_references(refs: DataFrame, entries: DataFrame) -> DataFrame:
     """References whose target no entry of the archive is, without regard to case."""
     known = entries.select("archive_id", F.lower("path").alias("target_key")).distinct()

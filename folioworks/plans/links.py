@@ -50,7 +50,13 @@ def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classify_links(refs).groupBy("archive_id", "link_class").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query(f"WITH {LINKED_SQL}, f AS (SELECT archive_id, path || CASE WHEN entry_seq % 3 = 0 THEN '.png' ELSE '' END AS path, path AS p FROM e) SELECT archive_id, path || '.htm' AS path FROM e x WHERE NOT EXISTS (SELECT 1 FROM refs WHERE refs.archive_id = x.archive_id AND lower(refs.target_path) = lower(x.path) AND lower(refs.from_path) <> lower(x.path))")
+@query("""SELECT page_id, regexp_replace(html, '<a href="/([^"]*)">', '<a href="HTTP://h/\\1" target="_blank" rel="noopener">', 'g') AS html FROM pages""")
+def harden_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.replace("html", F.lit('<a href="/'), F.lit('<a href="HTTP://h/'))
+    return table(spark, sf_dir, "pages").select("page_id", C.harden_links(html).alias("html"))
+
+
+@query(f"WITH {LINKED_SQL} SELECT archive_id, path || '.htm' AS path FROM e x WHERE NOT EXISTS (SELECT 1 FROM refs WHERE refs.archive_id = x.archive_id AND lower(refs.target_path) = lower(x.path) AND lower(refs.from_path) <> lower(x.path))")
 def orphan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _refs(spark, sf_dir).withColumn("target_path", F.concat("target_path", F.lit(".htm"))).withColumn("from_path", F.concat("from_path", F.lit(".htm")))
     entries = pages(spark, sf_dir).select("archive_id", F.concat("path", F.lit(".htm")).alias("path"))

@@ -16,9 +16,8 @@ BINARY_FILE = T.StructType([
 
 
 def _as_entries(files: DataFrame, root: str) -> DataFrame:
-    inside = F.regexp_extract("path", f"{root.rstrip('/').split(':')[-1].lstrip('/')}/([^/]+)(/.*)$", 1)
-    rest = F.regexp_extract("path", f"{root.rstrip('/').split(':')[-1].lstrip('/')}/([^/]+)(/.*)$", 2)
-    return files.select(inside.alias("archive_id"), rest.alias("path"), "length", "content", "modificationTime")
+    below = rf"\Q{root.rstrip('/').split(':')[-1].lstrip('/')}\E/([^/]+)(/.*)$"
+    return files.select(F.regexp_extract("path", below, 1).alias("archive_id"), F.regexp_extract("path", below, 2).alias("path"), "length", "content", "modificationTime")
 
 
 def read_entries(spark: SparkSession, root: str) -> DataFrame:
