@@ -232,14 +232,15 @@ def test_op4_odd(odd, empty, plain_encoder):
 
 def test_differencing():
     assert PK.differenced([], 3) == []
-    assert sorted(sorted(p) for p in PK.differenced([8, 7, 6, 5, 4], 2)) == [[0, 3], [1, 2, 4]] or sum(8 for _ in ()) == 0
+    two = PK.differenced([8, 7, 6, 5, 4], 2)
+    assert sorted(sum([8, 7, 6, 5, 4][i] for i in p) for p in two) == [14, 16]
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 257, 400).tolist()
     parts = PK.equal_windows(sizes, 1024)
     sums = [sum(sizes[i] for i in p) for p in parts]
     assert sorted(i for p in parts for i in p) == list(range(400))
     assert max(sums) <= 1024 and len(parts) <= -(-sum(sizes) // 1024) + 2 and max(sums) - min(sums) < 40
-    assert PK.equal_windows([600, 600, 600], 1024) == [[0], [1], [2]] or len(PK.equal_windows([600, 600, 600], 1024)) == 3
+    assert len(PK.equal_windows([600, 600, 600], 1024)) == 3
 
 
 # 5
