@@ -75,10 +75,15 @@ def bag_minhash(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray
     return out.reshape(n, m).astype(np.float32)
 
 
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Shingles that two bags share, each as often as in the one that has it less."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return int(np.minimum(a[1][i], b[1][j]).sum())
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two bags."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
+    both = overlap(a, b)
     every = int(a[1].sum() + b[1].sum()) - both
     return both / every if every else 1.0
 
@@ -120,23 +125,27 @@ def signed(docs: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS, size
     return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(work, SIGNED)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' bags have at least that similarity."""
+def measured(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR, size: int = SHINGLE) -> DataFrame:
+    """pairs (a, b) of nodes of the classes (in_a, in_b) with `both`, the overlap of their texts' bags, and whether they are similar."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, 8_000_000, "text_b"):
-                good, name, last = [], None, None
+                both, similar, name, last = [], [], None, None
                 for b, ta, tb in zip(*(some.column(c).to_pylist() for c in ("b", "text_a", "text_b"))):
                     if last is None or b != name:
                         name, last = b, bag(words_of(tb), size)
-                    good.append(similarity(bag(words_of(ta), size), last) >= least)
-                yield pa.RecordBatch.from_arrays([some.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+                    first = bag(words_of(ta), size)
+                    n = overlap(first, last)
+                    both.append(n)
+                    similar.append(n >= least * (int(first[1].sum() + last[1].sum()) - n))
+                kept = ["a", "b", "in_a", "in_b"]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), pa.array(both, pa.int64()), pa.array(similar, pa.bool_())], [*kept, "both", "similar"])
 
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a binary, b binary")
+    joined = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b")
+    return joined.select("a", "b", "in_a", "in_b", "text_a", "text_b").mapInArrow(work, "a binary, b binary, in_a binary, in_b binary, both long, similar boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -158,6 +167,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels(node, label) after its classes are joined by the similar ones of measured pairs."""
+    links = found.where(F.col("similar") & (F.col("in_a") != F.col("in_b"))).select(F.col("in_a").alias("a"), F.col("in_b").alias("b"))
+    tops = components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return written(labels.join(tops.hint("merge"), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "classes")
+
+
 def shared_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(node, shared): how many of a text's shingles some other of these texts has as well."""
 
@@ -182,12 +198,13 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, band_ro
     first), is_kept marks the rows with the class's least (doc_id, print).
 
     A bucket of many nodes isn't turned into pairs. First every node is checked against the
-    least node of its buckets. Where a bucket then still has several classes, each node
-    gets a bound on its overlap with any other: the shingles that it shares at all. A pair
-    can only be similar if both bounds reach the overlap that its sizes need, so texts that
-    have too many words of their own drop out exactly. Each node is checked against the one
-    with the largest bound in its buckets; then each node outside a bucket's largest class
-    against every node of another class there, by the same bounds.
+    least node of its buckets. Where a bucket then still has several classes, its nodes get
+    bounds on their overlaps: `shared`, the shingles that a text has in common with any
+    other, and `both`, the exact overlap with the bucket's centre, the text with the largest
+    share of common shingles. Two texts overlap by no more than the lesser `both` and the
+    lesser remainder of `shared`, and that must reach what their sizes need. Only pairs
+    between classes that can reach it are checked, so texts with too many words of their
+    own drop out exactly, not by a cap.
 
     Null texts count as empty. Wordless texts are copies only of the same text. Equal rows
     share a class; an empty table gives no rows; other columns are ignored."""
@@ -203,17 +220,13 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, band_ro
     texts = source.join(wanted.hint("merge"), source["doc_id"].eqNullSafe(wanted["doc_id"]) & (source["print"] == wanted["print"]))
     texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts", compression="zstd")
 
-    star = buckets.where(F.col("node") != F.col("leader")).groupBy("node").agg(F.min("leader").alias("b")).select(F.col("node").alias("a"), "b")
-    links = written(verified(star, texts, least), "links")
-    labels = components(links)
+    star = buckets.where(F.col("node") != F.col("leader")).groupBy("node").agg(F.min("leader").alias("b"))
+    star = star.select(F.col("node").alias("a"), "b", F.col("node").alias("in_a"), F.col("b").alias("in_b"))
+    labels = relabelled(texts.select("node", F.col("node").alias("label")), measured(star, texts, least))
 
-    def labelled(labels: DataFrame) -> DataFrame:
-        """Rows of the buckets that have several classes, with their class."""
-        own = buckets.select("key", "node", "size").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed_ = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("key")
-        return own.join(mixed_.hint("merge"), "key", "left_semi")
-
-    open_ = written(labelled(labels), "open")
+    own = buckets.select("key", "node", "size").join(labels.hint("merge"), "node")
+    several = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("key")
+    open_ = written(own.join(several.hint("merge"), "key", "left_semi"), "open")
     if not open_.isEmpty():
         need = least / (1 + least)
         some = texts.join(open_.select("node").distinct().hint("merge"), "node", "left_semi")
@@ -221,22 +234,26 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, band_ro
         # a partner has at least `least` of the node's size, so less overlap than that rules a node out
         open_ = open_.join(bound.hint("merge"), "node").where(F.col("shared") >= least * F.col("size"))
         open_ = written(open_, "open")
-        can = (F.least("shared", "shared_b") >= need * (F.col("size") + F.col("size_b"))) & (F.col("label") != F.col("label_b"))
-        named = lambda df: df.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "label", "shared")])
-        centre = F.max_by(F.struct("node", "size", "label", "shared"), F.struct(F.col("shared") / F.col("size"), "node"))
-        leaders = open_.groupBy("key").agg(centre.alias("c")).select("key", "c.*")
-        pairs = open_.join(named(leaders).hint("merge"), "key").where(can).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-        links = written(links.union(verified(pairs, texts, least)), "links")
-        labels = components(links)
-        open_ = open_.drop("label").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = written(open_, "open")
+        centre = F.max_by(F.struct("node", "label"), F.struct(F.col("shared") / F.col("size"), "node"))
+        leaders = open_.groupBy("key").agg(centre.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("in_b"))
+        open_ = written(open_.join(leaders.hint("merge"), "key"), "open")
+        pairs = open_.where(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("label").alias("in_a"), "in_b").distinct()
+        spans = written(measured(pairs, texts, least), "spans")
+        labels = relabelled(labels, spans)
+        to_centre = spans.select(F.col("a").alias("node"), F.col("b").alias("centre"), "both")
+        open_ = open_.select("key", "node", "size", "shared", "centre").join(to_centre.hint("merge"), ["node", "centre"], "left").join(labels.hint("merge"), "node")
+        open_ = written(open_.withColumn("both", F.coalesce("both", "size")).withColumn("rest", F.greatest(F.lit(0), F.col("shared") - F.col("both"))), "open")
         sizes = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
         outside = open_.join(main.hint("merge"), "key").where(F.col("label") != F.col("main"))
-        pairs = outside.join(named(open_).hint("merge"), "key").where(can)
-        pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-        links = written(links.union(verified(pairs, texts, least)), "links")
-        labels = components(links)
+        other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "label", "both", "rest")])
+        most = F.least("both", "both_b") + F.least("rest", "rest_b")
+        can = (most >= need * (F.col("size") + F.col("size_b"))) & (F.col("label") != F.col("label_b"))
+        pairs = outside.join(other.hint("merge"), "key").where(can)
+        pairs = pairs.select(
+            F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), F.least("label", "label_b").alias("in_a"), F.greatest("label", "label_b").alias("in_b")
+        ).distinct()
+        labels = relabelled(labels, measured(pairs, texts, least))
 
     of_node = nodes.select("node", "least").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_class = of_node.groupBy("label").agg(F.min("least").alias("kept"))
