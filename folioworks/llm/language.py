@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, slices, table
+from .hashing import STEP, mixed
 
 BUCKETS, WIDTH = 1 << 15, 16
 #: At most about this many labelled texts of each language are learned from (chosen by a hash of the id).
@@ -20,14 +21,48 @@ TEXTS_PER_LANGUAGE = 500
 UNKNOWN = "und"
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word's letters as a whole and as 2- to 4-grams with its ends marked; none without letters."""
-    letters = "".join(c for c in word.lower() if c.isalpha())
-    if not letters:
-        return []
-    marked = f"<{letters}>"
-    grams = [marked] + [marked[i : i + k] for k in (2, 3, 4) for i in range(len(marked) - k + 1)]
-    return [xxhash.xxh32_intdigest(x) % BUCKETS for x in grams]
+NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters_of(word: str) -> str:
+    """The letters of a word in lower case."""
+    low = word.lower()
+    if not low.isalpha():
+        low = NO_LETTERS.sub("", low)
+        if low and not low.isalpha():
+            low = "".join(c for c in low if c.isalpha())
+    return low
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' subwords, word after word, and how many each word has.
+
+    A word's letters with its ends marked give all their 2- to 4-grams and one subword for
+    the whole; a word without letters has none."""
+    marked = [f"<{x}>" if x else "" for x in map(letters_of, words)]
+    sizes = np.array([len(x) for x in marked], np.int64)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    ends = np.cumsum(sizes)[owner]
+    place = np.arange(len(codes))
+    found, owners = [], []
+    with np.errstate(over="ignore"):
+        for k in (2, 3, 4):
+            h = np.full(max(0, len(codes) - k + 1), k, np.uint64)
+            for i in range(k):
+                h = mixed(h * STEP + codes[i : len(codes) - k + 1 + i])
+            fits = place[: len(h)] + k <= ends[: len(h)]
+            found.append(h[fits])
+            owners.append(owner[: len(h)][fits])
+        some = np.flatnonzero(sizes)
+        if len(some):
+            starts = (np.cumsum(sizes) - sizes)[some]
+            inside = (place - (ends - sizes[owner])).astype(np.uint64)
+            found.append(mixed(np.add.reduceat(mixed(codes + inside * STEP), starts)))
+            owners.append(some)
+    all_owners = np.concatenate(owners)
+    order = np.argsort(all_owners, kind="stable")
+    return (np.concatenate(found)[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(all_owners, minlength=len(words))
 
 
 @dataclass
@@ -81,19 +116,17 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate:
 
 def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, buckets, counts) of each text with a letter."""
-    known: dict[str, list[int]] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            counts: Counter[int] = Counter()
-            for word in (text or "").split():
-                if word not in known:
-                    known[word] = subwords(word)
-                counts.update(known[word])
-            if len(known) > 200_000:
-                known.clear()
-            if counts:
+            words = Counter((text or "").split())
+            if not words:
+                continue
+            buckets, sizes = subwords(list(words))
+            counts = np.bincount(buckets, np.repeat(list(words.values()), sizes), BUCKETS)
+            own = np.flatnonzero(counts)
+            if len(own):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([list(counts)], pa.list_(pa.int32())), pa.array([list(counts.values())], pa.list_(pa.int32()))],
+                    [pa.array([lang]), pa.array([own.tolist()], pa.list_(pa.int32())), pa.array([counts[own].astype(int).tolist()], pa.list_(pa.int32()))],
                     ["lang", "buckets", "counts"],
                 )
 
@@ -131,26 +164,25 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(model.languages)
         places: dict[str, int] = {}
-        rows = np.zeros((1024, n + 1))
-
-        def place(word: str) -> int:
-            nonlocal rows
-            at = len(places)
-            if at == len(rows):
-                rows = np.concatenate((rows, np.zeros_like(rows)))
-            grams = subwords(word)
-            rows[at, :n] = model.gains[grams].sum(axis=0) if grams else 0
-            rows[at, n] = len(grams)
-            places[word] = at
-            return at
-
+        rows = np.zeros((0, n + 1))
         for batch in batches:
             for some in slices(batch, 4_000_000):
+                split = [(x or "").split() for x in some.column("text").to_pylist()]
+                fresh = list(set().union(*split).difference(places))
+                if len(places) > 400_000:
+                    places.clear()
+                    rows, fresh = rows[:0], list(set().union(*split))
+                if fresh:
+                    buckets, sizes = subwords(fresh)
+                    more = np.zeros((len(fresh), n + 1))
+                    own = np.flatnonzero(sizes)
+                    if len(own):
+                        more[own, :n] = np.add.reduceat(model.gains[buckets], (np.cumsum(sizes) - sizes)[own], axis=0)
+                        more[own, n] = sizes[own]
+                    places.update(zip(fresh, range(len(rows), len(rows) + len(fresh))))
+                    rows = np.concatenate((rows, more))
                 names, scores, rejected = [], [], []
-                for text in some.column("text").to_pylist():
-                    words = (text or "").split()
-                    for word in set(words).difference(places):
-                        place(word)
+                for words in split:
                     total = rows[np.fromiter(map(places.__getitem__, words), np.int64, len(words))].sum(axis=0)
                     if total[n] and n:
                         p = softmax((total[:n] / total[n] + model.bias) / model.temperature)
@@ -161,8 +193,6 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
                         names.append(UNKNOWN)
                         scores.append(0.0)
                         rejected.append(True)
-                    if len(places) > 300_000:
-                        places.clear()
                 kept = [some.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
 
