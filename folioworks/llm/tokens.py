@@ -9,6 +9,7 @@ go to the library whole."""
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -16,6 +17,9 @@ BYTE_BPE = "byte_bpe_50k.json"
 #: Pieces in each of the two generations of the memo; about 200 bytes a piece.
 MEMO_PIECES = 300_000
 
+#: Letters up to an ASCII character that is none: a border for the library.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\x00-\x7f])")
+
 _encoders: dict[tuple[str, int], "PieceEncoder"] = {}
 
 
@@ -42,39 +46,71 @@ class PieceEncoder:
         self.memo_pieces = memo_pieces
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
+        self.rests: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Put each piece (a space and the piece, that is) into the memo; None where it can't stand alone."""
-        good = []
-        for x in pieces:
-            if not x or x[-1].isspace():
-                self.young[x] = None
-            else:
-                good.append(x)
-        for first in range(0, len(good), 2000):
-            some = good[first : first + 2000]
-            ids = np.asarray(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+    def batch(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each after a space, encoded side by side and cut by their bytes."""
+        out: list[bytes] = []
+        for first in range(0, len(pieces), 2000):
+            some = pieces[first : first + 2000]
+            joined = " " + " ".join(some)
+            ids = np.asarray(self.library.encode(joined, add_special_tokens=False).ids, "<u4")
             ends = np.cumsum(self.widths[ids])
-            due = np.cumsum([len(x.encode()) + 1 for x in some])
+            data = np.frombuffer(joined.encode(), np.uint8)
+            due = np.append(np.flatnonzero(data == 32)[1:], len(data))
             cuts = np.searchsorted(ends, due)
-            if len(ids) and ends[-1] == due[-1] and np.array_equal(ends[cuts], due):
+            if len(ids) and len(due) == len(some) and ends[-1] == due[-1] and np.array_equal(ends[cuts], due):
                 raw, begin = ids.tobytes(), 0
-                for x, cut in zip(some, (4 * (cuts + 1)).tolist()):
-                    self.young[x] = raw[begin:cut]
+                for cut in (4 * (cuts + 1)).tolist():
+                    out.append(raw[begin:cut])
                     begin = cut
             else:
-                for x in some:
-                    self.young[x] = self.whole(" " + x)
+                out += [self.whole(f" {x}") for x in some]
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        """Put each piece (a space and the piece, that is) into the memo; None where it can't stand alone.
+
+        A piece of letters and then others is split at that border as the library does it,
+        except where an apostrophe may decide; the letters are a piece of their own."""
+        memo, old = self.young, self.old
+        wanted = {x for x in pieces if x.isalpha()}
+        split: list[tuple[str, str, str]] = []
+        for x in pieces:
+            if x in wanted:
+                continue
+            if not x or x[-1].isspace():
+                memo[x] = None
+                continue
+            match = LETTERS.match(x) if "'" not in x else None
+            if match:
+                front = match[0]
+                split.append((x, front, x[match.end() :]))
+                if front not in memo:
+                    if front in old:
+                        memo[front] = old[front]
+                    else:
+                        wanted.add(front)
+            else:
+                wanted.add(x)
+        if len(self.rests) > self.memo_pieces:
+            self.rests = {}
+        rests = self.rests
+        order = list(wanted)
+        memo.update(zip(order, self.batch(order)))
+        for x, front, rest in split:
+            ids = rests.get(rest)
+            if ids is None:
+                ids = rests[rest] = self.whole(rest)
+            memo[x] = memo[front] + ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [x.split(" ") for x in texts]
-        wanted: set[str] = set()
-        for pieces in split:
-            wanted.update(pieces[1:])
+        wanted = set().union(*split)
         if len(self.young) > self.memo_pieces:
             self.old, self.young = self.young, {}
         fresh = []

@@ -45,8 +45,9 @@ class WaveletMatrix:
             counts = np.bitwise_count(padded.reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.uint32)
             planes.append(padded)
             ranks.append(np.concatenate(([0], np.cumsum(counts, dtype=np.uint32))).astype("<u4"))
-            a = np.concatenate((a[~one], a[one]))
-            zeros.append(len(a) - int(ranks[-1][-1]))
+            low, high = a.take(np.flatnonzero(~one)), a.take(np.flatnonzero(one))
+            zeros.append(len(low))
+            a = np.concatenate((low, high))
         return cls(len(tokens), planes, ranks, zeros)
 
     @classmethod
@@ -60,8 +61,8 @@ class WaveletMatrix:
         for k, (plane, zero) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             one = np.unpackbits(plane, count=self.n).view(bool) if self.n else np.zeros(0, bool)
             up = np.empty_like(a)
-            up[~one] = a[:zero]
-            up[one] = a[zero:] | a.dtype.type(1 << k)
+            up[np.flatnonzero(~one)] = a[:zero]
+            up[np.flatnonzero(one)] = a[zero:] | a.dtype.type(1 << k)
             a = up
         return a
 
