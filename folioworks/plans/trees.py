@@ -16,11 +16,12 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.toc_nodes(_nodes(spark, sf_dir)).withColumn("pos", F.col("node_id"))
+    """Contents that the reading order, the labels and the reports share, so they are parsed once."""
+    return N.toc_nodes(_nodes(spark, sf_dir)).withColumn("pos", F.col("node_id")).persist()
 
 
-def _spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.reading_order(_toc(spark, sf_dir), docs(spark, sf_dir))
+def _spine(spark: SparkSession, sf_dir: str, toc: DataFrame) -> DataFrame:
+    return N.reading_order(toc, docs(spark, sf_dir))
 
 
 @query(f"WITH {TOC_SQL} SELECT archive_id, node_id, parent_id, depth + 1 AS depth, name, substr(local, 2) AS local FROM nodes")
@@ -118,12 +119,13 @@ def nav_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SPINE_SQL} SELECT archive_id, position, path FROM spine")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spine(spark, sf_dir)
+    return _spine(spark, sf_dir, _toc(spark, sf_dir))
 
 
 @query(f"WITH {SPINE_SQL} SELECT archive_id, position, path, CASE WHEN CAST(regexp_extract(path, '([0-9]+)', 1) AS INTEGER) % 4 = 3 THEN substr(path, 7) ELSE regexp_extract(path, '(p[0-9]+)', 1) END AS label FROM spine")
 def toc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.toc_labels(_spine(spark, sf_dir), _toc(spark, sf_dir))
+    toc = _toc(spark, sf_dir)
+    return N.toc_labels(_spine(spark, sf_dir, toc), toc)
 
 
 @query(f"""WITH {SPINE_SQL}, h AS (SELECT archive_id, bool_or(entry_seq % 3 = 0) AS d, bool_or(entry_seq % 3 = 1) AS i FROM e GROUP BY archive_id),
@@ -133,7 +135,7 @@ def toc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = pages(spark, sf_dir)
     extra = e.where("entry_seq % 3 < 2").select("archive_id", "entry_seq", F.when(F.col("entry_seq") % 3 == 0, "/default.htm").otherwise("/INDEX.htm").alias("path"))
-    return N.promote_entry(_spine(spark, sf_dir), extra)
+    return N.promote_entry(_spine(spark, sf_dir, _toc(spark, sf_dir)), extra)
 
 
 @query(f"WITH {TOC_SQL} SELECT archive_id, node_id, name FROM nodes n WHERE contains(name, '7') OR EXISTS (SELECT 1 FROM nodes c WHERE c.archive_id = n.archive_id AND c.parent_id = n.node_id AND contains(c.name, '7'))")
@@ -156,7 +158,8 @@ def index_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT archive_id, position, path, lag(path) OVER w AS prev_path, lag(label) OVER w AS prev_label, lead(path) OVER w AS next_path, lead(label) OVER w AS next_label,
  CAST(floor((position + 1) * 100 / count(*) OVER (PARTITION BY archive_id) + 0.5) AS INTEGER) AS percent, count(*) OVER (PARTITION BY archive_id) AS chapters FROM l WINDOW w AS (PARTITION BY archive_id ORDER BY position)""")
 def spine_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.spine_nav(N.toc_labels(_spine(spark, sf_dir), _toc(spark, sf_dir)))
+    toc = _toc(spark, sf_dir)
+    return N.spine_nav(N.toc_labels(_spine(spark, sf_dir, toc), toc))
 
 
 @query(f"""WITH {SPINE_SQL}, s AS (SELECT archive_id, count(*) AS entry_count, CAST(sum(length) AS BIGINT) AS file_size FROM b GROUP BY archive_id),
