@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices, table, tokenizer_path
+from .common import scratch_path, slices, table, tokenizer_path, written
 from .tokens import BYTE_BPE, encoder
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -39,9 +39,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = BYTE_BPE, li
     file. The tokenizer has no normaliser, so the only normalisation that keeps its counts
     is null to empty. Keys that the cache lacks are made distinct (each map task first sends
     one row a key, so a group of copies meets as a few rows), encoded and appended to the
-    cache; all rows then join the cache on the key. The cache is a table that was written
-    out, so its size is known to the join; a hot key's rows are 40 bytes each and are split
-    by the adaptive join. Null and empty texts count 0 tokens; equal rows stay; an empty
+    cache; all rows then join the counts of their keys. Both sides of that join are tables
+    that were written out, so the adaptive join can split a hot key's rows, of 50 bytes each. Null and empty texts count 0 tokens; equal rows stay; an empty
     table gives no rows and appends none; other columns are ignored."""
     spark = docs.sparkSession
     path = tokenizer_path(tokenizer)
@@ -60,10 +59,10 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = BYTE_BPE, li
 
     fresh = misses.mapInArrow(encode, "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
-    return rows.join(read_cache(spark, cache_path, version), "digest", "left").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    rows = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest")), "digests")
+    own = rows.select("digest").distinct()
+    known = written(read_cache(spark, cache_path, version).join(own.hint("merge"), "digest", "left_semi"), "counts")
+    return rows.join(known.hint("merge"), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op6_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
