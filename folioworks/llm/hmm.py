@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ STATES, ROUNDS = 6, 5
 FREQUENT, ENDINGS = 511, 512
 CLASSES = 1 + FREQUENT + ENDINGS
 #: Bytes of text whose words share one local vocabulary.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
 #: Tokens of a training segment and of a scoring chunk; steps between rescalings.
 SEGMENT, RESCALE = 128, 8
 BATCH = 2048
@@ -52,7 +53,7 @@ class Places(dict):
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(doc_id, text, held_out) as blocks: one row with its texts as numbers of the block's
-    own words, and these words with their counts in its training texts. No shuffle."""
+    own words (compressed), and these words with their counts in its training texts. No shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -65,7 +66,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 if not out:
                     np.add.at(counts, x, 1)
             row = {
-                "block": number, "doc_ids": names, "held": held, "lengths": [len(x) for x in ids], "ids": b"".join(x.tobytes() for x in ids),
+                "block": number, "doc_ids": names, "held": held, "lengths": [len(x) for x in ids], "ids": zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in ids)),
                 "words": list(places), "counts": counts.tolist(),
             }
             places, ids, names, held, size, number = Places(), [], [], [], 0, number + 1
@@ -137,7 +138,7 @@ def classed_texts(cut: DataFrame, vocabulary: DataFrame, counts: DataFrame, tota
         end_base = float(np.log10((totals.train_texts + 0.5) / whole))
         rows = []
         for row in block.to_pylist():
-            ids = np.frombuffer(row["ids"], "<i4")
+            ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), "<i4")
             begin = 0
             for doc_id, out, n in zip(row["doc_ids"], row["held"], row["lengths"]):
                 own = ids[begin : begin + n]
