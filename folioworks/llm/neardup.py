@@ -149,22 +149,27 @@ def measured(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR, size: i
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of each node that has a link: the least node it is connected to.
-
-    Labels go to the least of the neighbours' and then to their label's own label, until
-    nothing changes; each round is written out."""
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        moved = labels.join(near.withColumnRenamed("a", "node").hint("merge"), "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "m").alias("label")
-        )
-        ends = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = written(moved.join(ends.hint("merge"), "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        labels = after.select("node", "label")
-        if after.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+    """(node, label) of each node that has a link; nodes that links connect have the same label.
+
+    Every node goes to the least of itself and its neighbours; what links are left between
+    these is smaller by a factor, as nodes are random digests, and is contracted again until
+    none is. Each round's table is written out, and a hub's rows can be split."""
+    edges = written(links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+    first = True
+    while not edges.isEmpty():
+        ends = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = written(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "step")
+        of_a = step.select(F.col("node").alias("a"), F.col("label").alias("to_a")).hint("merge")
+        of_b = step.select(F.col("node").alias("b"), F.col("label").alias("to_b")).hint("merge")
+        left = edges.join(of_a, "a").join(of_b, "b").where(F.col("to_a") != F.col("to_b"))
+        edges = written(left.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        if first:
+            labels, first = step, False
+        else:
+            on = step.select(F.col("node").alias("label"), F.col("label").alias("further")).hint("merge")
+            labels = written(labels.join(on, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+    return labels
 
 
 def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
