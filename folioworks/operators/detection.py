@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.encodings import locale_charset, sniff
+from ..functions.encodings import decode_text, lenient_charsets, locale_charset, sniff, utf8_class
 from ..functions.paths import is_content, is_html, is_text, natural_key
 
 SAMPLE = 65536
@@ -32,3 +32,22 @@ def book_encodings(entries: DataFrame, archives: DataFrame) -> DataFrame:
         F.coalesce("s.encoding", "by_locale", F.lit("utf-8")).alias("encoding"),
         F.when(F.col("s").isNotNull(), F.col("s.source")).when(F.col("by_locale").isNotNull(), "lcid").otherwise("default").alias("source"),
     )
+
+
+def encoding_report(entries: DataFrame, by: tuple[str, ...] = ("encoding", "source", "class")) -> DataFrame:
+    """(archive_id, *by, documents, replaced) of entries(archive_id, content), and a last total with a null archive_id.
+
+    encoding and source are what sniff() finds, null where nothing tells; class is the UTF-8 shape.
+    The total has a value where all documents share it. replaced is the share of replacement
+    characters in the decoded texts, null where these are empty."""
+    with lenient_charsets(entries.sparkSession):
+        found = entries.select("archive_id", "content", sniff(F.col("content")).alias("s"), utf8_class(F.col("content")).alias("class"))
+        texts = found.select("archive_id", "s.encoding", "s.source", "class", decode_text(F.col("content"), F.col("s.encoding")).alias("text"))
+        texts.schema  # analysed while the settings hold
+    left = F.char_length(F.replace("text", F.lit("\ufffd"), F.lit("")))
+    rows = texts.select("archive_id", *by, *[F.col(c).alias(f"own_{c}") for c in by], F.char_length("text").alias("chars"), (F.char_length("text") - left).alias("marks"))
+    n = F.count(F.lit(1))
+    shared = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == n), F.min(c))
+    share = F.try_divide(F.sum("marks"), F.sum("chars"))
+    sums = rows.rollup("archive_id", *by).agg(n.alias("documents"), share.alias("replaced"), F.grouping_id().alias("g"), *[shared(f"own_{c}").alias(f"all_{c}") for c in by])
+    return sums.where(F.col("g").isin(0, 2 ** (len(by) + 1) - 1)).select("archive_id", *[F.col(f"all_{c}").alias(c) for c in by], "documents", "replaced")

@@ -253,10 +253,26 @@ def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAGES_SQL} SELECT archive_id, 'utf-8' AS encoding, 'meta' AS source, count(*) AS documents FROM e GROUP BY archive_id UNION ALL SELECT NULL, 'utf-8', 'meta', count(*) FROM e")
 def encoding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages(spark, sf_dir).select("archive_id", enc.sniff(F.col("content")).alias("s")).select("archive_id", "s.encoding", "s.source")
-    return found.rollup("archive_id", "encoding", "source").agg(F.count(F.lit(1)).alias("documents"), F.grouping_id().alias("g")).where("g in (0, 7)").select(
-        "archive_id", F.lit("utf-8").alias("encoding"), F.lit("meta").alias("source"), "documents"
-    )
+    from ..operators.detection import encoding_report as report
+
+    return report(pages(spark, sf_dir), ("encoding", "source")).drop("replaced")
+
+
+_SHAPED = r"""d AS (SELECT archive_id, html, regexp_extract(html, '(?i)charset\s*=\s*["'']?\s*(\w[\w.:-]*)', 1) AS m FROM e),
+ k AS (SELECT archive_id, CASE WHEN lower(m) IN ('utf-8', 'utf8', 'unicode') THEN 'utf-8' WHEN m <> '' THEN lower(m) WHEN octet_length(encode(html)) > length(html) THEN 'utf-8' END AS encoding,
+ CASE WHEN m <> '' THEN 'meta' WHEN octet_length(encode(html)) > length(html) THEN 'heuristic' END AS source,
+ CASE WHEN octet_length(encode(html)) > length(html) THEN 'multibyte' ELSE 'ascii' END AS class, length(html) AS chars, length(html) - length(replace(html, chr(65533), '')) AS marks FROM d)"""
+
+
+def _shared(c: str) -> str:
+    return f"CASE WHEN min({c}) = max({c}) AND count({c}) = count(*) THEN min({c}) END AS {c}"
+
+
+@query(f"WITH {PAGES_SQL}, {_SHAPED} SELECT archive_id, encoding, source, class, count(*) AS documents, sum(marks) / sum(chars) AS replaced FROM k GROUP BY ALL UNION ALL SELECT NULL, {_shared('encoding')}, {_shared('source')}, {_shared('class')}, count(*), sum(marks) / sum(chars) FROM k")
+def encoding_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.detection import encoding_report as report
+
+    return report(pages(spark, sf_dir))
 
 
 _BOOKENC = f"""WITH {PAGES_SQL}, c AS (SELECT archive_id, length(archive_id) % 4 AS r, count(*) AS n FROM e GROUP BY archive_id)
