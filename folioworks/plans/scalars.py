@@ -208,7 +208,7 @@ _CLASS = "CASE WHEN doc_id % 5 = 0 THEN 'invalid' WHEN octet_length(encode(subst
 
 
 def _bytes(text, seq):
-    content = F.encode(F.substring(text, 1, 12000), "UTF-8")
+    content = F.encode(text, "UTF-8")
     return F.when(seq % 5 == 0, F.concat(content, F.lit(bytearray(b"\xff\xfe x")))).when(seq % 5 == 1, F.concat(content, F.lit(bytearray(b"\xe4\xb8")))).otherwise(content)
 
 

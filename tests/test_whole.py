@@ -45,3 +45,45 @@ def test_encoding_classes(run):
         ("b", "utf-8", "heuristic", "multibyte"): (2, pytest.approx(1 / marked)), ("b", None, None, "ascii"): (1, 0.0),
         (None, None, None, None): (6, pytest.approx(1 / (sum(len(p[2]) for p in PAGES) - 1))),
     }
+
+
+def shape(content):
+    """What a reader of the first 64 KiB from left to right says."""
+    n, i, several = min(len(content), 65536), 0, False
+    while i < n:
+        b = content[i]
+        size = 1 if b < 0x80 else 2 if b & 0xE0 == 0xC0 else 3 if b & 0xF0 == 0xE0 else 4 if b & 0xF8 == 0xF0 else 0
+        if not size:
+            return "invalid"
+        if size > 1:
+            if i + size > n:
+                break
+            if any(content[i + k] & 0xC0 != 0x80 for k in range(1, size)):
+                return "invalid"
+            several = True
+        i += size
+    return "multibyte" if several else "ascii"
+
+
+LONG = [(i, text) for i, text in enumerate(t for text in ("a" * 13000 + "é", "a" * 65535 + "é", "a" * 65534 + "é", "a" * 65534 + "章章", "a" * 70000, "章" * 30000, "x") for t in [text] * 60)]
+
+
+def planted(seq, text):
+    return text.encode() + (b"\xff\xfe x" if seq % 5 == 0 else b"\xe4\xb8" if seq % 5 == 1 else b"")
+
+
+@pytest.mark.parametrize("name", ["utf8_class", "sniff_encoding", "effective_encoding"])
+def test_long_documents(run, name):
+    want = {}
+    for seq, text in LONG:
+        content = planted(seq, text)
+        if name == "utf8_class":
+            want[seq] = (shape(content),)
+        elif name == "sniff_encoding":
+            third = shape(content) == "multibyte"
+            want[seq] = [("big5", "meta"), ("utf-8", "bom"), ("utf-8", "heuristic") if third else (None, None)][seq % 3]
+        else:
+            default = "gbk" if seq % 4 == 1 else "utf-8"
+            want[seq] = ("euc-kr" if seq % 4 == 0 else "utf-8" if shape(content) == "multibyte" else default,)
+    got = run(name, "documents", LONG, "doc_id long, text string")
+    assert {r[0]: r[1:] for r in got} == want
