@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import escaped
 from ..operators import content as C
 from .derived import PAGES_SQL, pages
 from .registry import query, table
@@ -218,8 +219,8 @@ def dangling_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, length(t) AS visible, length(t) < 50 AS too_short, regexp_matches(t, 'document\s*\.\s*write(ln)?\s*\(') AS script_left, doc_id % 2 = 0 AS has_cjk FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) || CASE WHEN doc_id % 2 = 0 THEN ' 章' ELSE '' END AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '&'))")
 def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null and not contains(text, '<') and not contains(text, '&')")
-    html = F.concat(F.lit("<p>"), "text", F.when(F.col("doc_id") % 2 == 0, "</p><b>章</b>").otherwise("</p>"))
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    html = F.concat(F.lit("<p>"), escaped(F.col("text")), F.when(F.col("doc_id") % 2 == 0, "</p><b>章</b>").otherwise("</p>"))
     made = d.select(F.lit("a").alias("archive_id"), F.col("doc_id").cast("string").alias("path"), html.alias("html"))
     return C.extraction_quality(made).select(F.col("path").cast("long").alias("doc_id"), "visible", "too_short", "script_left", "has_cjk")
 

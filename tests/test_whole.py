@@ -1,7 +1,7 @@
 """Whole jobs: queries over small tables of their own, against plain statements of their rules."""
 
 import pytest
-from pyspark.sql import functions as F
+from test_queries import SF, duck, settled  # noqa: F401
 
 from folioworks.plans import catalog
 
@@ -87,3 +87,36 @@ def test_long_documents(run, name):
             want[seq] = ("euc-kr" if seq % 4 == 0 else "utf-8" if shape(content) == "multibyte" else default,)
     got = run(name, "documents", LONG, "doc_id long, text string")
     assert {r[0]: r[1:] for r in got} == want
+
+
+def test_flat_toc(run):
+    script = "document.write('x')"
+    docs = [(i, "src0", "x") for i in range(3, 17)] + [(i, "few", "x") for i in range(20, 29)] + [(i, "ten", None) for i in range(30, 40)]
+    docs += [(i, "first", script if i == 98 else "x") for i in (98, 99, 100)] + [(i, "later", script if i == 201 else "x") for i in (200, 201)]
+    want = {(s, i, str(d), f"/txt/{d}.txt") for s, ids in (("src0", range(3, 17)), ("ten", range(30, 40)), ("first", (98, 99, 100))) for i, d in enumerate(ids)}
+    assert set(run("flat_toc", "documents", docs, "doc_id long, source string, text string")) == want
+
+
+def test_extraction_quality(run):
+    texts = ["a < b & c > d", "&lt; &amp; &#65; x", "<b>bold</b>", "document.write(1 && 2)", "plain  text", "y" * 60 + " <", "", None, " & "]
+    docs = list(enumerate(texts))
+    want = []
+    for i, t in docs:
+        if t is not None:
+            shown = " ".join(t.split()) + (" 章" if i % 2 == 0 and t.strip() else "章" if i % 2 == 0 else "")
+            want.append((i, len(shown), len(shown) < 50, "document.write(" in shown, i % 2 == 0))
+    assert sorted(run("extraction_quality", "documents", docs, "doc_id long, text string")) == want
+
+
+#: Where the registered SQL still has a cut: the cut, and what stands there in SQL of the whole job.
+CUTS = {
+    "flat_toc": (" WHERE source <> 'src0' OR doc_id < 5", ""),
+    "extraction_quality": (" AND NOT contains(text, '<') AND NOT contains(text, '&')", ""),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_without_cut(spark, duck, name):
+    sql = catalog.ORACLE_SQL[name]
+    got = catalog.QUERIES[name](spark, SF).toPandas()
+    assert settled(got) == settled(duck.sql(sql.replace(*CUTS[name])).df())
