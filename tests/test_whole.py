@@ -1,5 +1,7 @@
 """Whole jobs: queries over small tables of their own, against plain statements of their rules."""
 
+from hashlib import sha256
+
 import pytest
 from test_queries import SF, duck, settled  # noqa: F401
 
@@ -120,3 +122,19 @@ def test_without_cut(spark, duck, name):
     sql = catalog.ORACLE_SQL[name]
     got = catalog.QUERIES[name](spark, SF).toPandas()
     assert settled(got) == settled(duck.sql(sql.replace(*CUTS[name])).df())
+
+
+def test_long_fingerprints(run):
+    sample = 256 * 1024
+    base = "章" * 100_000 + "é" * 300_000
+    rows = [(0, base), (1, base), (2, base[:90_000] + "字" + base[90_001:]), (3, base[:-1] + "è"), (4, "a" * 786_432), (5, "a" * 786_433), (6, "a" * 786_432 + "b"), (7, "short"), (8, None)]
+    want = {}
+    for i, text in rows:
+        if text is not None:
+            b = text.encode()
+            n = len(b)
+            parts = b if n <= 3 * sample else b[:sample] + b[n // 2 : n // 2 + sample] + b[-sample:]
+            want[i] = sha256(b"size=%d;" % n + parts).hexdigest()
+    assert want[0] == want[2] != want[3]
+    assert dict(run("content_fingerprint", "documents", rows, "doc_id long, text string")) == want
+    assert run("duplicate_content", "documents", rows, "doc_id long, text string") == [(want[0], 3, 0)]
