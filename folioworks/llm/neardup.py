@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -148,6 +148,11 @@ def measured(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR, size: i
     return joined.select("a", "b", "in_a", "in_b", "text_a", "text_b").mapInArrow(work, "a binary, b binary, in_a binary, in_b binary, both long, similar boolean")
 
 
+def reaches(most: Column, sizes: Column, least: float) -> Column:
+    """Whether texts of these sizes together can be similar with an overlap of at most `most`; rounds as measured() does."""
+    return most >= F.lit(least) * (sizes - most)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of each node that has a link; nodes that links connect have the same label.
 
@@ -233,7 +238,6 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, band_ro
     several = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("key")
     open_ = written(own.join(several.hint("merge"), "key", "left_semi"), "open")
     if not open_.isEmpty():
-        need = least / (1 + least)
         some = texts.join(open_.select("node").distinct().hint("merge"), "node", "left_semi")
         bound = written(shared_shingles(some), "bounds")
         # a partner has at least `least` of the node's size, so less overlap than that rules a node out
@@ -253,7 +257,7 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, band_ro
         outside = open_.join(main.hint("merge"), "key").where(F.col("label") != F.col("main"))
         other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "label", "both", "rest")])
         most = F.least("both", "both_b") + F.least("rest", "rest_b")
-        can = (most >= need * (F.col("size") + F.col("size_b"))) & (F.col("label") != F.col("label_b"))
+        can = reaches(most, F.col("size") + F.col("size_b"), least) & (F.col("label") != F.col("label_b"))
         pairs = outside.join(other.hint("merge"), "key").where(can)
         pairs = pairs.select(
             F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), F.least("label", "label_b").alias("in_a"), F.greatest("label", "label_b").alias("in_b")

@@ -3,8 +3,10 @@
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, duck, settled  # noqa: F401
 
+from folioworks.llm.neardup import SIMILAR, reaches
 from folioworks.plans import catalog
 
 
@@ -138,3 +140,11 @@ def test_long_fingerprints(run):
     assert want[0] == want[2] != want[3]
     assert dict(run("content_fingerprint", "documents", rows, "doc_id long, text string")) == want
     assert run("duplicate_content", "documents", rows, "doc_id long, text string") == [(want[0], 3, 0)]
+
+
+def test_op7_bound_at_ties(spark):
+    """Overlaps that make a pair exactly 0.8 alike reach it, those one less don't."""
+    assert [r[0] for r in spark.sql("select 28L as most, 63L as sizes").select(reaches(F.col("most"), F.col("sizes"), SIMILAR)).collect()] == [True]
+    ties = spark.range(1, 2223).select((F.col("id") * 4).alias("most"), (F.col("id") * 9).alias("sizes"))
+    assert ties.where(~reaches(F.col("most"), F.col("sizes"), SIMILAR)).count() == 0
+    assert ties.where(reaches(F.col("most") - 1, F.col("sizes"), SIMILAR)).count() == 0
