@@ -179,7 +179,7 @@ def stylesheets(pages: DataFrame) -> DataFrame:
 CSS_IMPORT = r"""(?i)@import\s+(?:url\(\s*)?["']?([^"')\s;]+)["']?\s*\)?[^;]*;"""
 
 
-def css_imports(sheets: DataFrame, depth: int = 3) -> DataFrame:
+def css_imports(sheets: DataFrame, depth: int = 4) -> DataFrame:
     """(archive_id, path, imported, steps): sheets(archive_id, path, css) and what they import, up to `depth` steps."""
     rows = sheets.select("archive_id", "path", F.explode(F.regexp_extract_all("css", F.lit(CSS_IMPORT), F.lit(1))).alias("raw"))
     edges = rows.where(~is_external(F.col("raw"))).select("archive_id", "path", normalize_path(F.col("path"), F.col("raw")).alias("imported")).where(F.col("imported").isNotNull()).distinct()

@@ -168,7 +168,7 @@ def stylesheet_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), m AS (SELECT max(k) AS x FROM s), h AS (SELECT unnest([1, 2, 3]) AS steps)
  SELECT k, '/css/s' || (k + steps) || '.css' AS imported, steps FROM s, m, h WHERE k + steps - 1 <= x""")
 def css_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stylesheets that each import the next: what is reached in three steps."""
+    """Stylesheets that each import the next: what is reached in four steps."""
     k = F.col("s_suppkey")
     css = F.concat(F.lit("@import url('s"), (k + 1).cast("string"), F.lit(".css') screen;\n@import \"http://x/y.css\";\np{background:url(i.gif)}"))
     sheets = table(spark, sf_dir, "supplier").select(F.lit("a").alias("archive_id"), F.concat(F.lit("/css/s"), k.cast("string"), F.lit(".css")).alias("path"), css.alias("css"))

@@ -115,6 +115,7 @@ def test_extraction_quality(run):
 #: Where the registered SQL still has a cut: the cut, and what stands there in SQL of the whole job.
 CUTS = {
     "flat_toc": (" WHERE source <> 'src0' OR doc_id < 5", ""),
+    "css_refs": ("[1, 2, 3]", "[1, 2, 3, 4]"),
     "extraction_quality": (" AND NOT contains(text, '<') AND NOT contains(text, '&')", ""),
 }
 
@@ -148,3 +149,8 @@ def test_op7_bound_at_ties(spark):
     ties = spark.range(1, 2223).select((F.col("id") * 4).alias("most"), (F.col("id") * 9).alias("sizes"))
     assert ties.where(~reaches(F.col("most"), F.col("sizes"), SIMILAR)).count() == 0
     assert ties.where(reaches(F.col("most") - 1, F.col("sizes"), SIMILAR)).count() == 0
+
+
+def test_css_four_steps(run):
+    got = run("css_refs", "supplier", [(k,) for k in range(1, 8)], "s_suppkey long")
+    assert sorted(got) == [(k, f"/css/s{k + n}.css", n) for k in range(1, 8) for n in range(1, 5) if k + n - 1 <= 7]
