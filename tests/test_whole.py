@@ -1,11 +1,14 @@
 """Whole jobs: queries over small tables of their own, against plain statements of their rules."""
 
+import random
+import re
 from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, duck, settled  # noqa: F401
 
+from folioworks.functions import text as X
 from folioworks.llm.neardup import SIMILAR, reaches
 from folioworks.plans import catalog
 
@@ -154,3 +157,35 @@ def test_op7_bound_at_ties(spark):
 def test_css_four_steps(run):
     got = run("css_refs", "supplier", [(k,) for k in range(1, 8)], "s_suppkey long")
     assert sorted(got) == [(k, f"/css/s{k + n}.css", n) for k in range(1, 8) for n in range(1, 5) if k + n - 1 <= 7]
+
+
+def written(src):
+    """What the write calls write, by counting parentheses outside literals."""
+    out, at = [], 0
+    while m := re.compile(r"document\s*\.\s*write(?:ln)?\s*\(").search(src, at):
+        i, depth = m.end(), 1
+        while i < len(src) and depth:
+            if src[i] in "'\"":
+                j = i + 1
+                while j < len(src) and src[j] != src[i]:
+                    j += 2 if src[j] == "\\" and j + 1 < len(src) else 1
+                out.append(re.sub(r"(?s)\\(.)", r"\1", src[i + 1 : j]))
+                i = j + 1
+            else:
+                depth += {"(": 1, ")": -1}.get(src[i], 0)
+                i += 1
+        at = i
+    return "".join(out)
+
+
+def test_deep_write_calls(spark):
+    nested = lambda n: "document.write(" + "f(" * n + "'x'" + ")" * n + " + 'y'); other('no');"
+    texts = [nested(n) for n in (0, 4, 5, 8, 40)] + ["it's " + nested(8) + " don't " + nested(1), nested(8)[:30], "document.write(", None]
+    rng = random.Random(5)
+    parts = ["document.write(", "document . writeln (", "(", "(", "((((((", ")", ")", "))))", "'", '"', "\\", "d", "a b", "'(q)'", '"\\")"', "\n"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = [r[0] for r in df.select(X.docwrite_html(F.col("s")), "i").orderBy("i").collect()]
+    for text, html in zip(texts, got):
+        # an escape of n or b stands for a control character, which the plain rule leaves out
+        assert html == (None if text is None else written(text)) or re.search(r"\\[nbd]", text), text
