@@ -64,13 +64,13 @@ _ITEMS = """i AS (SELECT source AS archive_id, doc_id, doc_id AS idx, 'f' || doc
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A script for each source with the rows of its chapters, in shuffled order."""
+    """Scripts of each source with the rows of its chapters, a thousand numbers to a script, in shuffled order."""
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id").cast("string")
     volume = F.when(F.col("doc_id") % 50 < 2, F.concat(F.lit(",'V\\\""), F.expr("cast(doc_id div 50 as string)"), F.lit("'"))).when(F.col("doc_id") % 50 == 2, F.lit(",' <img src=\"x\">'")).otherwise(F.lit(""))
     row = F.concat(F.lit("pages["), n, F.lit("] = [ 'f"), n, F.lit("',\"<b>Ch.</b>&#32;"), n, F.lit("\", '12'"), volume, F.lit("];\n"))
-    rows = d.groupBy(F.col("source").alias("archive_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("doc_id")).alias("o"), row.alias("row")))), lambda x: x["row"]), "").alias("text"))
-    return rows.withColumn("path", F.lit("/js/pages.js"))
+    rows = d.groupBy(F.col("source").alias("archive_id"), F.expr("doc_id div 1000").alias("block")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("doc_id")).alias("o"), row.alias("row")))), lambda x: x["row"]), "").alias("text"))
+    return rows.select("archive_id", F.concat(F.lit("/js/pages"), F.col("block").cast("string"), F.lit(".js")).alias("path"), "text")
 
 
 @query(f"WITH {_ITEMS} SELECT archive_id, idx, file, title, volume FROM i")

@@ -11,6 +11,7 @@ from test_queries import SF, duck, settled  # noqa: F401
 from folioworks.functions import text as X
 from folioworks.llm.neardup import SIMILAR, reaches
 from folioworks.plans import catalog
+from folioworks.plans.trees import _scripts
 
 
 @pytest.fixture
@@ -189,3 +190,16 @@ def test_deep_write_calls(spark):
     for text, html in zip(texts, got):
         # an escape of n or b stands for a control character, which the plain rule leaves out
         assert html == (None if text is None else written(text)) or re.search(r"\\[nbd]", text), text
+
+
+def test_scripts_are_bounded(spark, run, tmp_path):
+    """A hot source's chapters are dealt over scripts of at most a thousand rows; none is lost."""
+    docs = [(i, "hot") for i in range(0, 7000, 2)] + [(i, "cold") for i in range(1, 9, 2)]
+    got = run("pages_items", "documents", docs, "doc_id long, source string")
+    assert sorted((r[1], r[0]) for r in got) == sorted(docs)
+    assert sorted(r[1] for r in run("pages_refs", "documents", docs, "doc_id long, source string")) == sorted(f"/txt/f{i}.txt" for i, _ in docs)
+    toc = run("synthetic_toc", "documents", docs, "doc_id long, source string")
+    kept = [i for i, s in docs if s == "hot" and i % 5 != 3]
+    assert sorted((r[1], r[3]) for r in toc if r[0] == "hot") == [(n, f"/txt/f{i}.TXT") for n, i in enumerate(kept)]
+    scripts = _scripts(spark, str(tmp_path)).select("archive_id", "path", F.size(F.split("text", "\n")).alias("n")).collect()
+    assert len(scripts) == 8 and max(r.n for r in scripts) <= 1001
