@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _own_folder: str | None = None
+#: Where tables of written() lie, for discard().
+_places: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests on one machine) a folder of our own is made."""
+    Only where it is unset and everything runs on one machine (tests) a folder of our own
+    is made; on a cluster it has to be set."""
     global _own_folder
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="folioworks-")
     return f"file://{_own_folder}"
@@ -45,7 +51,45 @@ def written(df: DataFrame, tag: str, **options: object) -> DataFrame:
     for key, value in options.items():
         writer = writer.option(key, value)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _places[back] = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        path = _places.pop(df, None)
+        if path:
+            place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores after it until no taken one is alike."""
+    used = {x.lower() for x in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def one_of_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The columns of one row for each value of the keys (nulls are equal): always the same
+    one, that with the least digest of all columns. Map tasks keep a row a key first, so
+    that no task gets a group of equal rows."""
+    order = F.sha2(F.to_json(F.struct(*map(column, columns))).cast("binary"), 256)
+    (own,) = free_names([*keys, *columns], "row")
+    picked = rows.groupBy(*map(column, keys)).agg(F.min_by(F.struct(*map(column, columns)), order).alias(own))
+    return picked.select(*[column(own).getField(c).alias(c) for c in columns])
 
 
 def partitions(spark: SparkSession) -> int:
@@ -62,13 +106,13 @@ def ranked(rows: DataFrame, keys: list[str], weight: str, tag: str) -> DataFrame
     """rows in ascending order of keys (nulls first), with `rank` (from 0), `before` (the
     weights of all rows before) and `total` (all weights).
 
-    The rows are range-partitioned on the first key and written once, so that the parts are
+    The rows are range-partitioned on the keys and written once, so that the parts are
     the same whenever they are read; a running sum inside each part is added to the prefix
     sum over the parts' totals. The totals have one row a part, which bounds the broadcast
     and the one window that isn't partitioned."""
     spark = rows.sparkSession
     parts = written(
-        rows.repartitionByRange(partitions(spark), F.col(keys[0]).asc_nulls_first()).withColumn("part", F.spark_partition_id()), tag
+        rows.repartitionByRange(partitions(spark), *[F.col(k).asc_nulls_first() for k in keys]).withColumn("part", F.spark_partition_id()), tag
     )
     totals = parts.groupBy("part").agg(F.sum(weight).alias("part_weight"), F.count(F.lit(1)).alias("part_rows"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,9 +136,11 @@ def ranked(rows: DataFrame, keys: list[str], weight: str, tag: str) -> DataFrame
     )
 
 
-def slices(batch: pa.RecordBatch, text_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """batch in pieces of about text_bytes of that column, a row at least."""
-    lengths = [x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
+def slices(batch: pa.RecordBatch, text_bytes: int, *columns: str) -> Iterator[pa.RecordBatch]:
+    """batch in pieces of about text_bytes of these columns (text), a row at least."""
+    lengths = [0] * batch.num_rows
+    for name in columns or ("text",):
+        lengths = [n + (x or 0) for n, x in zip(lengths, pa.compute.binary_length(batch.column(name)).to_pylist())]
     first = held = 0
     for i, n in enumerate(lengths):
         if held and held + n > text_bytes:

@@ -9,22 +9,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import slices, table, written
+from .common import discard, free_names, one_of_each, slices, table, written
 from .decontaminate import words_of
-from .hashing import STEP, WordHashes, mixed, shingles
+from .hashing import STEP, mixed, shingles, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 #: 30 bands of 6: a pair at 0.8 is missed by all bands with probability 0.0001, one at 0.85 with 0.0000003.
 BANDS, BAND_ROWS = 30, 6
 
-_words = WordHashes()
-
-
 def bag(words: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles' hashes of a text, ascending, and how often each occurs."""
-    return np.unique(shingles(_words.of(words), size), return_counts=True)
+    return np.unique(shingles(word_hashes().of(words), size), return_counts=True)
 
 
 def bag_minhash(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
@@ -125,13 +121,29 @@ def signed(docs: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS, size
     return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(work, SIGNED)
 
 
-def measured(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR, size: int = SHINGLE) -> DataFrame:
-    """pairs (a, b) of nodes of the classes (in_a, in_b) with `both`, the overlap of their texts' bags, and whether they are similar."""
+MEASURED = "a binary, b binary, in_a binary, in_b binary, both long, similar boolean"
+
+
+def held_bits(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> list[int]:
+    """Which of b's shingles a has, as 64-bit numbers: a shingle that occurs w times in b has
+    w bits, of which as many are set as a has it, w at most."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    n = np.minimum(a[1][i], b[1][j])
+    starts = (np.cumsum(b[1]) - b[1])[j]
+    bits = np.zeros(-(-int(b[1].sum()) // 64) * 64, np.uint8)
+    bits[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())] = 1
+    return np.packbits(bits).view("<i8").tolist()
+
+
+def measured(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR, size: int = SHINGLE, with_bits: bool = False) -> DataFrame:
+    """pairs (a, b) of nodes of the classes (in_a, in_b) with `both`, the overlap of their texts'
+    bags, and whether they are similar; with_bits: also which of b's shingles a has."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = ["a", "b", "in_a", "in_b"]
         for batch in batches:
-            for some in slices(batch, 8_000_000, "text_b"):
-                both, similar, name, last = [], [], None, None
+            for some in slices(batch, 8_000_000, "text_a", "text_b"):
+                both, similar, bits, name, last = [], [], [], None, None
                 for b, ta, tb in zip(*(some.column(c).to_pylist() for c in ("b", "text_a", "text_b"))):
                     if last is None or b != name:
                         name, last = b, bag(words_of(tb), size)
@@ -139,13 +151,16 @@ def measured(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR, size: i
                     n = overlap(first, last)
                     both.append(n)
                     similar.append(n >= least * (int(first[1].sum() + last[1].sum()) - n))
-                kept = ["a", "b", "in_a", "in_b"]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), pa.array(both, pa.int64()), pa.array(similar, pa.bool_())], [*kept, "both", "similar"])
+                    if with_bits:
+                        bits.append(held_bits(first, last))
+                columns = [*(some.column(c) for c in kept), pa.array(both, pa.int64()), pa.array(similar, pa.bool_())]
+                names = [*kept, "both", "similar"]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(bits, pa.list_(pa.int64()))] * with_bits, names + ["bits"] * with_bits)
 
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b")
-    return joined.select("a", "b", "in_a", "in_b", "text_a", "text_b").mapInArrow(work, "a binary, b binary, in_a binary, in_b binary, both long, similar boolean")
+    return joined.select("a", "b", "in_a", "in_b", "text_a", "text_b").mapInArrow(work, MEASURED + ", bits array<long>" * with_bits)
 
 
 def reaches(most: Column, sizes: Column, least: float) -> Column:
@@ -160,7 +175,7 @@ def components(links: DataFrame) -> DataFrame:
     these is smaller by a factor, as nodes are random digests, and is contracted again until
     none is. Each round's table is written out, and a hub's rows can be split."""
     edges = written(links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+    labels = written(edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0), "labels")
     first = True
     while not edges.isEmpty():
         ends = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -168,35 +183,105 @@ def components(links: DataFrame) -> DataFrame:
         of_a = step.select(F.col("node").alias("a"), F.col("label").alias("to_a")).hint("merge")
         of_b = step.select(F.col("node").alias("b"), F.col("label").alias("to_b")).hint("merge")
         left = edges.join(of_a, "a").join(of_b, "b").where(F.col("to_a") != F.col("to_b"))
-        edges = written(left.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        fewer = written(left.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
         if first:
-            labels, first = step, False
+            further, first = step, False
         else:
             on = step.select(F.col("node").alias("label"), F.col("label").alias("further")).hint("merge")
-            labels = written(labels.join(on, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+            further = written(labels.join(on, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+            discard(step)
+        discard(edges, labels)
+        edges, labels = fewer, further
+    discard(edges)
     return labels
 
 
 def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
     """labels(node, label) after its classes are joined by the similar ones of measured pairs."""
     links = found.where(F.col("similar") & (F.col("in_a") != F.col("in_b"))).select(F.col("in_a").alias("a"), F.col("in_b").alias("b"))
-    tops = components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    return written(labels.join(tops.hint("merge"), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "classes")
+    joined = components(links)
+    tops = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    out = written(labels.join(tops.hint("merge"), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "classes")
+    discard(joined, labels)
+    return out
 
 
 def shared_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(node, shared): how many of a text's shingles some other of these texts has as well."""
+    """(node, shared): how many of a text's shingles some other of these texts has as well; a written table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, 2_000_000):
-                for node, text in zip(*(some.column(c).to_pylist() for c in ("node", "text"))):
-                    h, n = bag(words_of(text), size)
-                    yield pa.RecordBatch.from_arrays([pa.array([node] * len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["node", "h", "n"])
+            for some in slices(batch, 1_000_000):
+                bags = [bag(words_of(text), size) for text in some.column("text").to_pylist()]
+                owner = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("node").take(pa.array(owner)), pa.array(np.concatenate([h for h, _ in bags]).view(np.int64)), pa.array(np.concatenate([n for _, n in bags]))], ["node", "h", "n"]
+                )
+
+    rows = written(texts.select("node", "text").mapInArrow(work, "node binary, h long, n long"), "shingles", compression="zstd")
+    # written, so that the adaptive join can split a shingle that most texts have
+    common = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1).select("h"), "common")
+    out = written(rows.join(common.hint("merge"), "h").groupBy("node").agg(F.sum("n").alias("shared")), "bounds")
+    discard(rows, common)
+    return out
 
-    rows = written(texts.select("node", "text").mapInArrow(work, "node binary, h long, n long"), "shingles")
-    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1)
-    return rows.join(common.hint("merge"), "h").groupBy("node").agg(F.sum("n").alias("shared"))
+
+def common_bits(a: Column, b: Column) -> Column:
+    """How many bits two arrays of 64-bit numbers share."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda total, n: total + n)
+
+
+def remaining_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """labels after all buckets(key, node, size) that hold several classes are settled exactly; labels is discarded.
+
+    Every node of such a bucket is measured against the bucket's centre. For any two nodes a
+    and b of one centre c, the sum of min(a, b) over all shingles is that of min(a, b, c),
+    which the bits that held_bits() gave for a and b have in common, and what both have
+    beyond c, which is the lesser of their `rest` at most: the shingles that they share with
+    any other text less their overlap with c. If that doesn't reach what the two sizes need,
+    they aren't similar. So of the pairs between classes only those come out of the join
+    that are similar or nearly so."""
+    own = buckets.join(labels.hint("merge"), "node")
+    several = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("key")
+    several = written(several, "several")
+    if several.isEmpty():
+        discard(several)
+        return labels
+    open_ = written(own.join(several.hint("merge"), "key", "left_semi"), "open")
+    nodes = written(open_.select("node").distinct(), "open-nodes")
+    bounds = shared_shingles(texts.join(nodes.hint("merge"), "node", "left_semi"))
+    # a partner has at least `least` of the node's size, so less overlap than that rules a node out
+    able = written(open_.join(bounds.hint("merge"), "node").where(F.col("shared") >= least * F.col("size")), "open")
+    discard(several, open_, nodes, bounds)
+    middle = F.max_by(F.struct("node", "label"), F.struct(F.col("shared") / F.col("size"), "node"))
+    centres = written(able.groupBy("key").agg(middle.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("in_b")), "centres")
+    around = written(able.join(centres.hint("merge"), "key").select("node", "size", "shared", "label", "centre", "in_b").distinct(), "around")
+    discard(able, centres)
+    pairs = around.select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("label").alias("in_a"), "in_b")
+    spans = written(measured(pairs, texts, least, with_bits=True), "spans", compression="zstd")
+    labels = relabelled(labels, spans)
+    to_centre = spans.select(F.col("a").alias("node"), F.col("b").alias("centre"), "both", "bits")
+    around_all = around.select("node", "size", "shared", "centre").join(to_centre.hint("merge"), ["node", "centre"]).join(labels.hint("merge"), "node")
+    around_all = written(around_all.withColumn("rest", F.greatest(F.lit(0), F.col("shared") - F.col("both"))), "placed", compression="zstd")
+    sizes = around_all.groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("centre").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
+    main = written(main.select("centre", "main"), "main")
+    outside = written(around_all.join(main.hint("merge"), "centre").where(F.col("label") != F.col("main")).drop("main"), "outside", compression="zstd")
+    other = around_all.select("centre", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "label", "both", "rest", "bits")])
+    total, beyond = F.col("size") + F.col("size_b"), F.least("rest", "rest_b")
+    can = (
+        (F.col("label") != F.col("label_b"))
+        & (F.least("size", "size_b") >= least * F.greatest("size", "size_b"))
+        & reaches(F.least("both", "both_b") + beyond, total, least)
+        & reaches(common_bits(F.col("bits"), F.col("bits_b")) + beyond, total, least)
+    )
+    found = outside.join(other.hint("merge"), "centre").where(can)
+    found = found.select(
+        F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), F.least("label", "label_b").alias("in_a"), F.greatest("label", "label_b").alias("in_b")
+    )
+    labels = relabelled(labels, measured(written(found.distinct(), "pairs"), texts, least))
+    discard(around, spans, around_all, main, outside)
+    return labels
 
 
 def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -208,21 +293,20 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, band_ro
     first), is_kept marks the rows with the class's least (doc_id, print).
 
     A bucket of many nodes isn't turned into pairs. First every node is checked against the
-    least node of its buckets. Where a bucket then still has several classes, its nodes get
-    bounds on their overlaps: `shared`, the shingles that a text has in common with any
-    other, and `both`, the exact overlap with the bucket's centre, the text with the largest
-    share of common shingles. Two texts overlap by no more than the lesser `both` and the
-    lesser remainder of `shared`, and that must reach what their sizes need. Only pairs
-    between classes that can reach it are checked, so texts with too many words of their
-    own drop out exactly, not by a cap.
-
-    Null texts count as empty. Wordless texts are copies only of the same text. Equal rows
-    share a class; an empty table gives no rows; other columns are ignored."""
+    least node of its buckets; what is left between classes of one bucket is settled by
+    remaining_links(), exactly and without a cap.
+
+    Null texts count as empty. Wordless texts are copies only of the same text. Ties and
+    equal rows share a class; an empty table gives no rows; other columns are ignored. A
+    very long text is taken whole; its task needs about 150 bytes a word."""
     rows = written(signed(docs, bands, band_rows), "signed", compression="zstd")
     nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "print")).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes", compression="zstd")
     keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", "leader")
+    leader = F.min(F.struct("node", "size")).alias("leader")
+    shared = keyed.groupBy("key").agg(leader, F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", "leader")
+    # written, so that the adaptive join can split a band key that many nodes have
+    shared = written(shared, "shared", compression="zstd")
     buckets = written(keyed.join(shared.hint("merge"), "key"), "buckets", compression="zstd")
 
     wanted = nodes.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "least.*")
@@ -230,44 +314,18 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, band_ro
     texts = source.join(wanted.hint("merge"), source["doc_id"].eqNullSafe(wanted["doc_id"]) & (source["print"] == wanted["print"]))
     texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts", compression="zstd")
 
-    star = buckets.where(F.col("node") != F.col("leader")).groupBy("node").agg(F.min("leader").alias("b"))
-    star = star.select(F.col("node").alias("a"), "b", F.col("node").alias("in_a"), F.col("b").alias("in_b"))
-    labels = relabelled(texts.select("node", F.col("node").alias("label")), measured(star, texts, least))
-
-    own = buckets.select("key", "node", "size").join(labels.hint("merge"), "node")
-    several = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("key")
-    open_ = written(own.join(several.hint("merge"), "key", "left_semi"), "open")
-    if not open_.isEmpty():
-        some = texts.join(open_.select("node").distinct().hint("merge"), "node", "left_semi")
-        bound = written(shared_shingles(some), "bounds")
-        # a partner has at least `least` of the node's size, so less overlap than that rules a node out
-        open_ = open_.join(bound.hint("merge"), "node").where(F.col("shared") >= least * F.col("size"))
-        open_ = written(open_, "open")
-        centre = F.max_by(F.struct("node", "label"), F.struct(F.col("shared") / F.col("size"), "node"))
-        leaders = open_.groupBy("key").agg(centre.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("in_b"))
-        open_ = written(open_.join(leaders.hint("merge"), "key"), "open")
-        pairs = open_.where(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("label").alias("in_a"), "in_b").distinct()
-        spans = written(measured(pairs, texts, least), "spans")
-        labels = relabelled(labels, spans)
-        to_centre = spans.select(F.col("a").alias("node"), F.col("b").alias("centre"), "both")
-        open_ = open_.select("key", "node", "size", "shared", "centre").join(to_centre.hint("merge"), ["node", "centre"], "left").join(labels.hint("merge"), "node")
-        open_ = written(open_.withColumn("both", F.coalesce("both", "size")).withColumn("rest", F.greatest(F.lit(0), F.col("shared") - F.col("both"))), "open")
-        sizes = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
-        outside = open_.join(main.hint("merge"), "key").where(F.col("label") != F.col("main"))
-        other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "label", "both", "rest")])
-        most = F.least("both", "both_b") + F.least("rest", "rest_b")
-        can = reaches(most, F.col("size") + F.col("size_b"), least) & (F.col("label") != F.col("label_b"))
-        pairs = outside.join(other.hint("merge"), "key").where(can)
-        pairs = pairs.select(
-            F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), F.least("label", "label_b").alias("in_a"), F.greatest("label", "label_b").alias("in_b")
-        ).distinct()
-        labels = relabelled(labels, measured(pairs, texts, least))
-
+    # two texts whose sizes differ by more can't be similar
+    alike = F.least("size", "leader.size") >= least * F.greatest("size", "leader.size")
+    star = buckets.where((F.col("node") != F.col("leader.node")) & alike).groupBy("node").agg(F.min("leader.node").alias("b")).withColumnRenamed("node", "a")
+    star = star.withColumns({"in_a": F.col("a"), "in_b": F.col("b")})
+    labels = relabelled(written(texts.select("node", F.col("node").alias("label")), "classes"), measured(star, texts, least))
+    labels = remaining_links(buckets.select("key", "node", "size"), labels, texts, least)
     of_node = nodes.select("node", "least").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_class = of_node.groupBy("label").agg(F.min("least").alias("kept"))
-    of_node = of_node.join(of_class.hint("merge"), "label").select("node", "kept")
-    return rows.select("doc_id", "print", "node").join(of_node.hint("merge"), "node").select(
+    of_node = written(of_node, "of-node", compression="zstd")
+    of_class = written(of_node.groupBy("label").agg(F.min("least").alias("kept")), "of-class", compression="zstd")
+    of_node_kept = written(of_node.join(of_class.hint("merge"), "label").select("node", "kept"), "kept", compression="zstd")
+    discard(nodes, shared, buckets, texts, labels, of_node, of_class)
+    return rows.select("doc_id", "print", "node").join(of_node_kept.hint("merge"), "node").select(
         "doc_id",
         "print",
         F.col("kept.doc_id").alias("class_id"),
@@ -276,13 +334,17 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, band_ro
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the one with the least (doc_id, hash of the text); all columns stay."""
+    """docs with one row of each class, that with the least (doc_id, hash of the text); all
+    columns stay, whatever their names.
+
+    Of rows with the same doc_id and text one stays, always the same. Null and empty texts
+    are copies of each other; an empty table gives no rows."""
     kept = written(classes(docs).where("is_kept").select(F.col("doc_id").alias("kept_id"), F.col("print").alias("kept_print")).distinct(), "kept")
-    marked = docs.withColumn("kept_by", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked["kept_by"] == kept["kept_print"])
+    (print_,) = free_names(docs.columns, "print")
+    marked = docs.withColumn(print_, F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked[print_] == kept["kept_print"])
     found = marked.join(kept.hint("merge"), same, "left_semi")
-    first = Window.partitionBy("doc_id", "kept_by").orderBy(F.lit(1))
-    return found.withColumn("kept_row", F.row_number().over(first)).where("kept_row = 1").drop("kept_row", "kept_by")
+    return one_of_each(found, ["doc_id", print_], docs.columns)
 
 
 def op7_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
