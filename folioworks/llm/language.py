@@ -11,16 +11,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_remainder, slices, table
-from .hashing import STEP, mixed
+from .common import column, crc_remainder, slices, table
+from .hashing import STEP, mixed, worker_memo
 
 BUCKETS, WIDTH = 1 << 15, 16
 #: At most about this many labelled texts of each language are learned from (chosen by a hash of the id).
 TEXTS_PER_LANGUAGE = 500
+#: More languages than this aren't learned; bytes of a worker's memo of words' gains.
+MOST_LANGUAGES, MEMO_BYTES = 200, 16_000_000
 UNKNOWN = "und"
 
-
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -117,88 +119,101 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate:
 def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, buckets, counts) of each text with a letter."""
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            words = Counter((text or "").split())
-            if not words:
-                continue
-            buckets, sizes = subwords(list(words))
-            counts = np.bincount(buckets, np.repeat(list(words.values()), sizes), BUCKETS)
-            own = np.flatnonzero(counts)
-            if len(own):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([own.tolist()], pa.list_(pa.int32())), pa.array([counts[own].astype(int).tolist()], pa.list_(pa.int32()))],
-                    ["lang", "buckets", "counts"],
-                )
+        for some in slices(batch, 1_000_000):
+            names, places, numbers = [], [], []
+            for lang, text in zip(some.column("lang").to_pylist(), some.column("text").to_pylist()):
+                words = Counter((text or "").split())
+                if not words:
+                    continue
+                buckets, sizes = subwords(list(words))
+                counts = np.bincount(buckets, np.repeat(list(words.values()), sizes), BUCKETS)
+                own = np.flatnonzero(counts)
+                if len(own):
+                    names.append(lang)
+                    places.append(own.astype(np.int32))
+                    numbers.append(counts[own].astype(np.int32))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(places, kind), pa.array(numbers, kind)], ["lang", "buckets", "counts"])
 
 
 def learn(docs: DataFrame, usable: Column, per_language: int = TEXTS_PER_LANGUAGE) -> LanguageModel:
     """A model from the rows of docs(doc_id, text, lang) that are usable and have a language.
 
     Each language gives about per_language rows at most, those with the smallest hashes of
-    doc_id and text, which bounds what reaches the driver; their subwords are counted on
-    the executors."""
+    doc_id and text, each distinct one once, which bounds what reaches the driver (a text
+    has BUCKETS numbers at most); their subwords are counted on the executors. More than
+    MOST_LANGUAGES languages are an error. Null texts and null languages teach nothing; an
+    empty table gives a model without languages."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in found}
     if not sizes:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    draw = F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, -(-per_language * 1_000_000 // n)))])
-    some = rows.where(draw < share[F.col("lang")]).select("lang", "text")
+    some = rows.where(draw < share[F.col("lang")]).dropDuplicates(["doc_id", "text", "lang"]).select("lang", "text")
     got = some.mapInArrow(bucket_counts, "lang string, buckets array<int>, counts array<int>").collect()
     rows_ = sorted((r["lang"], r["buckets"], r["counts"]) for r in got)
     return train([(a, np.asarray(b), np.asarray(c, float)) for a, b, c in rows_])
 
 
-PREDICTED = "lang_pred string, score double, rejected boolean"
+PREDICTED = ("lang_pred", "score", "rejected")
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """docs' columns `keep` with lang_pred, score and rejected for each whole text.
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str, str] = PREDICTED) -> DataFrame:
+    """docs' columns `keep` with lang_pred, score and rejected (under these `names`) for each whole text.
 
     score is the calibrated probability of lang_pred. A null text, one without a letter, or
     a model without languages gives `und`, 0.0 and rejected; a score under the model's
     calibrated bound is rejected as well. Equal texts get equal results; an empty table
-    gives no rows. No shuffle."""
-    schema = docs.select(*keep).schema
+    gives no rows. A very long text is taken whole; its words take about 100 bytes each. No
+    shuffle."""
+    inner = [f"c{i}" for i in range(len(keep))]
+    source = docs.select(*[column(c).alias(x) for c, x in zip(keep, inner)], F.col("text").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(model.languages)
-        places: dict[str, int] = {}
-        rows = np.zeros((0, n + 1))
+        most = max(1000, min(200_000, MEMO_BYTES // (8 * (n + 1))))
+        places, rows = worker_memo(object(), lambda: ({}, np.zeros((most, n + 1))))
         for batch in batches:
-            for some in slices(batch, 4_000_000):
+            for some in slices(batch, 2_000_000):
                 split = [(x or "").split() for x in some.column("text").to_pylist()]
                 fresh = list(set().union(*split).difference(places))
-                if len(places) > 400_000:
+                if len(places) + len(fresh) > len(rows):
                     places.clear()
-                    rows, fresh = rows[:0], list(set().union(*split))
+                    fresh = list(set().union(*split))
+                    if len(fresh) > len(rows):
+                        rows = np.zeros((len(fresh), n + 1))
                 if fresh:
                     buckets, sizes = subwords(fresh)
-                    more = np.zeros((len(fresh), n + 1))
+                    more = rows[len(places) : len(places) + len(fresh)]
+                    more[:] = 0
                     own = np.flatnonzero(sizes)
                     if len(own):
                         more[own, :n] = np.add.reduceat(model.gains[buckets], (np.cumsum(sizes) - sizes)[own], axis=0)
                         more[own, n] = sizes[own]
-                    places.update(zip(fresh, range(len(rows), len(rows) + len(fresh))))
-                    rows = np.concatenate((rows, more))
-                names, scores, rejected = [], [], []
+                    places.update(zip(fresh, range(len(places), len(places) + len(fresh))))
+                found, scores, rejected = [], [], []
                 for words in split:
                     total = rows[np.fromiter(map(places.__getitem__, words), np.int64, len(words))].sum(axis=0)
                     if total[n] and n:
                         p = softmax((total[:n] / total[n] + model.bias) / model.temperature)
-                        names.append(model.languages[int(p.argmax())])
+                        found.append(model.languages[int(p.argmax())])
                         scores.append(float(p.max()))
                         rejected.append(bool(p.max() < model.reject_below))
                     else:
-                        names.append(UNKNOWN)
+                        found.append(UNKNOWN)
                         scores.append(0.0)
                         rejected.append(True)
-                kept = [some.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
+                kept = [some.column(c) for c in inner]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*inner, *PREDICTED])
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + [PREDICTED])
-    source = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    return source.mapInArrow(work, fields)
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    fields = [T.StructField(x, docs.schema[c].dataType) for c, x in zip(keep, inner)] + [T.StructField(x, k) for x, k in zip(PREDICTED, kinds)]
+    found = source.mapInArrow(work, T.StructType(fields))
+    return found.select(*[F.col(x).alias(c) for c, x in zip(keep, inner)], *[F.col(x).alias(name) for x, name in zip(PREDICTED, names)])
 
 
 def op9_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
