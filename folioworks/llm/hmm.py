@@ -25,7 +25,7 @@ FREQUENT, ENDINGS = 511, 512
 CLASSES = 1 + FREQUENT + ENDINGS
 #: Bytes of text whose words share one local vocabulary.
 BLOCK_BYTES = 16_000_000
-#: Tokens of a training segment and of a scoring chunk; steps between rescalings.
+#: Tokens of a chunk, of which a text is made for the recursions; steps between rescalings.
 SEGMENT, RESCALE = 128, 8
 BATCH = 2048
 
@@ -155,12 +155,41 @@ def classed_texts(cut: DataFrame, vocabulary: DataFrame, counts: DataFrame, tota
     return by_block.cogroup(found.groupBy("in_block")).applyInArrow(work, TEXTS)
 
 
+def lined_up(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts side by side, longest first: their order, the classes at each step, and how many parts reach it."""
+    lengths = np.array([len(x) for x in parts])
+    order = np.argsort(-lengths, kind="stable")
+    kinds = np.zeros((int(lengths.max()), len(parts)), np.int64)
+    for j, i in enumerate(order):
+        kinds[: lengths[i], j] = parts[i]
+    live = np.searchsorted(-lengths[order], -np.arange(len(kinds)), side="left")
+    return order, kinds, live
+
+
+@dataclass
+class Chunks:
+    """Texts of classes, cut after their first token into chunks: the chunks, each one's text and
+    place in it, the log10 of each product's scale, and the products of their steps."""
+
+    parts: list[np.ndarray]
+    first: np.ndarray
+    products: np.ndarray
+    powers: np.ndarray
+
+    def waves(self, backward: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(texts, chunks): for each place in order the texts that have a chunk there, and these chunks."""
+        n = np.diff(self.first)
+        steps = range(int(n.max()) if len(n) else 0)
+        for step in reversed(steps) if backward else steps:
+            own = np.flatnonzero(n > step)
+            yield own, self.first[own] + step
+
+
 @dataclass
 class Hmm:
-    """start: of a text; mix: of a segment inside a text (training only); move[i, j]; emit[i, class]."""
+    """start: of a text; move[i, j]; emit[i, class]."""
 
     start: np.ndarray
-    mix: np.ndarray
     move: np.ndarray
     emit: np.ndarray
 
@@ -169,135 +198,129 @@ class Hmm:
         rng = np.random.default_rng(seed)
         emit = (class_tokens + 0.5) * np.exp(rng.normal(0, 0.7, (states, len(class_tokens))))
         move = np.full((states, states), 0.1 / max(1, states - 1)) + (0.9 - 0.1 / max(1, states - 1)) * np.eye(states)
-        even = np.full(states, 1 / states)
-        return cls(even, even, move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+        return cls(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
     @classmethod
     def of(cls, sums: np.ndarray, states: int) -> "Hmm":
         """From expected counts, each smoothed by a small constant."""
-        k, c = states, (len(sums) - 2 * states - states * states) // states
-        start, mix, move, emit = np.split(sums, np.cumsum([k, k, k * k]))
-        move, emit = move.reshape(k, k) + 0.5, emit.reshape(k, c) + 0.05
-        start, mix = start + 0.5, mix + 0.5
-        return cls(start / start.sum(), mix / mix.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
-
-    def expected(self, segments: list[np.ndarray], first: np.ndarray) -> np.ndarray:
-        """Expected counts over segments of classes (first: it begins its text) by scaled forward and backward recursion."""
-        k = len(self.start)
-        lengths = np.array([len(x) for x in segments])
-        order = np.argsort(-lengths, kind="stable")
-        lengths, first = lengths[order], first[order]
-        steps = int(lengths[0])
-        kinds = np.zeros((steps, len(segments)), np.int64)
-        for j, i in enumerate(order):
-            kinds[: len(segments[i]), j] = segments[i]
-        live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # segments longer than t
-        emit = np.ascontiguousarray(self.emit.T)
-        alphas = []
-        a = np.where(first[:, None], self.start, self.mix) * emit[kinds[0]]
-        a /= a.sum(axis=1, keepdims=True)
-        alphas.append(a)
-        for t in range(1, steps):
-            a = (a[: live[t]] @ self.move) * emit[kinds[t, : live[t]]]
-            a /= a.sum(axis=1, keepdims=True)
-            alphas.append(a)
-        move, counts = np.zeros((k, k)), np.zeros((k, self.emit.shape[1]))
-        b = np.ones((0, k))
-        gammas = []
-        for t in range(steps - 1, -1, -1):
-            n = live[t]
-            if len(b) < n:
-                b = np.concatenate((b, np.ones((n - len(b), k))))
-            g = alphas[t] * b
-            scale = g.sum(axis=1, keepdims=True)
-            gammas.append((kinds[t, :n], g / scale))
-            if t:
-                e = emit[kinds[t, :n]] * b
-                before = alphas[t - 1][:n]
-                back = e @ self.move.T
-                z = (before * back).sum(axis=1, keepdims=True)
-                move += (before / z).T @ e
-                b = back / back.sum(axis=1, keepdims=True)
-        all_kinds, all_gammas = np.concatenate([x for x, _ in gammas]), np.concatenate([x for _, x in gammas])
-        for i in range(k):
-            counts[i] = np.bincount(all_kinds, all_gammas[:, i], counts.shape[1])
-        begin = gammas[-1][1]
-        return np.concatenate((begin[first].sum(axis=0), begin[~first].sum(axis=0), (move * self.move).ravel(), counts.ravel()))
+        k, c = states, (len(sums) - states - states * states) // states
+        start, move, emit = np.split(sums, np.cumsum([k, k * k]))
+        start, move, emit = start + 0.5, move.reshape(k, k) + 0.5, emit.reshape(k, c) + 0.05
+        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
-    def log10(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text's classes, exactly, by the scaled forward recursion.
-
-        Texts are cut into chunks that run side by side: each chunk's product of steps is a
-        states by states matrix, and a text's matrices are applied to its start in order."""
+    def chunks(self, texts: list[np.ndarray]) -> Chunks:
+        """Each chunk's product of steps is a states by states matrix; chunks run side by side."""
         k = len(self.start)
         emit = np.ascontiguousarray(self.emit.T)
-        chunks = [(i, x[s : s + SEGMENT]) for i, x in enumerate(texts) for s in range(1, len(x), SEGMENT)]
-        state = self.start * emit[[x[0] for x in texts]]
-        logs = np.zeros(len(texts))
-        products = np.zeros((len(chunks), k, k))
-        powers = np.zeros(len(chunks))
-        for low in range(0, len(chunks), BATCH):
-            some = chunks[low : low + BATCH]
-            lengths = np.array([len(x) for _, x in some])
-            order = np.argsort(-lengths, kind="stable")
-            steps = int(lengths.max())
-            kinds = np.zeros((steps, len(some)), np.int64)
-            for j, i in enumerate(order):
-                kinds[: lengths[i], j] = some[i][1]
-            live = np.searchsorted(-lengths[order], -np.arange(steps), side="left")
-            m = np.broadcast_to(np.eye(k), (len(some), k, k)).copy()
-            power = np.zeros(len(some))
-            for t in range(steps):
-                n = live[t]
+        parts = [x[s : s + SEGMENT] for x in texts for s in range(1, len(x), SEGMENT)]
+        first = np.concatenate(([0], np.cumsum([-(-(len(x) - 1) // SEGMENT) for x in texts], dtype=np.int64)))
+        products, powers = np.zeros((len(parts), k, k)), np.zeros(len(parts))
+        for low in range(0, len(parts), BATCH):
+            order, kinds, live = lined_up(parts[low : low + BATCH])
+            m = np.broadcast_to(np.eye(k), (len(order), k, k)).copy()
+            power = np.zeros(len(order))
+            for t, n in enumerate(live):
                 m[:n] = (m[:n].reshape(-1, k) @ self.move).reshape(n, k, k) * emit[kinds[t, :n]][:, None, :]
-                if t % RESCALE == RESCALE - 1 or t == steps - 1:
+                if t % RESCALE == RESCALE - 1 or t == len(live) - 1:
                     top = m.max(axis=(1, 2))
                     m /= top[:, None, None]
                     power += np.log10(top)
             products[low + order], powers[low + order] = m, power
-        done = np.zeros(len(texts), np.int64)
-        firsts = np.searchsorted([i for i, _ in chunks], np.arange(len(texts) + 1)) if chunks else np.zeros(len(texts) + 1, np.int64)
-        n_chunks = np.diff(firsts)
+        return Chunks(parts, first, products, powers)
+
+    def expected(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Expected counts over whole texts of classes by scaled forward and backward recursion.
+
+        The chunks' products carry the forward state into each chunk and the backward state
+        out of it, so every count is that of its whole text; inside, the chunks of all texts
+        run side by side."""
+        k = len(self.start)
+        cut = self.chunks(texts)
+        emit = np.ascontiguousarray(self.emit.T)
+        heads = np.array([x[0] for x in texts])
+        into, out = np.zeros((len(cut.parts), k)), np.zeros((len(cut.parts), k))
+        ahead = self.start * emit[heads]
+        ahead /= ahead.sum(axis=1, keepdims=True)
+        begun = ahead.copy()
+        for own, at in cut.waves():
+            into[at] = ahead[own]
+            s = np.einsum("ni,nij->nj", ahead[own], cut.products[at])
+            ahead[own] = s / s.sum(axis=1, keepdims=True)
+        behind = np.ones((len(texts), k))
+        for own, at in cut.waves(backward=True):
+            out[at] = behind[own]
+            s = np.einsum("nij,nj->ni", cut.products[at], behind[own])
+            behind[own] = s / s.sum(axis=1, keepdims=True)
+        gamma = begun * behind
+        gamma /= gamma.sum(axis=1, keepdims=True)
+        start, move = gamma.sum(axis=0), np.zeros((k, k))
+        counts = np.stack([np.bincount(heads, gamma[:, i], self.emit.shape[1]) for i in range(k)])
+        for low in range(0, len(cut.parts), BATCH):
+            order, kinds, live = lined_up(cut.parts[low : low + BATCH])
+            a = into[low + order]
+            alphas = [a]
+            for t, n in enumerate(live):
+                a = (a[:n] @ self.move) * emit[kinds[t, :n]]
+                a /= a.sum(axis=1, keepdims=True)
+                alphas.append(a)
+            ends = out[low + order]
+            b = ends[:0]
+            gammas = []
+            for t in range(len(live) - 1, -1, -1):
+                n = live[t]
+                if len(b) < n:
+                    b = np.concatenate((b, ends[len(b) : n]))
+                g = alphas[t + 1] * b
+                gammas.append(g / g.sum(axis=1, keepdims=True))
+                e = emit[kinds[t, :n]] * b
+                before, back = alphas[t][:n], e @ self.move.T
+                move += (before / (before * back).sum(axis=1, keepdims=True)).T @ e
+                b = back / back.sum(axis=1, keepdims=True)
+            all_kinds = np.concatenate([kinds[t, : live[t]] for t in range(len(live) - 1, -1, -1)])
+            all_gammas = np.concatenate(gammas)
+            for i in range(k):
+                counts[i] += np.bincount(all_kinds, all_gammas[:, i], counts.shape[1])
+        return np.concatenate((start, (move * self.move).ravel(), counts.ravel()))
+
+    def log10(self, texts: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each text's classes, exactly, by the scaled forward recursion: a
+        text's chunk products are applied to its start in order."""
+        cut = self.chunks(texts)
+        state = self.start * self.emit.T[[x[0] for x in texts]]
         scale = state.sum(axis=1)
-        logs += np.log10(scale)
+        logs = np.log10(scale)
         state = state / scale[:, None]
-        for step in range(int(n_chunks.max()) if len(texts) else 0):
-            own = np.flatnonzero(n_chunks > step)
-            at = firsts[own] + step
-            s = np.einsum("ni,nij->nj", state[own], products[at])
+        for own, at in cut.waves():
+            s = np.einsum("ni,nij->nj", state[own], cut.products[at])
             scale = s.sum(axis=1)
             state[own] = s / scale[:, None]
-            logs[own] += np.log10(scale) + powers[at]
-            done[own] += 1
+            logs[own] += np.log10(scale) + cut.powers[at]
         return logs
 
 
 def baum_welch(texts: DataFrame, totals: Counts, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """Expected counts of all training texts, summed over the partitions, in each round.
+    """Expected counts of all training texts, each as a whole, summed over the partitions, in each round.
 
-    Texts are cut into segments of SEGMENT tokens for training. A task sends its own sums,
-    states times classes numbers; the driver gets as many in all."""
+    A task sends its own sums, states times classes numbers; the driver gets as many in all."""
     model = Hmm.first(totals.class_tokens, states)
     train = texts.where(~F.col("held_out")).select("classes")
     for _ in range(rounds if totals.train_texts else 0):
         now = model
 
         def work(batches: Iterator[pa.RecordBatch], model: Hmm = now) -> Iterator[pa.RecordBatch]:
-            sums, waiting, first = None, [], []
+            sums, waiting, tokens = None, [], 0
 
             def settle() -> None:
-                nonlocal sums, waiting, first
-                got = model.expected(waiting, np.array(first, bool))
+                nonlocal sums, waiting, tokens
+                got = model.expected(waiting)
                 sums = got if sums is None else sums + got
-                waiting, first = [], []
+                waiting, tokens = [], 0
 
             for batch in batches:
                 for raw in batch.column("classes"):
-                    x = np.frombuffer(raw.as_buffer(), "<u2")
-                    for s in range(0, len(x), SEGMENT):
-                        waiting.append(x[s : s + SEGMENT])
-                        first.append(s == 0)
-                    if len(waiting) >= BATCH:
+                    waiting.append(np.frombuffer(raw.as_buffer(), "<u2"))
+                    tokens += len(waiting[-1])
+                    if tokens >= BATCH * SEGMENT:
                         settle()
             if waiting:
                 settle()
@@ -306,7 +329,7 @@ def baum_welch(texts: DataFrame, totals: Counts, states: int = STATES, rounds: i
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["at", "n"])
 
         got = train.mapInArrow(work, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
-        sums = np.zeros(2 * states + states * states + states * CLASSES)
+        sums = np.zeros(states + states * states + states * CLASSES)
         for r in got:
             sums[r["at"]] = r["n"]
         model = Hmm.of(sums, states)
