@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.encodings import decode_text, effective_encoding
 from ..functions.paths import fragment_of, is_external, is_renderable, is_text, normalize_path, trimmed
-from ..functions.text import LITERAL, TAG, WRITE_CALL, attribute, docwrite_html, is_docwrite, literal_value, plain_to_html, strip_tags
+from ..functions.text import CLOSED, LITERAL, TAG, WRITE_CALL, attribute, docwrite_html, escaped, is_docwrite, literal_value, plain_to_html, quoted, strip_tags, tag_values, unquoted
+from ..sources.entries import last_per_key
+from ..sources.scratch import written
 
 #: Elements that are dropped with what they hold.
 DROPPED_TAGS = (
@@ -24,6 +27,7 @@ PRESENTATION = (
 REFERENCE_ATTRIBUTES = ("src", "href", "background", "poster")
 
 VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>]+)"""
+QUOTED_RUN = r"""(?:"[^"]*"|'[^']*'|[^>"']++)*+"""
 
 
 def chapter_html(chapters: DataFrame) -> DataFrame:
@@ -33,15 +37,41 @@ def chapter_html(chapters: DataFrame) -> DataFrame:
     return chapters.withColumn("html", F.when(is_text(F.col("path")), of_text).otherwise(text))
 
 
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the archives: sorted and merged, never broadcast on a guess."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _most_nested(html: Column, names: list[str]) -> Column:
+    """How deep the elements of these names nest in their own kind at most."""
+    marks = F.regexp_extract_all(html, F.lit(rf"(?i)<(/?\s*(?:{'|'.join(names)}))\b"), F.lit(1))
+    marks = F.transform(marks, lambda x: F.lower(F.regexp_replace(x, r"\s", "")))
+
+    def deepest(name: Column) -> Column:
+        own = F.filter(marks, lambda x: F.ltrim(x, F.lit("/")) == name)
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
+
+        def step(s: Column, x: Column) -> Column:
+            depth = F.greatest(F.lit(0), s["depth"] + F.when(x.startswith("/"), -1).otherwise(1))
+            return F.struct(depth.alias("depth"), F.greatest(s["most"], depth).alias("most"))
+
+        return F.aggregate(own, start, step, lambda s: s["most"])
+
+    return F.array_max(F.transform(F.array(*map(F.lit, names)), deepest))
+
+
 def sanitize_tags(html: Column) -> Column:
-    """html without the dropped elements: raw ones to their end or the text's, paired ones innermost
-    first in three passes, void ones and stray tags singly."""
+    """html without the dropped elements: raw ones to their end or the text's, paired ones with
+    all that they hold, in as many passes as they nest in their own kind, void ones and stray
+    tags singly. Null stays null; mis-nested markup can leave text, which sanitize_audit reports."""
     out = html
     for tag in RAW_TAGS:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?(?:</\s*{tag}\s*>|\z)", "")
-    paired = "|".join(t for t in DROPPED_TAGS if t not in RAW_TAGS and t not in VOID_TAGS)
-    for _ in range(3):
-        out = F.regexp_replace(out, rf"(?is)<({paired})\b[^>]*>(?:[^<]++|<(?!(?:{paired})\b|/\s*\1\b))*+</\s*\1\s*>", "")
+    paired = [t for t in DROPPED_TAGS if t not in RAW_TAGS and t not in VOID_TAGS]
+    innermost = rf"(?is)<({'|'.join(paired)})\b[^>]*>(?:[^<]++|<(?!/?\s*\1\b))*+</\s*\1\s*>"
+    depth = _most_nested(out, paired)
+    passes = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    out = F.aggregate(passes, out, lambda text, _: F.regexp_replace(text, innermost, ""))
     return F.regexp_replace(out, rf"(?i)</?\s*(?:{'|'.join(DROPPED_TAGS)})\b[^>]*>", "")
 
 
@@ -58,6 +88,23 @@ def sanitize_attrs(html: Column) -> Column:
     return in_tags(html, lambda tag: F.regexp_replace(handlers(tag), rf"(?is)\s+(?:href|src|action)\s*=\s*{inline}", ""))
 
 
+HANDLER = r"(?i)^on"
+
+
+def attribute_flags(html: Column) -> Column:
+    """struct(handlers, inline_html, script_links): how many event handlers and references to inline
+    HTML sanitize_attrs takes from the tags, and how many script links it keeps."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), lambda t: t.rlike(r"^<\s*[a-zA-Z]"))
+    pairs = F.flatten(F.transform(tags, tag_values))
+    is_reference = lambda p: p["name"].isin("href", "src", "action")
+    count = lambda holds: F.size(F.filter(pairs, holds))
+    return F.struct(
+        count(lambda p: p["name"].rlike(HANDLER)).alias("handlers"),
+        count(lambda p: is_reference(p) & p["value"].rlike(r"(?i)^\s*data:text/html")).alias("inline_html"),
+        count(lambda p: is_reference(p) & p["value"].rlike(r"(?i)^\s*(?:javascript|vbscript):")).alias("script_links"),
+    )
+
+
 def strip_presentation(html: Column) -> Column:
     """html without style and presentational attributes; an image keeps its width and height."""
     without = lambda tag, names: F.regexp_replace(tag, rf"(?is)\s+(?:{'|'.join(names)})\s*=\s*{VALUE}", "")
@@ -65,30 +112,60 @@ def strip_presentation(html: Column) -> Column:
     return in_tags(html, lambda tag: F.when(tag.rlike(r"(?i)^<\s*img\b"), without(tag, image)).otherwise(without(tag, ("style", *PRESENTATION))))
 
 
+#: A frame's tag, an inline one with what it holds up to its end, or else a run of other markup.
+FRAME = rf"<frame\b(?:{QUOTED_RUN})>|<iframe\b(?:{QUOTED_RUN})>(?:[^<]*+(?:<(?!/iframe\b)[^<]*+)*+</iframe\s*>)?"
+FRAME_PIECE = rf"(?is){FRAME}|[^<]++|<"
+
+
+def _frame_pieces(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(FRAME_PIECE), F.lit(0))
+
+
+def _frame_source(piece: Column) -> Column:
+    """The source of a piece that is a frame with one inside the archive; null for any other."""
+    src = attribute(F.regexp_extract(piece, rf"(?is)^<i?frame\b(?:{QUOTED_RUN})>", 0), "src")
+    return F.when(piece.rlike(r"(?is)^<i?frame\b") & (src != "") & ~is_external(src), src)
+
+
 def frames_to_links(html: Column) -> Column:
     """Frames with an archive page as a paragraph that links to it; framesets as divisions."""
-    external = r"(?:https?|mailto|ftp|tel|data|javascript|about):"
-    frame = rf"""(?is)<i?frame\b[^>]*?\ssrc\s*=\s*["'](?!\s*{external})([^"']+)["'][^>]*>(?:\s*</iframe>)?"""
-    out = F.regexp_replace(html, frame, '<p><a href="$1">→ $1</a></p>')
+
+    def change(piece: Column) -> Column:
+        src = _frame_source(piece)
+        return F.coalesce(F.concat(F.lit("<p><a href="), quoted(src), F.lit(">→ "), escaped(src), F.lit("</a></p>")), piece)
+
+    out = F.array_join(F.transform(_frame_pieces(html), change), "")
     return F.regexp_replace(F.regexp_replace(out, r"(?i)<frameset\b[^>]*>", "<div>"), r"(?i)</frameset\s*>", "</div>")
 
 
+def _put_in(pages: DataFrame, pieces: Column, wanted: DataFrame, content: DataFrame) -> DataFrame:
+    """pages(archive_id, path) with `whole`: its pieces, of which those that wanted(archive_id, path, at,
+    target_key) names are replaced by what content(archive_id, target_key, put) has, if anything."""
+    found = matched(wanted, content, ["archive_id", "target_key"])
+    puts = found.groupBy("archive_id", "path").agg(F.map_from_entries(F.collect_list(F.struct("at", "put"))).alias("puts"))
+    filled = F.array_join(F.transform(pieces, lambda x, i: F.coalesce(F.try_element_at("puts", i), x)), "")
+    return matched(pages, puts, ["archive_id", "path"], "left").withColumn("whole", F.when(F.col("puts").isNotNull(), filled)).drop("puts")
+
+
 def inline_frames(pages: DataFrame, levels: int = 2) -> DataFrame:
-    """pages(archive_id, path, html) with the content of archive pages put in place of their frames, two
-    levels deep; external frames and missing pages stay. A level is one join on the frames' targets."""
-    frame = r"""(?is)<i?frame\b[^>]*?\ssrc\s*=\s*["']([^"']+)["'][^>]*>(?:\s*</iframe>)?"""
-    inner = pages.select("archive_id", F.lower("path").alias("target_key"), F.col("html").alias("inner_html"))
-    out = pages
-    for _ in range(levels):
-        found = out.select(
-            "archive_id", "path", F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(frame), F.lit(0)).alias("whole"), F.regexp_extract_all("html", F.lit(frame), F.lit(1)).alias("src"))).alias("at", "f")
-        ).select("archive_id", "path", "at", "f.whole", F.lower(F.when(~is_external(F.col("f.src")), normalize_path(F.col("path"), F.col("f.src")))).alias("target_key"))
-        filled = found.join(inner, ["archive_id", "target_key"], "left").withColumn("put", F.coalesce(F.concat(F.lit('<div class="frame">'), "inner_html", F.lit("</div>")), "whole"))
-        puts = filled.groupBy("archive_id", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "put"))), lambda x: x["put"]).alias("puts"))
-        cut = F.split(F.regexp_replace("html", frame, "\u0001"), "\u0001")
-        whole = F.array_join(F.zip_with(cut, "puts", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        out = out.join(puts, ["archive_id", "path"], "left").withColumn("html", F.when(F.col("puts").isNotNull(), whole).otherwise(F.col("html"))).drop("puts")
-    return out
+    """pages(archive_id, path, html) with the content of archive pages put in place of their frames,
+    two levels deep; external frames, missing pages and targets that can't be shown stay.
+
+    Each page's frames are resolved against the page that holds them: first every page's
+    frames get their targets as they are, then every page's own frames get their targets as
+    they have become, so a level is one join. Of targets that differ in case only, the last
+    in order of their spelling is taken. Rows of one (archive_id, path) are one page."""
+    pages = pages.dropDuplicates(["archive_id", "path"])
+    frames = pages.select("archive_id", "path", F.posexplode(F.transform(_frame_pieces(F.col("html")), _frame_source)).alias("at", "src")).where(F.col("src").isNotNull())
+    frames = frames.withColumn("target", normalize_path(F.col("path"), F.col("src"))).where(is_renderable(F.col("target")))
+    wanted = frames.select("archive_id", "path", "at", F.lower("target").alias("target_key"))
+    shown = last_per_key(pages, [F.col("archive_id"), F.lower("path")], "path").select("archive_id", "path", F.col("html").alias("now"))
+    for level in range(levels):
+        put = shown.select("archive_id", F.lower("path").alias("target_key"), F.concat(F.lit('<div class="frame">'), "now", F.lit("</div>")).alias("put"))
+        done = _put_in(pages, _frame_pieces(F.col("html")), wanted, put.where(F.col("put").isNotNull()))
+        done = done.select("archive_id", "path", F.coalesce("whole", "html").alias("now"))
+        shown = last_per_key(done, [F.col("archive_id"), F.lower("path")], "path") if level < levels - 1 else done
+    return matched(pages.drop("html"), shown.withColumnRenamed("now", "html"), ["archive_id", "path"])
 
 
 def body_of(html: Column) -> Column:
@@ -120,107 +197,267 @@ def classify_links(refs: DataFrame) -> DataFrame:
     return refs.withColumn("link_class", kind)
 
 
+def without(tag: Column, *names: str) -> Column:
+    """A tag without the attributes of these names, with or without a value."""
+    return F.regexp_replace(tag, rf"(?is)\s+(?:{'|'.join(names)})(?:\s*=\s*{VALUE}|(?=[\s/>]))", "")
+
+
+def with_attributes(tag: Column, *added: Column) -> Column:
+    """A tag with more attributes, each with the space before it, at its end."""
+    return F.concat(F.regexp_replace(tag, r"\s*/?>$", ""), *added, F.when(tag.rlike(r"/>$"), "/>").otherwise(">"))
+
+
 def harden_links(html: Column) -> Column:
-    """html whose links out of the archive open apart and without access to the opener; script links stay."""
+    """html whose links out of the archive open apart, without access to the opener and without a
+    referrer, whatever target they had; links inside it lose their target, script links stay."""
     href = lambda tag: attribute(tag, "href")
-    outward = lambda tag: tag.rlike(r"(?i)^<\s*a\b") & is_external(href(tag)) & ~trimmed(href(tag)).rlike("(?i)^javascript:")
-    return in_tags(html, lambda tag: F.when(outward(tag), F.regexp_replace(tag, r"\s*/?>$", ' target="_blank" rel="noopener">')).otherwise(tag))
+    is_link = lambda tag: tag.rlike(r"(?i)^<\s*a\b") & (href(tag) != "")
+    is_script = lambda tag: trimmed(href(tag)).rlike("(?i)^(?:javascript|vbscript):")
+    apart = lambda tag: with_attributes(without(tag, "target", "rel"), F.lit(' target="_blank" rel="noopener noreferrer"'))
+    change = lambda tag: F.when(is_link(tag) & ~is_script(tag), F.when(is_external(href(tag)), apart(tag)).otherwise(without(tag, "target"))).otherwise(tag)
+    return in_tags(html, change)
 
 
 def missing_references(refs: DataFrame, entries: DataFrame) -> DataFrame:
     """References whose target no entry of the archive is, without regard to case."""
     known = entries.select("archive_id", F.lower("path").alias("target_key")).distinct()
     wanted = refs.where(F.col("target_path").isNotNull()).withColumn("target_key", F.lower("target_path"))
-    return wanted.join(known, ["archive_id", "target_key"], "left_anti").drop("target_key")
+    return matched(wanted, known, ["archive_id", "target_key"], "left_anti").drop("target_key")
 
 
 def orphans(entries: DataFrame, refs: DataFrame) -> DataFrame:
     """Renderable entries that no reference of another page means."""
     other = refs.where(F.lower("target_path") != F.lower("from_path")).select("archive_id", F.lower("target_path").alias("path_key")).distinct()
-    return entries.where(is_renderable(F.col("path"))).withColumn("path_key", F.lower("path")).join(other, ["archive_id", "path_key"], "left_anti").drop("path_key")
+    own = entries.where(is_renderable(F.col("path"))).withColumn("path_key", F.lower("path"))
+    return matched(own, other, ["archive_id", "path_key"], "left_anti").drop("path_key")
 
 
 def link_degrees(refs: DataFrame) -> DataFrame:
     """Distinct pages that a path refers to, and that refer to it."""
     edges = refs.where(F.col("target_path").isNotNull()).select("archive_id", F.lower("from_path").alias("a"), F.lower("target_path").alias("b")).distinct()
-    out = edges.groupBy("archive_id", F.col("a").alias("path_key")).agg(F.count(F.lit(1)).alias("out_degree"))
-    into = edges.groupBy("archive_id", F.col("b").alias("path_key")).agg(F.count(F.lit(1)).alias("in_degree"))
-    zero = F.lit(0).cast("long")
-    return out.join(into, ["archive_id", "path_key"], "full_outer").select("archive_id", "path_key", F.coalesce("out_degree", zero).alias("out_degree"), F.coalesce("in_degree", zero).alias("in_degree"))
+    ends = edges.select("archive_id", F.explode(F.array(F.struct(F.col("a").alias("path_key"), F.lit(1).alias("out")), F.struct(F.col("b").alias("path_key"), F.lit(0).alias("out")))).alias("e"))
+    return ends.groupBy("archive_id", "e.path_key").agg(F.sum("e.out").cast("long").alias("out_degree"), F.sum(1 - F.col("e.out")).cast("long").alias("in_degree"))
+
+
+#: An attribute with its value, or what lies between two of them.
+ATTRIBUTE_PIECE = rf"""(?is)[a-z_][\w:-]*\s*=\s*{VALUE}|[\w:-]++|[^\w:-]"""
+
+
+def url_maps(urls: DataFrame) -> DataFrame:
+    """urls(archive_id, path, raw, url) as a map from raw to url for each page; a page's references bound it."""
+    one = urls.where(F.col("raw").isNotNull() & F.col("url").isNotNull()).groupBy("archive_id", "path", "raw").agg(F.min("url").alias("url"))
+    return one.groupBy("archive_id", "path").agg(F.map_from_entries(F.collect_list(F.struct("raw", "url"))).alias("urls"))
 
 
 def rewrite_refs(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """pages with each reference that urls(archive_id, path, raw, url) knows replaced; the others stay.
+    """pages with each reference that urls(archive_id, path, raw, url) knows replaced, however its
+    value is quoted; the others stay."""
+    names = "|".join(REFERENCE_ATTRIBUTES)
+    lead = rf"(?is)^((?:{names})\s*=\s*).*$"
 
-    The reference attributes cut a page into pieces; only the values join."""
-    attr = rf"""(?is)(\b(?:{'|'.join(REFERENCE_ATTRIBUTES)})\s*=\s*)"([^"]*)\""""
-    found = pages.select("archive_id", "path", F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(attr), F.lit(1)).alias("lead"), F.regexp_extract_all("html", F.lit(attr), F.lit(2)).alias("raw"))).alias("at", "f"))
-    found = found.select("archive_id", "path", "at", "f.lead", "f.raw").join(urls, ["archive_id", "path", "raw"], "left")
-    put = F.concat("lead", F.lit('"'), F.coalesce("url", "raw"), F.lit('"'))
-    puts = found.groupBy("archive_id", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", put.alias("put")))), lambda x: x["put"]).alias("puts"))
-    cut = F.split(F.regexp_replace("html", attr, "\u0001"), "\u0001")
-    whole = F.array_join(F.zip_with(cut, "puts", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return pages.join(puts, ["archive_id", "path"], "left").withColumn("html", F.when(F.col("puts").isNotNull(), whole).otherwise(F.col("html"))).drop("puts")
+    def change(piece: Column) -> Column:
+        url = F.try_element_at("urls", unquoted(F.regexp_replace(piece, rf"(?is)^(?:{names})\s*=\s*", "")))
+        return F.when(piece.rlike(rf"(?is)^(?:{names})\s*=\s*{VALUE}$") & url.isNotNull(), F.concat(F.regexp_replace(piece, lead, "$1"), quoted(url))).otherwise(piece)
+
+    in_tag = lambda tag: F.array_join(F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE_PIECE), F.lit(0)), change), "")
+    joined = matched(pages, url_maps(urls), ["archive_id", "path"], "left")
+    return joined.withColumn("html", F.when(F.col("urls").isNotNull(), in_tags(F.col("html"), in_tag)).otherwise(F.col("html"))).drop("urls")
 
 
 def project_background(html: Column) -> Column:
-    """A background attribute as an inline style."""
-    return F.regexp_replace(html, r"""(?is)(<[a-z][^<>]*?)\sbackground\s*=\s*["']([^"']+)["']""", "$1 style=\"background-image:url('$2')\"")
+    """A background attribute with an archive's file as an inline style, beside the style that the tag has."""
+
+    def change(tag: Column) -> Column:
+        url = attribute(tag, "background")
+        style = F.regexp_replace(F.coalesce(attribute(tag, "style"), F.lit("")), r"(?i)(?:^|(?<=;))\s*background-image\s*:[^;]*;?", "")
+        style = F.regexp_replace(style, r"[\s;]+$", "")
+        image = F.concat(F.lit("background-image:url('"), F.replace(url, F.lit("'"), F.lit("%27")), F.lit("')"))
+        both = F.when(style == "", image).otherwise(F.concat(style, F.lit(";"), image))
+        inside = (url != "") & ~is_external(url) & ~url.startswith("blob:")
+        return F.when(inside, with_attributes(without(tag, "background", "style"), F.lit(" style="), quoted(both))).otherwise(tag)
+
+    return in_tags(html, change)
 
 
 def stylesheets(pages: DataFrame) -> DataFrame:
     """(archive_id, path, kind, value): inline style blocks, and targets of linked stylesheets."""
     inline = pages.select("archive_id", "path", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<style\b[^>]*>(.*?)</style\s*>"), F.lit(1))).alias("value")).withColumn("kind", F.lit("inline"))
     links = pages.select("archive_id", "path", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))).alias("t"))
-    links = links.where(attribute(F.col("t"), "rel").rlike("(?i)stylesheet")).select("archive_id", "path", normalize_path(F.col("path"), attribute(F.col("t"), "href")).alias("value"), F.lit("linked").alias("kind"))
+    links = links.select("archive_id", "path", attribute(F.col("t"), "rel").alias("rel"), attribute(F.col("t"), "href").alias("href")).where(F.col("rel").rlike("(?i)stylesheet"))
+    links = links.select("archive_id", "path", normalize_path(F.col("path"), F.col("href")).alias("value"), F.lit("linked").alias("kind"))
     return inline.unionByName(links.where(F.col("value").isNotNull()))
 
 
-CSS_IMPORT = r"""(?i)@import\s+(?:url\(\s*)?["']?([^"')\s;]+)["']?\s*\)?[^;]*;"""
+def page_styles(pages: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(archive_id, path, kind, base, css): the styles of each page; base is where their references
+    count from. Linked sheets come from sheets(archive_id, path, css), without regard to case;
+    those that aren't there have no row."""
+    found = stylesheets(pages)
+    inline = found.where("kind = 'inline'").select("archive_id", "path", "kind", F.col("path").alias("base"), F.col("value").alias("css"))
+    known = last_per_key(sheets, [F.col("archive_id"), F.lower("path")], "path").select("archive_id", F.lower("path").alias("target_key"), "css")
+    linked = matched(found.where("kind = 'linked'").withColumn("target_key", F.lower("value")), known, ["archive_id", "target_key"])
+    return inline.unionByName(linked.select("archive_id", "path", "kind", F.col("value").alias("base"), "css"))
+
+
+#: An import rule, whatever media it names, or else a run of other text.
+IMPORT_RULE = r"""@import\b\s*(?:url\s*\(\s*(?:"[^"]*"|'[^']*'|[^)]*)\s*\)|"[^"]*"|'[^']*')[^;]*;"""
+IMPORT_PIECE = rf"(?i){IMPORT_RULE}|[^@]++|@"
+URL_REFERENCE = r"""(?i)url\s*\(\s*(?:"[^"]*"|'[^']*'|[^)"']*)\s*\)"""
+URL_PIECE = rf"{URL_REFERENCE}|[^uU]++|[uU]"
+
+
+def _url_value(piece: Column) -> Column:
+    """What url(...) names."""
+    return trimmed(unquoted(trimmed(F.regexp_replace(F.regexp_replace(piece, r"(?i)^url\s*\(", ""), r"\)$", ""))))
+
+
+def _imported(piece: Column) -> Column:
+    """What an import rule names; null for any other piece."""
+    named = F.regexp_replace(F.regexp_replace(piece, r"(?i)^@import\b\s*", ""), r"[^;\"')]*;$", "")
+    return F.when(piece.rlike("(?i)^@import"), F.when(named.rlike(r"(?i)^url\s*\("), _url_value(named)).otherwise(unquoted(named)))
+
+
+def _import_pieces(css: Column) -> Column:
+    return F.regexp_extract_all(css, F.lit(IMPORT_PIECE), F.lit(0))
+
+
+def _imports(sheets: DataFrame) -> DataFrame:
+    """(archive_id, path, at, raw) of the import rules of sheets(archive_id, path, css)."""
+    rows = sheets.select("archive_id", "path", F.posexplode(F.transform(_import_pieces(F.col("css")), _imported)).alias("at", "raw"))
+    return rows.where(F.col("raw").isNotNull())
 
 
 def css_imports(sheets: DataFrame, depth: int = 4) -> DataFrame:
     """(archive_id, path, imported, steps): sheets(archive_id, path, css) and what they import, up to `depth` steps."""
-    rows = sheets.select("archive_id", "path", F.explode(F.regexp_extract_all("css", F.lit(CSS_IMPORT), F.lit(1))).alias("raw"))
-    edges = rows.where(~is_external(F.col("raw"))).select("archive_id", "path", normalize_path(F.col("path"), F.col("raw")).alias("imported")).where(F.col("imported").isNotNull()).distinct()
+    inner = _imports(sheets).where(~is_external(F.col("raw")))
+    edges = inner.select("archive_id", "path", normalize_path(F.col("path"), F.col("raw")).alias("imported")).where(F.col("imported").isNotNull()).distinct()
     level = edges.withColumn("steps", F.lit(1))
     out = level
     hop = edges.select("archive_id", F.lower("path").alias("k"), F.col("imported").alias("next"))
     for step in range(2, depth + 1):
-        level = level.withColumn("k", F.lower("imported")).join(hop, ["archive_id", "k"]).select("archive_id", "path", F.col("next").alias("imported"), F.lit(step).alias("steps")).distinct()
+        level = matched(level.withColumn("k", F.lower("imported")), hop, ["archive_id", "k"]).select("archive_id", "path", F.col("next").alias("imported"), F.lit(step).alias("steps")).distinct()
         out = out.unionByName(level)
     return out.groupBy("archive_id", "path", "imported").agg(F.min("steps").alias("steps"))
 
 
 def css_urls(sheets: DataFrame) -> DataFrame:
-    """(archive_id, path, target) of url(...) in stylesheets."""
-    rows = sheets.select("archive_id", "path", F.explode(F.regexp_extract_all("css", F.lit(r"""(?i)url\(\s*["']?([^"')]+?)["']?\s*\)"""), F.lit(1))).alias("raw"))
-    return rows.where(~is_external(F.col("raw"))).select("archive_id", "path", normalize_path(F.col("path"), F.col("raw")).alias("target")).where(F.col("target").isNotNull()).distinct()
-
-
-#: Objects and members whose assignment or call navigates.
-NAV_ROOTS = r"(?:(?:window|document|this|top|self|parent)\s*\.\s*)?location"
-NAV_TOKEN = rf"""//[^\n]*|/\*.*?(?:\*/|\z)|{LITERAL}|(?<![\w$.])(?:{NAV_ROOTS})(?:\s*\.\s*href)?\s*=(?!=)\s*(?:{LITERAL}|[^;\n]*)|(?<![\w$.])(?:{NAV_ROOTS})\s*\.\s*(?:replace|assign)\s*\((?:{LITERAL}|[^()"'])*\)"""
+    """(archive_id, path, raw, target) of url(...) in stylesheets, import rules left out; external ones have no row."""
+    rest = F.array_join(F.filter(_import_pieces(F.col("css")), lambda x: ~x.rlike(rf"(?i)^{IMPORT_RULE}")), "")
+    rows = sheets.select("archive_id", "path", F.explode(F.regexp_extract_all(rest, F.lit(URL_REFERENCE), F.lit(0))).alias("piece")).select("archive_id", "path", _url_value(F.col("piece")).alias("raw"))
+    inner = ~is_external(F.col("raw")) & ~F.col("raw").startswith("blob:")
+    return rows.where(inner).select("archive_id", "path", "raw", normalize_path(F.col("path"), F.col("raw")).alias("target")).where(F.col("target").isNotNull()).distinct()
+
+
+def expand_css(sheets: DataFrame, urls: DataFrame, levels: int = 4) -> DataFrame:
+    """sheets(archive_id, path, css) with `whole`: the sheet with what it imports in place of its
+    import rules, `levels` deep, and each url(...) that urls(archive_id, path, raw, url) knows
+    replaced. Imports from outside and of missing sheets go; below the last level they stay.
+
+    Each sheet's references are resolved against the sheet that holds them: first its own
+    urls, then a join a level that puts the imported sheets in as they have become."""
+    sheets = sheets.dropDuplicates(["archive_id", "path"])
+    put_url = lambda x: F.coalesce(F.when(x.rlike(rf"^{URL_REFERENCE}$"), F.concat(F.lit('url("'), F.try_element_at("urls", _url_value(x)), F.lit('")'))), x)
+    in_piece = lambda piece: F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(URL_PIECE), F.lit(0)), put_url), "")
+    with_urls = F.array_join(F.transform(_import_pieces(F.col("css")), lambda x: F.when(x.rlike("(?i)^@import"), x).otherwise(in_piece(x))), "")
+    own = matched(sheets, url_maps(urls), ["archive_id", "path"], "left")
+    # written, as each level reads it twice
+    own = written(own.select("archive_id", "path", F.when(F.col("urls").isNotNull(), with_urls).otherwise(F.col("css")).alias("own")), "sheets")
+    rules = _imports(own.select("archive_id", "path", F.col("own").alias("css")))
+    rules = rules.withColumn("target_key", F.when(~is_external(F.col("raw")), F.lower(normalize_path(F.col("path"), F.col("raw")))))
+    now = own.select("archive_id", "path", F.col("own").alias("now"))
+    for _ in range(levels):
+        known = last_per_key(now, [F.col("archive_id"), F.lower("path")], "path").select("archive_id", F.lower("path").alias("target_key"), F.col("now").alias("put"))
+        puts = matched(rules, known, ["archive_id", "target_key"], "left").groupBy("archive_id", "path")
+        puts = puts.agg(F.map_from_entries(F.collect_list(F.struct("at", F.coalesce("put", F.lit("")).alias("put")))).alias("puts"))
+        filled = F.array_join(F.transform(_import_pieces(F.col("own")), lambda x, i: F.coalesce(F.try_element_at("puts", i), x)), "")
+        now = matched(own.select("archive_id", "path", "own"), puts, ["archive_id", "path"], "left")
+        now = now.select("archive_id", "path", F.when(F.col("puts").isNotNull(), filled).otherwise(F.col("own")).alias("now"))
+    return matched(sheets, now.withColumnRenamed("now", "whole"), ["archive_id", "path"])
+
+
+#: The dotted names whose assignment or call navigates.
+NAVIGATES = (
+    "location", "location.href", "location.assign", "location.replace", "document.location", "document.location.href", "window.location",
+    "window.location.href", "this.location", "this.location.href", "top.location", "top.location.href", "self.location", "self.location.href",
+)
+#: A script's tokens: comments, literals, regular expressions with the sign before them, names
+#: that navigate with their sign, members of other objects, other names, and single characters.
+SCRIPT_TOKEN = (
+    rf"//[^\n]*+|/\*.*?(?:\*/|\z)|{LITERAL}|`(?:[^`\\]|\\.)*+(?:`|\z)"
+    r"|(?:^|[=(,;:!&|?{}\[\]+\-*%~^<>\n])[ \t]*+/(?![/*])(?:[^\\\[/\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/?[\w$]*+"
+    rf"|(?:{'|'.join(x.replace('.', chr(92) + '.') for x in sorted(NAVIGATES, reverse=True))})(?![\w$]|\.[\w$])[ \t]*+(?:=(?!=)|\()"
+    r"|\.[ \t]*+[\w$]++(?:\.[\w$]++)*+|[\w$]++(?:\.[\w$]++)*+|."
+)
+NAV_START = r"^(?:(?:document|window|this|top|self)\.)?location[\w.]*[ \t]*+[=(]$"
+
+
+def navigation_arguments(script: Column) -> Column:
+    """The argument of each assignment and call of a script that navigates, in order.
+
+    A walk over the tokens with the depth of brackets: an argument ends at a comma, a
+    semicolon or a line's end outside brackets, or at the bracket that closes the call."""
+    tokens = F.regexp_extract_all(script, F.lit(f"(?s){SCRIPT_TOKEN}"), F.lit(0))
+    none = F.array().cast("array<struct<first:int,size:int>>")
+    state = lambda at, first, depth, spans: F.struct(at.alias("at"), first.alias("first"), depth.alias("depth"), spans.alias("spans"))
+
+    def span(s: Column, end: Column) -> Column:
+        return F.concat(s["spans"], F.array(F.struct(s["first"].alias("first"), (end - s["first"]).alias("size"))))
+
+    def step(s: Column, t: Column) -> Column:
+        at, inside = s["at"] + 1, s["first"] > 0
+        begins = t.rlike(NAV_START)
+        mark = F.substring(t, 1, 1)
+        single = (F.char_length(t) == 1) | t.rlike(r"(?s)^[=(,;:!&|?{}\[\]+\-*%~^<>\n][ \t]*+/")
+        opens = (begins & t.endswith("(")) | (single & mark.isin("(", "[", "{"))
+        closes = single & mark.isin(")", "]", "}")
+        ends = inside & (s["depth"] == 0) & (closes | (single & mark.isin(",", ";", "\n")))
+        return state(
+            at,
+            F.when(ends, 0).when(~inside & begins, at + 1).otherwise(s["first"]),
+            F.when(ends | ~inside, 0).otherwise(s["depth"] + opens.cast("int") - closes.cast("int")),
+            F.when(ends, span(s, at)).otherwise(s["spans"]),
+        )
+
+    start = state(F.lit(0), F.lit(0), F.lit(0), none)
+    spans = F.aggregate(tokens, start, step, lambda s: F.when(s["first"] > 0, span(s, s["at"] + 1)).otherwise(s["spans"]))
+    found = F.transform(spans, lambda s: trimmed(F.array_join(F.slice(tokens, s["first"], s["size"]), "")))
+    return F.when(script.contains("location"), F.filter(found, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
 def script_nav_edges(scripts: DataFrame) -> DataFrame:
-    """(archive_id, path, at, target) of statements of scripts(archive_id, path, text) that navigate.
+    """(archive_id, path, at, argument, target) of statements of scripts(archive_id, path, text) that navigate.
 
-    Comments and literals are tokens of their own, so nothing inside them counts; nor do
-    comparisons and members of other objects. The target is the first literal assigned or
-    passed; null where there is none."""
-    rows = scripts.select("archive_id", "path", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s){NAV_TOKEN}"), F.lit(0))).alias("at", "t"))
-    own = rows.where(F.col("t").rlike(rf"(?s)^{NAV_ROOTS}"))
-    first = F.regexp_extract("t", f"(?s)({LITERAL})", 1)
-    return own.select("archive_id", "path", "at", F.when(first != "", literal_value(first)).alias("target"))
+    Nothing inside comments, literals and regular expressions counts; nor do comparisons and
+    members of other objects. target is the value of an argument that is one literal, else null."""
+    rows = scripts.select("archive_id", "path", F.posexplode(navigation_arguments(F.col("text"))).alias("at", "argument"))
+    return rows.withColumn("target", F.when(F.col("argument").rlike(CLOSED), literal_value(F.col("argument"))))
 
 
 def script_sources(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """(archive_id, path, script_path, text): the scripts of pages that the archive holds."""
-    tags = pages.select("archive_id", "path", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>"), F.lit(0))).alias("t"))
-    wanted = tags.select("archive_id", "path", F.lower(normalize_path(F.col("path"), attribute(F.col("t"), "src"))).alias("target_key")).where(F.col("target_key").isNotNull())
-    known = entries.select("archive_id", F.lower("path").alias("target_key"), F.col("path").alias("script_path"), "text")
-    return wanted.join(known, ["archive_id", "target_key"]).select("archive_id", "path", "script_path", "text")
+    """(archive_id, path, at, script_path, text): the scripts of pages that the archive holds, decoded.
+
+    entries(archive_id, entry_seq, path, content, encoding): encoding is the archive's. Of
+    entries that differ in case only the last counts. Use it inside lenient_charsets()."""
+    tags = pages.select("archive_id", "path", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>"), F.lit(0))).alias("at", "t"))
+    named = tags.select("archive_id", "path", "at", attribute(F.col("t"), "src").alias("src")).where(~is_external(F.col("src")))
+    wanted = named.select("archive_id", "path", "at", F.lower(normalize_path(F.col("path"), F.col("src"))).alias("target_key")).where(F.col("target_key").isNotNull())
+    known = last_per_key(entries, [F.col("archive_id"), F.lower("path")], "entry_seq")
+    known = known.withColumn("own", effective_encoding(F.col("content"), F.lit(None).cast("string"), F.col("encoding")))
+    known = known.select("archive_id", F.lower("path").alias("target_key"), F.col("path").alias("script_path"), decode_text(F.col("content"), F.col("own")).alias("text"))
+    return matched(wanted, known, ["archive_id", "target_key"]).select("archive_id", "path", "at", "script_path", "text")
+
+
+def implied_refs(items: DataFrame, refs: DataFrame) -> DataFrame:
+    """refs and the chapter files that the chapter rows of a page's scripts imply.
+
+    items(archive_id, path, n, file) are rows of pages_items(), path the page's; a file lies
+    in the text folder beside the page's own."""
+    raw = F.concat(F.lit("../txt/"), F.col("file"), F.lit(".txt"))
+    more = items.select(
+        "archive_id", F.col("path").alias("from_path"), F.col("n").alias("at"), F.lit("script").alias("tag"), F.lit("pages").alias("attr"), raw.alias("raw"),
+        normalize_path(F.col("path"), raw).alias("target_path"), F.lit("").alias("fragment"),
+    )
+    return refs.unionByName(more)
 
 
 def dangling_anchors(refs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -233,8 +470,8 @@ def dangling_anchors(refs: DataFrame, pages: DataFrame) -> DataFrame:
     target = F.when(F.col("raw").startswith("#"), F.col("from_path")).otherwise(F.col("target_path"))
     wanted = refs.where((F.col("fragment") != "") & (F.col("attr") == "href")).withColumn("target_key", F.lower(target))
     known = pages.select("archive_id", F.lower("path").alias("target_key")).distinct()
-    inside = wanted.join(known, ["archive_id", "target_key"], "left_semi")
-    return inside.join(there, ["archive_id", "target_key", "fragment"], "left_anti").drop("target_key")
+    inside = matched(wanted, known, ["archive_id", "target_key"], "left_semi")
+    return matched(inside, there, ["archive_id", "target_key", "fragment"], "left_anti").drop("target_key")
 
 
 def extraction_quality(pages: DataFrame, least: int = 50) -> DataFrame:
@@ -244,9 +481,12 @@ def extraction_quality(pages: DataFrame, least: int = 50) -> DataFrame:
 
 
 def sanitize_audit(pages: DataFrame) -> DataFrame:
-    """Per archive and dropped tag: how often it opens."""
-    tags = pages.select("archive_id", F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("t"))
-    tags = tags.select("archive_id", F.lower(F.regexp_extract("t", TAG, 2)).alias("tag"), (F.regexp_extract("t", TAG, 1) == "/").alias("closing"))
-    return tags.where(~F.col("closing") & F.col("tag").isin(*DROPPED_TAGS)).groupBy("archive_id", "tag").agg(F.count(F.lit(1)).alias("dropped"))
-
-
+    """(archive_id, path, what, n): per page, how often each dropped tag opens, how many event handlers
+    (`handler`) and references to inline HTML (`inline html`) go, and how many script links stay (`script link`)."""
+    tags = F.filter(F.regexp_extract_all("html", F.lit(TAG), F.lit(0)), lambda t: t.rlike(r"^<\s*[a-zA-Z]"))
+    names = F.filter(F.transform(tags, lambda t: F.lower(F.regexp_extract(t, TAG, 2))), lambda x: x.isin(*DROPPED_TAGS))
+    dropped = pages.select("archive_id", "path", F.explode(names).alias("what")).groupBy("archive_id", "path", "what").agg(F.count(F.lit(1)).alias("n"))
+    flags = attribute_flags(F.col("html"))
+    kinds = F.array(*[F.struct(F.lit(what).alias("what"), F.col(f"f.{name}").cast("long").alias("n")) for what, name in (("handler", "handlers"), ("inline html", "inline_html"), ("script link", "script_links"))])
+    attributes = pages.select("archive_id", "path", flags.alias("f")).select("archive_id", "path", F.explode(F.filter(kinds, lambda k: k["n"] > 0)).alias("k"))
+    return dropped.unionByName(attributes.select("archive_id", "path", "k.what", "k.n"))
