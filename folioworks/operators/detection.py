@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.encodings import decode_text, lenient_charsets, locale_charset, sniff, utf8_class
+from ..functions.encodings import decode_text, effective_encoding, lenient_charsets, locale_charset, sniff, utf8_class
 from ..functions.paths import is_content, is_html, is_text, natural_key
+from .content import matched
 
 SAMPLE = 65536
 
@@ -25,7 +26,7 @@ def book_encodings(entries: DataFrame, archives: DataFrame) -> DataFrame:
     text = sized.where(is_text(F.col("path")) & (F.col("size") > 256)).groupBy("archive_id").agg(F.min_by("sample", "entry_seq").alias("text_sample"))
     low = F.conv(F.concat(F.hex(F.substring("locale_property", 2, 1)), F.hex(F.substring("locale_property", 1, 1))), 16, 10).cast("int")
     lcid = F.when(F.octet_length("locale_property") >= 4, low).otherwise(F.col("lcid").bitwiseAND(0xFFFF))
-    joined = archives.join(html, "archive_id", "left").join(text, "archive_id", "left")
+    joined = matched(matched(archives, html, ["archive_id"], "left"), text, ["archive_id"], "left")
     seen = joined.select("archive_id", sniff(F.coalesce("html_sample", "text_sample")).alias("s"), locale_charset(lcid).alias("by_locale"))
     return seen.select(
         "archive_id",
@@ -34,6 +35,22 @@ def book_encodings(entries: DataFrame, archives: DataFrame) -> DataFrame:
     )
 
 
+def redecoded(entries: DataFrame, encodings: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(archive_id, entry_seq, path, encoding, text) of the entries of archives whose encoding is overridden.
+
+    entries(archive_id, entry_seq, path, content), encodings(archive_id, encoding) and
+    overrides(archive_id, override); an empty override goes back to what is found for each
+    document. Contents files, indexes and documents are entries alike, so sitemap_nodes() and
+    all after it are made anew from these texts; other archives aren't read."""
+    chosen = matched(overrides.where(F.col("override").isNotNull()), encodings.select("archive_id", "encoding"), ["archive_id"], "left")
+    rows = matched(entries, chosen, ["archive_id"])
+    with lenient_charsets(entries.sparkSession):
+        own = rows.withColumn("encoding", effective_encoding(F.col("content"), F.col("override"), F.col("encoding")))
+        texts = own.select("archive_id", "entry_seq", "path", "encoding", decode_text(F.col("content"), F.col("encoding")).alias("text"))
+        texts.schema  # analysed while the settings hold
+    return texts
+
+
 def encoding_report(entries: DataFrame, by: tuple[str, ...] = ("encoding", "source", "class")) -> DataFrame:
     """(archive_id, *by, documents, replaced) of entries(archive_id, content), and a last total with a null archive_id.
 
