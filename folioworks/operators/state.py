@@ -71,12 +71,30 @@ def first_last_open(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "archive_id").agg(F.min("ts").alias("first_opened"), F.max("ts").alias("last_opened"), F.count(F.lit(1)).alias("events"))
 
 
+def open_merge(stored: DataFrame, opens: DataFrame) -> DataFrame:
+    """The records of stored(user_id, archive_id, chapter, scroll, progress, title, first_opened, last_opened, encoding)
+    after opens(user_id, archive_id, ts, event_id, title, encoding).
+
+    An opened archive keeps its first opening, chapter, scroll and progress from the stored
+    record (none, 0 and 0 without one); its last opening, title and override of the encoding
+    are the latest opening's. Records that weren't opened stay as they are."""
+    latest = F.max_by(F.struct("title", "encoding"), F.struct("ts", "event_id"))
+    now = opens.groupBy("user_id", "archive_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), latest.alias("now"))
+    both = stored.join(now.hint("merge"), ["user_id", "archive_id"], "full_outer")
+    opened = F.col("last_ts").isNotNull()
+    new = lambda c: F.when(opened, F.col(f"now.{c}")).otherwise(F.col(c)).alias(c)
+    return both.select(
+        "user_id", "archive_id", "chapter", F.coalesce("scroll", F.lit(0.0)).alias("scroll"), F.coalesce("progress", F.lit(0.0)).alias("progress"), new("title"),
+        F.coalesce("first_opened", "first_ts").alias("first_opened"), F.when(opened, F.col("last_ts")).otherwise(F.col("last_opened")).alias("last_opened"), new("encoding"),
+    )
+
+
 def resume_points(shelf: DataFrame, spine: DataFrame) -> DataFrame:
     """Where each record of shelf(user_id, archive_id, chapter, scroll) goes on: its chapter if the reading order
     still has it, else the first; the scroll position only on exactly the saved path."""
     first = spine.where(F.col("position") == 0).select("archive_id", F.col("path").alias("first_path"))
     known = spine.select("archive_id", F.lower("path").alias("key"), F.col("path").alias("kept_path"))
-    joined = shelf.withColumn("key", F.lower("chapter")).join(known, ["archive_id", "key"], "left").join(first, "archive_id", "left")
+    joined = shelf.withColumn("key", F.lower("chapter")).join(known.hint("merge"), ["archive_id", "key"], "left").join(first.hint("merge"), "archive_id", "left")
     path = F.coalesce("kept_path", "first_path")
     return joined.select("user_id", "archive_id", path.alias("path"), F.when(path == F.col("chapter"), F.col("scroll")).otherwise(F.lit(0.0)).alias("scroll"))
 

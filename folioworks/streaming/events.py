@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.entries import last_per_key
+from ..sources.entries import upsert_shelf
 
 
 def debounced_saves(events: DataFrame, gap: str, delay: str) -> DataFrame:
@@ -28,13 +28,13 @@ def drop_stale(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             state.remove()
             return
         top = state.get[0] if state.exists else 0
-        for rows in batches:
-            rows = rows.sort_values("event_id")
-            seq = rows["seq"]
-            before = seq.cummax().ffill().shift(fill_value=top).fillna(top).clip(lower=top)
-            yield rows[seq.isna() | (seq > before)]
-            if seq.notna().any():
-                top = max(top, int(seq.max()))
+        # a frame's messages of one trigger, however many Arrow batches they came in
+        rows = pd.concat(list(batches)).sort_values("event_id")
+        seq = rows["seq"]
+        before = seq.cummax().ffill().shift(fill_value=top).fillna(top).clip(lower=top)
+        yield rows[seq.isna() | (seq > before)]
+        if seq.notna().any():
+            top = max(top, int(seq.max()))
         state.update((top,))
         state.setTimeoutDuration(idle_ms)
 
@@ -47,15 +47,19 @@ def dedup_requests(events: DataFrame, delay: str) -> DataFrame:
 
 
 def shelf_sink(path: str, keys: list[str], order: str):
-    """A foreachBatch function: the snapshot at path/<number> with the batch's latest rows in it, as the next number.
+    """A foreachBatch function: the snapshot at path/<number> after the batch's latest rows, as the next number.
 
-    Batches are numbered by the stream, so a repeated batch writes the same snapshot again."""
+    A latest row that is marked `deleted` removes its record; a batch without that column
+    removes none. Batches are numbered by the stream, so a repeated batch writes the same
+    snapshot again; of the older snapshots only the last is kept, which a repetition needs."""
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{path}/{number - 1}").unionByName(batch)
-        last_per_key(rows, [F.col(k) for k in keys], order).write.mode("overwrite").parquet(f"{path}/{number}")
+        changes = batch if "deleted" in batch.columns else batch.withColumn("deleted", F.lit(False))
+        old = spark.read.parquet(f"{path}/{number - 1}") if number else batch.drop("deleted").limit(0)
+        upsert_shelf(old, changes, keys, order).write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     return put
