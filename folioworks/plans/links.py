@@ -41,19 +41,22 @@ def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.missing_references(_refs(spark, sf_dir), pages(spark, sf_dir)).select("archive_id", "from_path", "raw", "target_path")
 
 
-@query(f"""WITH {LINKED_SQL}, x AS (SELECT archive_id, CASE WHEN entry_seq % 4 = 0 THEN 'http://h' || path WHEN entry_seq % 4 = 1 THEN '#a' WHEN entry_seq % 4 = 2 THEN 'JavaScript:go()' ELSE path END AS raw, entry_seq % 4 AS k FROM e)
+@query(f"""WITH {PAGES_SQL}, x AS (SELECT archive_id, entry_seq % 4 AS k FROM e UNION ALL SELECT archive_id, 3 FROM (SELECT archive_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) FROM e))
  SELECT archive_id, CASE k WHEN 0 THEN 'external' WHEN 1 THEN 'fragment' WHEN 2 THEN 'script' ELSE 'internal' END AS link_class, count(*) AS links FROM x GROUP BY ALL""")
 def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of each page, and one more that leaves it in one of four ways."""
     seq = F.col("entry_seq")
-    raw = F.when(seq % 4 == 0, F.concat(F.lit("http://h"), "path")).when(seq % 4 == 1, "#a").when(seq % 4 == 2, "JavaScript:go()").otherwise(F.col("path"))
-    html = F.concat(F.lit("<p><a href=\""), raw, F.lit('">x</a>'))
+    raw = F.when(seq % 4 == 0, F.concat(F.lit("http://h"), "path")).when(seq % 4 == 1, "#a").when(seq % 4 == 2, "JavaScript:go()").otherwise(F.concat(F.lit("/x"), "path"))
+    html = F.concat("html", F.lit("<p><a href='"), raw, F.lit("'>x</a>"))
     refs = C.references(pages(spark, sf_dir).select("archive_id", "path", html.alias("html")))
     return C.classify_links(refs).groupBy("archive_id", "link_class").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query("""SELECT page_id, regexp_replace(html, '<a href="/([^"]*)">', '<a href="HTTP://h/\\1" target="_blank" rel="noopener">', 'g') AS html FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, '<a href="/([^"]*)">', '<a href="HTTP://h/\\1" target="_blank" rel="noopener noreferrer">', 'g') ELSE html END AS html FROM pages""")
 def harden_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.replace("html", F.lit('<a href="/'), F.lit('<a href="HTTP://h/'))
+    """Links of every other page go outward, with a target and a rel of their own; the others have a target inside."""
+    outward = F.replace("html", F.lit('<a href="/'), F.lit('<a target=_self rel=\'x y\' href="HTTP://h/'))
+    html = F.when(F.col("page_id") % 2 == 0, outward).otherwise(F.replace("html", F.lit('<a href="/'), F.lit('<a TARGET="_top" href="/')))
     return table(spark, sf_dir, "pages").select("page_id", C.harden_links(html).alias("html"))
 
 
@@ -74,9 +77,10 @@ _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _LINES = "array_to_string(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: CASE WHEN trim(x) = '' THEN '' ELSE '<p>' || " + _ESC.format("x") + " || '</p>' END), chr(10))"
 
 
-@query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {_LINES} WHEN 1 THEN '<p>' || text || '</p>' ELSE text END AS html FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {_LINES} WHEN 1 THEN '<p>' || text || '</p>' ELSE text END AS html FROM documents")
 def chapter_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    """A null text stays null."""
+    d = table(spark, sf_dir, "documents")
     kind = F.col("doc_id") % 3
     body = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n"))
     script = F.concat(F.lit("document.write(f(1), '<p>', \""), F.lit("\");\ndocument.writeln('"), body, F.lit("' + \"</p>\")"))
@@ -95,11 +99,16 @@ def sanitize_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", C.sanitize_tags(html).alias("html"))
 
 
-@query("SELECT page_id, replace(html, '<a href=\"/', '<a href=\"javascript:go(\"') AS html FROM pages".replace('go("', "go("))
+_N_LINKS, _N_NAVS = """len(regexp_extract_all(html, '<a href="/'))""", "len(regexp_extract_all(html, '<nav>'))"
+
+
+@query(f"""SELECT page_id, replace(html, '<a href="/', '<a href="javascript:go(') AS html, 2 * {_N_LINKS} + {_N_NAVS} AS handlers, {_N_NAVS} AS inline_html, {_N_LINKS} AS script_links FROM pages""")
 def sanitize_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with handlers and references to inline HTML added, which go again and are counted, and script links, which stay."""
     html = F.replace("html", F.lit('<a href="/'), F.lit('<a ONCLICK="a > b" onmouseover=x() href="javascript:go('))
     html = F.replace(html, F.lit("<nav>"), F.lit("<nav action='data:text/html,<b>' onload='y'>"))
-    return table(spark, sf_dir, "pages").select("page_id", C.sanitize_attrs(html).alias("html"))
+    made = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return made.select("page_id", C.sanitize_attrs(F.col("html")).alias("html"), C.attribute_flags(F.col("html")).alias("f")).select("page_id", "html", "f.*")
 
 
 @query("SELECT page_id, replace(html, '<nav>', '<nav id=\"n\"><img width=3 src=\"a\">') AS html FROM pages")
@@ -118,113 +127,197 @@ def body_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", C.body_of(html).alias("html"))
 
 
-@query(f"SELECT page_id, '<div><p><a href=\"/f' || page_id || '.htm\">→ /f' || page_id || '.htm</a></p><iframe src=\"http://x\"></iframe></div>' AS html FROM pages")
+@query("""SELECT page_id, replace(replace(html, '<nav>', '<div><p><a href="/f' || page_id || '.htm">→ /f' || page_id || '.htm</a></p><nav>'), '</nav>', '<iframe src="http://x">&lt;</iframe></div></nav>') AS html FROM pages""")
 def frames_to_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.concat(F.lit("<frameset cols='1'><FRAME name=a src='/f"), F.col("page_id").cast("string"), F.lit(".htm'><iframe src=\"http://x\"></iframe></frameset>"))
+    """Pages with a frameset around their navigation: an unquoted source inside, a quoted one outside."""
+    n = F.col("page_id").cast("string")
+    html = F.replace("html", F.lit("<nav>"), F.concat(F.lit("<frameset cols='1'><FRAME name=a src=/f"), n, F.lit(".htm><nav>")))
+    html = F.replace(html, F.lit("</nav>"), F.lit('<iframe src="http://x">&lt;</iframe></FRAMESET></nav>'))
     return table(spark, sf_dir, "pages").select("page_id", C.frames_to_links(html).alias("html"))
 
 
-@query(f"""WITH {PAGES_SQL}, c AS (SELECT *, 'T' || entry_seq AS own FROM e),
- l1 AS (SELECT archive_id, entry_seq, own || CASE WHEN a.entry_seq % 3 = 0 THEN '<iframe src="/none.htm"></iframe>' ELSE '' END AS t, entry_seq % 3 AS k FROM c a),
+@query(f"""WITH {PAGES_SQL},
+ l1 AS (SELECT archive_id, entry_seq, html || CASE WHEN entry_seq % 3 = 0 THEN '<iframe src="/none.htm"></iframe>' WHEN entry_seq % 3 = 1 THEN '<iframe src=/style.css></iframe>' ELSE '' END AS t FROM e),
  n AS (SELECT *, lead(entry_seq) OVER w AS s1, lead(entry_seq, 2) OVER w AS s2, lead(entry_seq, 3) OVER w AS s3, lead(t) OVER w AS t1, lead(t, 2) OVER w AS t2 FROM l1 WINDOW w AS (PARTITION BY archive_id ORDER BY entry_seq))
- SELECT archive_id, entry_seq, t || CASE WHEN s1 IS NULL THEN '' ELSE '<div class="frame">' || t1 || CASE WHEN s2 IS NULL THEN '' ELSE '<div class="frame">' || t2 || CASE WHEN s3 IS NULL THEN '' ELSE '<frame src="p' || s3 || '.htm">' END || '</div>' END || '</div>' END AS html FROM n""")
+ SELECT archive_id, entry_seq, t || CASE WHEN s1 IS NULL THEN '' ELSE '<div class="frame">' || t1 || CASE WHEN s2 IS NULL THEN '' ELSE '<div class="frame">' || t2 || CASE WHEN s3 IS NULL THEN '' ELSE '<frame src="../d' || (s3 % 3) || '/p' || s3 || '.htm">' END || '</div>' END || '</div>' END AS html FROM n""")
 def frame_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page frames the next of its host, which is put in two levels deep."""
+    """Each page frames the next of its host, in one of three folders, which is put in two levels deep; missing pages and stylesheets aren't."""
     from pyspark.sql.window import Window
 
     seq = F.col("entry_seq")
     following = F.lead("entry_seq").over(Window.partitionBy("archive_id").orderBy("entry_seq"))
     html = F.concat(
-        F.lit("T"), seq.cast("string"), F.when(seq % 3 == 0, '<iframe src="/none.htm"></iframe>').otherwise(""),
-        F.coalesce(F.concat(F.lit('<frame src="p'), following.cast("string"), F.lit('.htm">')), F.lit("")),
+        "html", F.when(seq % 3 == 0, '<iframe src="/none.htm"></iframe>').when(seq % 3 == 1, "<iframe src=/style.css></iframe>").otherwise(""),
+        F.coalesce(F.concat(F.lit('<frame src="../d'), (following % 3).cast("string"), F.lit("/p"), following.cast("string"), F.lit('.htm">')), F.lit("")),
     )
-    made = pages(spark, sf_dir).select("archive_id", "entry_seq", F.concat(F.lit("/p"), seq.cast("string"), F.lit(".htm")).alias("path"), html.alias("html"))
-    done = C.inline_frames(made.select("archive_id", "path", "html"))
-    return done.select("archive_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "html")
+    e = pages(spark, sf_dir)
+    made = e.select("archive_id", F.concat(F.lit("/d"), (seq % 3).cast("string"), F.lit("/p"), seq.cast("string"), F.lit(".htm")).alias("path"), html.alias("html"))
+    sheets = e.select("archive_id", F.lit("/style.css").alias("path"), F.lit("p{}").alias("html")).distinct()
+    done = C.inline_frames(made.unionByName(sheets)).where(F.col("path") != "/style.css")
+    return done.select("archive_id", F.regexp_extract("path", "p([0-9]+)", 1).cast("long").alias("entry_seq"), "html")
 
 
-@query("""SELECT page_id, '<img src="x"' || ' ' || 'href="/new/' || page_id || '">' || '<a href="/kept">' AS html FROM pages""")
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN h WHEN 1 THEN regexp_replace(h, '<a href="(/[^a-z"][^"]*)">', '<a href=''\\1''>', 'g') ELSE regexp_replace(h, '<a href="(/[^a-z"][^"]*)">', '<a href=\\1>', 'g') END AS html
+ FROM (SELECT page_id, regexp_replace(html, '<a href="(/[a-z][^"]*)">', '<a href="/new\\1">', 'g') AS h FROM pages)""")
 def rewrite_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("page_id").cast("string")
-    made = table(spark, sf_dir, "pages").select("page_id", F.lit("a").alias("archive_id"), F.concat(F.lit("/p"), n).alias("path"), F.concat(F.lit('<img src="x" href="/old/'), n, F.lit('"><a href="/kept">')).alias("html"))
-    urls = made.select("archive_id", "path", F.concat(F.lit("/old/"), n).alias("raw"), F.concat(F.lit("/new/"), n).alias("url"))
+    """Links that begin with a small letter get another address, however the page quotes them."""
+    k = F.col("page_id") % 3
+    link = '<a href="(/[^"]+)">'
+    html = F.when(k == 0, F.col("html")).when(k == 1, F.regexp_replace("html", link, "<a href='$1'>")).otherwise(F.regexp_replace("html", link, "<a href=$1>"))
+    made = table(spark, sf_dir, "pages").select("page_id", F.lit("a").alias("archive_id"), F.concat(F.lit("/p"), F.col("page_id").cast("string")).alias("path"), html.alias("html"))
+    refs = C.references(made).where(F.col("raw").rlike("^/[a-z]"))
+    urls = refs.select("archive_id", F.col("from_path").alias("path"), "raw", F.concat(F.lit("/new"), "raw").alias("url"))
     return C.rewrite_refs(made, urls).select("page_id", "html")
 
 
-@query("SELECT page_id, '<td id=\"a\" style=\"background-image:url(''i' || page_id || '.gif'')\">' AS html FROM pages")
+@query("""SELECT page_id, replace(replace(html, '<nav>', '<nav id=n style="color:red;background-image:url(''i' || page_id || '.gif'')">'), '<body>', '<body style="background-image:url(''b.gif'')">') AS html FROM pages""")
 def background_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.concat(F.lit('<td id="a" BACKGROUND = "i'), F.col("page_id").cast("string"), F.lit('.gif">'))
+    """Pages with backgrounds beside a style and alone; one from outside stays."""
+    nav = F.concat(F.lit("<nav STYLE='color:red; background-image: none;' BACKGROUND = \"i"), F.col("page_id").cast("string"), F.lit('.gif" id=n>'))
+    html = F.replace(F.replace("html", F.lit("<nav>"), nav), F.lit("<body>"), F.lit("<body background=b.gif>"))
     return table(spark, sf_dir, "pages").select("page_id", C.project_background(html).alias("html"))
 
 
-@query(f"WITH {PAGES_SQL} SELECT archive_id, entry_seq, 'inline' AS kind, 'p{{margin:0}}' AS value FROM e UNION ALL SELECT archive_id, entry_seq, 'linked', '/css/' || entry_seq || '.css' FROM e WHERE entry_seq % 2 = 0")
+@query(f"""WITH {PAGES_SQL} SELECT archive_id, entry_seq, 'inline' AS kind, unnest(regexp_extract_all(html, '<style>([^<]*)</style>', 1)) AS css FROM e
+ UNION ALL SELECT archive_id, entry_seq, 'linked', 'x' || entry_seq || '{{}}' FROM e WHERE entry_seq % 4 = 0""")
 def stylesheet_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style blocks of pages and the stylesheets that every other page links; every other of these is there."""
     seq = F.col("entry_seq")
     link = F.concat(F.when(seq % 2 == 0, '<LINK rel="alternate stylesheet" href="../css/').otherwise('<link rel="icon" href="../css/'), seq.cast("string"), F.lit('.css">'))
-    made = pages(spark, sf_dir).select("archive_id", F.concat(F.lit("/html/p"), seq.cast("string")).alias("path"), F.concat("html", link).alias("html"))
-    return C.stylesheets(made).select("archive_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "kind", "value")
+    e = pages(spark, sf_dir)
+    made = e.select("archive_id", F.concat(F.lit("/html/p"), seq.cast("string")).alias("path"), F.concat("html", link).alias("html"))
+    sheets = e.where(seq % 4 < 2).select("archive_id", F.concat(F.lit("/CSS/"), seq.cast("string"), F.lit(".CSS")).alias("path"), F.concat(F.lit("x"), seq.cast("string"), F.lit("{}")).alias("css"))
+    return C.page_styles(made, sheets).select("archive_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "kind", "css")
+
+
+#: Each page's own style as a sheet that imports the next page's of its host.
+_SHEETS_SQL = PAGES_SQL + """, w AS (SELECT archive_id, entry_seq, array_to_string(regexp_extract_all(html, '<style>([^<]*)</style>', 1), '') AS own, lead(entry_seq) OVER (PARTITION BY archive_id ORDER BY entry_seq) AS s1 FROM e)"""
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    e = pages(spark, sf_dir)
+    seq = F.col("entry_seq")
+    name = lambda n: F.concat(F.lit("s"), n.cast("string"), F.lit(".css"))
+    following = F.lead("entry_seq").over(Window.partitionBy("archive_id").orderBy("entry_seq"))
+    own = F.array_join(F.regexp_extract_all("html", F.lit("<style>([^<]*)</style>"), F.lit(1)), "")
+    made = e.select("archive_id", F.concat(F.lit("/css/"), name(seq)).alias("path"), following.alias("next"), own.alias("own"))
+    head = F.concat(F.lit("@import url('"), F.coalesce(name(F.col("next")), F.lit("none.css")), F.lit("') screen;\n@import \"http://x/y.css\";\n"))
+    return made.select("archive_id", "path", F.concat(head, "own", F.lit("q{background:url(i.gif)}")).alias("css"))
 
 
-@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), m AS (SELECT max(k) AS x FROM s), h AS (SELECT unnest([1, 2, 3]) AS steps)
- SELECT k, '/css/s' || (k + steps) || '.css' AS imported, steps FROM s, m, h WHERE k + steps - 1 <= x""")
+@query(f"""WITH {_SHEETS_SQL}, l AS (SELECT archive_id, entry_seq, unnest([s1, lead(s1) OVER w, lead(s1, 2) OVER w, lead(s1, 3) OVER w]) AS imported, unnest([1, 2, 3, 4]) AS steps FROM w WINDOW w AS (PARTITION BY archive_id ORDER BY entry_seq)),
+ m AS (SELECT archive_id, max(entry_seq) AS last FROM w GROUP BY ALL), c AS (SELECT archive_id, entry_seq, row_number() OVER (PARTITION BY archive_id ORDER BY entry_seq DESC) AS below FROM w)
+ SELECT archive_id, entry_seq, '/css/s' || imported || '.css' AS imported, steps FROM l WHERE imported IS NOT NULL
+ UNION ALL SELECT archive_id, entry_seq, '/css/none.css', CAST(below AS INTEGER) FROM c WHERE below <= 4""")
 def css_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stylesheets that each import the next: what is reached in four steps."""
-    k = F.col("s_suppkey")
-    css = F.concat(F.lit("@import url('s"), (k + 1).cast("string"), F.lit(".css') screen;\n@import \"http://x/y.css\";\np{background:url(i.gif)}"))
-    sheets = table(spark, sf_dir, "supplier").select(F.lit("a").alias("archive_id"), F.concat(F.lit("/css/s"), k.cast("string"), F.lit(".css")).alias("path"), css.alias("css"))
-    return C.css_imports(sheets).select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("k"), "imported", "steps")
+    found = C.css_imports(_sheets(spark, sf_dir))
+    return found.select("archive_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "imported", "steps")
 
 
-@query("""SELECT p_partkey, '/t' || p_partkey || '.htm' AS target FROM part UNION ALL SELECT p_partkey, 'b.htm' FROM part UNION ALL SELECT p_partkey, NULL FROM part""")
+_TAIL = """chr(10) || chr(10) || own || 'q{background:url("/u/' || entry_seq || '")}'"""
+
+
+@query(f"""WITH {_SHEETS_SQL}, t AS (SELECT *, {_TAIL} AS tail, '@import url(' || chr(39) || coalesce('s' || s1, 'none') || '.css' || chr(39) || ') screen;' || chr(10) || '@import "http://x/y.css";' || chr(10) || own || 'q{{background:url("/u/' || entry_seq || '")}}' AS whole FROM w),
+ x AS (SELECT archive_id, entry_seq, lead(whole, 4) OVER v AS base, lead(tail, 3) OVER v AS t3, lead(tail, 2) OVER v AS t2, lead(tail) OVER v AS t1, tail AS t0 FROM t WINDOW v AS (PARTITION BY archive_id ORDER BY entry_seq))
+ SELECT archive_id, entry_seq, coalesce(base, '') || coalesce(t3, '') || coalesce(t2, '') || coalesce(t1, '') || t0 AS whole FROM x""")
+def css_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with what they import in place, four levels deep, and their images resolved."""
+    sheets = _sheets(spark, sf_dir)
+    urls = C.css_urls(sheets).select("archive_id", "path", "raw", F.concat(F.lit("/u/"), F.regexp_extract("path", "([0-9]+)", 1)).alias("url"))
+    return C.expand_css(sheets, urls).select("archive_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "whole")
+
+
+@query("""SELECT archive_id, entry_seq, target FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS archive_id, page_id AS entry_seq, '/css/i' || CASE WHEN page_id % 2 = 0 THEN '' ELSE ' ' || page_id END || '.gif' AS target FROM pages)""")
+def css_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stylesheets' url() name, quoted and not; import rules and addresses outside aside."""
+    seq = F.regexp_extract("path", "([0-9]+)", 1)
+    named = F.when(seq.cast("long") % 2 == 0, "url(i.gif)").otherwise(F.concat(F.lit("URL( \"i "), seq, F.lit(".gif\" );z{y:url('http://x/y.gif')}")))
+    sheets = _sheets(spark, sf_dir).withColumn("css", F.replace("css", F.lit("url(i.gif)"), named))
+    return C.css_urls(sheets).select("archive_id", seq.cast("long").alias("entry_seq"), "target")
+
+
+_NAVIGATION = r"""
+// location='no1'
+var s = "location='no2'"; /* top.location = 'no3' */
+if (location == 'no4') x.location = 'no5'; else parent.location = 'no6';
+window.location.href = '/t%s.htm';
+location.replace('b.htm', 1);
+self.location = f(x, 'y');
+mylocation = 'no7'; q = /location='no8'/; r = `location='no9'`;
+location = 'a' + id, z = 'no10'"""
+
+
+@query("""WITH s AS (SELECT page_id FROM pages), a AS (SELECT page_id, 0 AS at, chr(39) || '/t' || page_id || '.htm' || chr(39) AS argument, '/t' || page_id || '.htm' AS target FROM s
+ UNION ALL SELECT page_id, 1, chr(39) || 'b.htm' || chr(39), 'b.htm' FROM s UNION ALL SELECT page_id, 2, 'f(x, ''y'')', NULL FROM s UNION ALL SELECT page_id, 3, chr(39) || 'a' || chr(39) || ' + id', NULL FROM s) SELECT * FROM a""")
 def script_nav_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_partkey").cast("string")
-    text = F.concat(
-        F.lit("// location='no1'\nvar s = \"location='no2'\"; /* top.location = 'no3' */\nif (location == 'no4') x.location = 'no5';\nwindow . location.href = '/t"), n,
-        F.lit(".htm';\nlocation.replace('b.htm', 1);\nself.location = f(x);\nmylocation = 'no6';"),
-    )
-    scripts = table(spark, sf_dir, "part").select("p_partkey", F.lit("a").alias("archive_id"), n.alias("path"), text.alias("text"))
-    return C.script_nav_edges(scripts.select("archive_id", "path", "text")).select(F.col("path").cast("long").alias("p_partkey"), "target")
+    """The scripts of pages, with statements added that navigate and others that seem to."""
+    script = F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1)
+    before, after = _NAVIGATION.split("%s")
+    p = table(spark, sf_dir, "pages")
+    scripts = p.select(F.lit("a").alias("archive_id"), F.col("page_id").cast("string").alias("path"), F.concat(script, F.lit(before), F.col("page_id").cast("string"), F.lit(after)).alias("text"))
+    return C.script_nav_edges(scripts).select(F.col("path").cast("long").alias("page_id"), "at", "argument", "target")
 
 
-@query(f"WITH {PAGES_SQL}, s AS (SELECT archive_id, entry_seq, entry_seq // 2 * 2 AS t FROM e) SELECT s.archive_id, s.entry_seq, '/js/s' || x.entry_seq || '.js' AS script_path, 'text ' || x.entry_seq AS text FROM s JOIN e x ON s.archive_id = x.archive_id AND s.t = x.entry_seq")
+@query(f"WITH {PAGES_SQL}, s AS (SELECT archive_id, entry_seq, entry_seq // 2 * 2 AS t FROM e) SELECT s.archive_id, s.entry_seq, CASE WHEN x.entry_seq % 4 = 0 THEN '/JS/S' || x.entry_seq || '.JS' ELSE '/js/s' || x.entry_seq || '.js' END AS script_path, 'é text ' || x.entry_seq AS text FROM s JOIN e x ON s.archive_id = x.archive_id AND s.t = x.entry_seq")
 def script_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that each name a script; every fourth script is there twice, in other case, and half of them aren't UTF-8."""
+    from ..functions.encodings import lenient_charsets
+
     e = pages(spark, sf_dir)
     seq = F.col("entry_seq")
     even = (F.expr("entry_seq div 2") * 2).cast("string")
-    made = e.select("archive_id", F.concat(F.lit("/p/"), seq.cast("string")).alias("path"), F.concat(F.lit("<SCRIPT type=x src='../JS/s"), even, F.lit(".js'></script><script>inline()</script>")).alias("html"))
-    held = e.select("archive_id", F.concat(F.lit("/js/s"), seq.cast("string"), F.lit(".js")).alias("path"), F.concat(F.lit("text "), seq.cast("string")).alias("text"))
-    return C.script_sources(made, held).select("archive_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "script_path", "text")
-
-
-@query("SELECT source AS archive_id, '/txt/f' || doc_id || '.txt' AS target FROM documents")
+    made = e.select("archive_id", F.concat(F.lit("/p/"), seq.cast("string")).alias("path"), F.concat("html", F.lit("<SCRIPT type=x src='../JS/s"), even, F.lit(".js'></script><script src=http://x/y.js></script><script>inline()</script>")).alias("html"))
+    path = F.concat(F.lit("/js/s"), seq.cast("string"), F.lit(".js"))
+    text = F.concat(F.lit("é text "), seq.cast("string"))
+    content = F.when(seq % 8 == 2, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    held = e.select("archive_id", "entry_seq", path.alias("path"), content.alias("content"), F.lit("windows-1252").alias("encoding"))
+    again = held.where(seq % 4 == 0).select("archive_id", (seq + 1_000_000_000).alias("entry_seq"), F.upper("path").alias("path"), "content", "encoding")
+    older = held.where(seq % 4 == 2).select("archive_id", (seq - 1_000_000_000).alias("entry_seq"), F.upper("path").alias("path"), F.encode(F.lit("old"), "UTF-8").alias("content"), "encoding")
+    with lenient_charsets(spark):
+        found = C.script_sources(made, held.unionByName(again).unionByName(older))
+        found.schema  # analysed while the settings hold
+    return found.select("archive_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "script_path", "text")
+
+
+@query(f"WITH {LINKED_SQL} SELECT archive_id, 'href' AS attr, target_path AS target FROM refs UNION ALL SELECT source, 'pages', '/txt/f' || doc_id || '.txt' FROM documents")
 def pages_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chapter files that the scripts of a page at /html/ imply."""
-    from ..functions.paths import normalize_path
+    """The references of pages, and the chapter files that the scripts of pages at /html/ imply."""
     from ..operators.navigation import pages_items
     from .trees import _scripts
 
-    items = pages_items(_scripts(spark, sf_dir))
-    return items.select("archive_id", normalize_path(F.lit("/html/index.htm"), F.concat(F.lit("../txt/"), "file", F.lit(".txt"))).alias("target"))
+    items = pages_items(_scripts(spark, sf_dir)).withColumn("path", F.lit("/html/index.htm"))
+    return C.implied_refs(items, _refs(spark, sf_dir)).select("archive_id", "attr", F.col("target_path").alias("target"))
 
 
 @query(f"WITH {PAGES_SQL} SELECT archive_id, entry_seq, 'b' || entry_seq AS fragment FROM e WHERE entry_seq % 3 = 0")
 def dangling_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a link to a mark of their own, which a third of them lacks, and one to no page."""
     seq = F.col("entry_seq")
     n = seq.cast("string")
     mark = F.when(seq % 3 == 0, "<p name='b").when(seq % 3 == 1, "<p id='b").otherwise("<A name='b")
-    html = F.concat(F.lit('<a href="#b'), n, F.lit('">x</a><a href="/none#c">y</a>'), mark, n, F.lit("'>"))
+    html = F.concat("html", F.lit('<a href="#b'), n, F.lit('">x</a><a href="/none#c">y</a>'), mark, n, F.lit("'>"))
     made = pages(spark, sf_dir).select("archive_id", F.concat(F.lit("/p"), n).alias("path"), html.alias("html"))
     return C.dangling_anchors(C.references(made), made).select("archive_id", F.regexp_extract("from_path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "fragment")
 
 
-@query(r"SELECT doc_id, length(t) AS visible, length(t) < 50 AS too_short, regexp_matches(t, 'document\s*\.\s*write(ln)?\s*\(') AS script_left, doc_id % 2 = 0 AS has_cjk FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) || CASE WHEN doc_id % 2 = 0 THEN ' 章' ELSE '' END AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '&'))")
+@query(r"SELECT doc_id, length(t) AS visible, length(t) < 50 AS too_short, regexp_matches(t, 'document\s*\.\s*write(ln)?\s*\(') AS script_left, doc_id % 2 = 0 AS has_cjk FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') || CASE WHEN doc_id % 2 = 0 THEN ' 章' ELSE '' END) AS t FROM documents)")
 def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    html = F.concat(F.lit("<p>"), escaped(F.col("text")), F.when(F.col("doc_id") % 2 == 0, "</p><b>章</b>").otherwise("</p>"))
+    """Documents as pages; a null text is an empty page."""
+    d = table(spark, sf_dir, "documents")
+    html = F.concat(F.lit("<p>"), escaped(F.coalesce(F.col("text"), F.lit(""))), F.when(F.col("doc_id") % 2 == 0, "</p><b>章</b>").otherwise("</p>"))
     made = d.select(F.lit("a").alias("archive_id"), F.col("doc_id").cast("string").alias("path"), html.alias("html"))
     return C.extraction_quality(made).select(F.col("path").cast("long").alias("doc_id"), "visible", "too_short", "script_left", "has_cjk")
 
 
-@query(f"WITH {PAGES_SQL} SELECT archive_id, unnest(['script', 'meta']) AS tag, count(*) AS dropped FROM e GROUP BY archive_id")
+_AUDITED = [("script", "<script>", 1), ("meta", "<meta ", 1), ("form", "<nav>", 1), ("handler", "<nav>", 2), ("script link", "<nav>", 2), ("inline html", "<nav>", 1)]
+
+
+@query(f"WITH {PAGES_SQL}, k AS (" + " UNION ALL ".join(f"SELECT archive_id, entry_seq, '{what}' AS what, {times} * len(regexp_extract_all(html, '{mark}')) AS n FROM e" for what, mark, times in _AUDITED) + ") SELECT * FROM k WHERE n > 0")
 def sanitize_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sanitize_audit(pages(spark, sf_dir))
+    """What sanitizing takes from each page and what it keeps, with a form, handlers and script links added."""
+    added = '<nav ONCLICK="a > b" onload=y><FORM action="javascript:go()"><a href=" JavaScript:go()">x</a></form><img src="data:text/html,x">'
+    e = pages(spark, sf_dir).select("archive_id", F.col("entry_seq").alias("path"), F.replace("html", F.lit("<nav>"), F.lit(added)).alias("html"))
+    return C.sanitize_audit(e).select("archive_id", F.col("path").alias("entry_seq"), "what", "n")

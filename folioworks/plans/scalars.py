@@ -49,17 +49,28 @@ def content_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", cut.alias("c")).select("page_id", "c.ok", F.lower(F.hex("c.bytes")).alias("part"))
 
 
-@query("SELECT doc_id, sha256('size=' || octet_length(encode(text)) || ';' || text) AS fingerprint FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) <= 786432")
+#: A text's bytes; every thousandth document is repeated until it is past the size up to which whole contents count.
+_LARGE_SQL = """d AS (SELECT doc_id, encode(CASE WHEN doc_id % 1000 = 77 THEN repeat(text, CAST(1 + 800000 // greatest(1, octet_length(encode(text))) AS BIGINT)) ELSE text END) AS b FROM documents), s AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+ f AS (SELECT doc_id, sha256(encode('size=' || n || ';') || CASE WHEN n <= 786432 THEN b ELSE array_slice(b, 1, 262144) || array_slice(b, n // 2 + 1, n // 2 + 262144) || array_slice(b, n - 262143, n) END) AS fingerprint FROM s)"""
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.greatest(F.lit(1), F.octet_length("text"))
+    large = F.repeat("text", (1 + F.floor(800000 / size)).cast("int"))
+    text = F.when(F.col("doc_id") % 1000 == 77, large).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select(F.encode(text, "UTF-8").alias("content"), F.col("doc_id").alias("entry_seq"))
+
+
+@query(f"WITH {_LARGE_SQL} SELECT doc_id, fingerprint FROM f")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.encode("text", "UTF-8")
-    rows = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return rows.select("doc_id", S.fingerprint(content).alias("fingerprint"))
+    """Null for a null text."""
+    return _contents(spark, sf_dir).select(F.col("entry_seq").alias("doc_id"), S.fingerprint(F.col("content")).alias("fingerprint"))
 
 
-@query("SELECT sha256('size=' || octet_length(encode(text)) || ';' || text) AS fingerprint, count(*) AS copies, min(doc_id) AS first_seq FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {_LARGE_SQL} SELECT fingerprint, count(*) AS copies, min(doc_id) AS first_seq FROM f GROUP BY 1 HAVING count(*) > 1")
 def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return S.duplicate_groups(rows.select(F.encode("text", "UTF-8").alias("content"), F.col("doc_id").alias("entry_seq")))
+    """Null texts are one group, without a fingerprint."""
+    return S.duplicate_groups(_contents(spark, sf_dir))
 
 
 @query("""WITH p AS (SELECT CAST(c_custkey AS BIGINT) AS k, c_name AS v FROM customer), a AS (SELECT k // 8 AS archive_id, k % 5 AS code, min(k) AS s FROM p GROUP BY ALL),
@@ -139,17 +150,17 @@ def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL), y AS (SELECT *, substr(t, 1, 48) AS h FROM x),
+@query(r"""WITH x AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents), y AS (SELECT *, substr(t, 1, 48) AS h FROM x),
  z AS (SELECT *, CASE WHEN strpos(reverse(h), ' ') > 0 THEN length(h) - strpos(reverse(h), ' ') ELSE -1 END AS cut FROM y)
  SELECT doc_id, CASE WHEN length(t) <= 48 THEN t ELSE rtrim(CASE WHEN cut > 8 THEN substr(h, 1, cut + 1) ELSE h END) || '…' END AS title FROM z""")
 def tidy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace("text", r"(?U)\s+", " ")
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.tidy_title(text).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.tidy_title(text).alias("title"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_transform(string_split_regex(text, '\r?\n'), lambda x: CASE WHEN trim(x) = '' THEN '' ELSE '<p>' || replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' END), chr(10)) AS html FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, array_to_string(list_transform(string_split_regex(text, '\r?\n'), lambda x: CASE WHEN trim(x) = '' THEN '' ELSE '<p>' || replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' END), chr(10)) AS html FROM documents")
 def plain_text_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.plain_to_html(F.col("text")).alias("html"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.plain_to_html(F.col("text")).alias("html"))
 
 
 def _script(text, seq):
@@ -159,23 +170,23 @@ def _script(text, seq):
     return F.concat(F.lit("var a = (1);\n"), head, F.lit('"<p>" + (x) + "'), quoted, F.lit("\");\ndocument.writeln('</p>') // \"("))
 
 
-@query("SELECT doc_id, true AS is_script FROM documents WHERE text IS NOT NULL AND (doc_id % 3 <> 0 OR length(text) < 3000) UNION ALL SELECT doc_id, strpos(substr('var a = (1);' || chr(10) || 'show(\"<p>\" + (x) + \"' || replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n') || '\");' || chr(10) || 'document.writeln(''</p>'') // \"(', 1, 4096), 'document.writeln(') > 0 FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0 AND length(text) >= 3000")
+@query("SELECT doc_id, true AS is_script FROM documents WHERE text IS NOT NULL AND (doc_id % 3 <> 0 OR length(text) < 3000) UNION ALL SELECT doc_id, strpos(substr('var a = (1);' || chr(10) || 'show(\"<p>\" + (x) + \"' || replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n') || '\");' || chr(10) || 'document.writeln(''</p>'') // \"(', 1, 4096), 'document.writeln(') > 0 FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0 AND length(text) >= 3000 UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL")
 def docwrite_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("text is not null")
+    rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", X.is_docwrite(_script(F.col("text"), F.col("doc_id"))).alias("is_script"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '<p>' || text END || '</p>' AS html FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN '' ELSE '<p>' || text END || '</p>' AS html FROM documents")
 def docwrite_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("text is not null")
+    rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", X.docwrite_html(_script(F.col("text"), F.col("doc_id"))).alias("html"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, text FROM documents")
 def unescape_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
     coded = F.replace(F.replace(coded, F.lit("é"), F.lit("\\u00e9")), F.lit("t"), F.lit("\\x74"))
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.unescape_js(coded).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.unescape_js(coded).alias("text"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'gbk' WHEN 1 THEN 'shift_jis' WHEN 2 THEN 'windows-1252' WHEN 3 THEN 'windows-874' WHEN 4 THEN 'utf-8' END AS charset FROM customer")
@@ -204,7 +215,10 @@ def meta_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", enc.meta_charset(F.encode(html, "UTF-8")).alias("charset"))
 
 
-_CLASS = "CASE WHEN doc_id % 5 = 0 THEN 'invalid' WHEN octet_length(encode(substr(text, 1, 12000))) > length(substr(text, 1, 12000)) THEN 'multibyte' ELSE 'ascii' END"
+#: The shape of the first 64 KiB: the first character of several bytes has to fit in, and so has the planted byte that is none.
+_ASCII_HEAD = r"length(regexp_extract(text, '^[\x00-\x7F]*'))"
+_CLASS = f"""CASE WHEN text IS NULL THEN NULL WHEN doc_id % 5 = 0 AND octet_length(encode(text)) < 65536 THEN 'invalid'
+ WHEN {_ASCII_HEAD} < length(text) AND {_ASCII_HEAD} + octet_length(encode(substr(text, {_ASCII_HEAD} + 1, 1))) <= 65536 THEN 'multibyte' ELSE 'ascii' END"""
 
 
 def _bytes(text, seq):
@@ -212,36 +226,36 @@ def _bytes(text, seq):
     return F.when(seq % 5 == 0, F.concat(content, F.lit(bytearray(b"\xff\xfe x")))).when(seq % 5 == 1, F.concat(content, F.lit(bytearray(b"\xe4\xb8")))).otherwise(content)
 
 
-@query(f"SELECT doc_id, {_CLASS} AS class FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {_CLASS} AS class FROM documents")
 def utf8_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("text is not null")
+    rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", enc.utf8_class(_bytes(F.col("text"), F.col("doc_id"))).alias("class"))
 
 
-@query(f"""WITH x AS (SELECT doc_id, {_CLASS} AS class FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH x AS (SELECT doc_id, {_CLASS} AS class FROM documents)
  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'big5' WHEN doc_id % 3 = 1 OR class = 'multibyte' THEN 'utf-8' END AS encoding,
  CASE WHEN doc_id % 3 = 0 THEN 'meta' WHEN doc_id % 3 = 1 THEN 'bom' WHEN class = 'multibyte' THEN 'heuristic' END AS source FROM x""")
 def sniff_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("text is not null")
+    rows = table(spark, sf_dir, "documents")
     seq = F.col("doc_id")
     head = F.when(seq % 3 == 0, F.lit(bytearray(b'<meta charset="Big5">'))).when(seq % 3 == 1, F.lit(bytearray(b"\xef\xbb\xbf"))).otherwise(F.lit(bytearray(b"")))
     return rows.select("doc_id", enc.sniff(F.concat(head, _bytes(F.col("text"), seq))).alias("s")).select("doc_id", "s.encoding", "s.source")
 
 
-@query(f"""WITH x AS (SELECT doc_id, {_CLASS} AS class FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH x AS (SELECT doc_id, {_CLASS} AS class FROM documents)
  SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'euc-kr' WHEN class = 'multibyte' THEN 'utf-8' WHEN doc_id % 4 = 1 THEN 'gbk' ELSE 'utf-8' END AS encoding FROM x""")
 def effective_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("text is not null")
+    rows = table(spark, sf_dir, "documents")
     seq = F.col("doc_id")
     override = F.when(seq % 4 == 0, "euc-kr").when(seq % 4 == 2, "")
     default = F.when(seq % 4 == 1, "gbk")
     return rows.select("doc_id", enc.effective_encoding(_bytes(F.col("text"), seq), override, default).alias("encoding"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, text FROM documents")
 def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts encoded as GB18030, UTF-16 apart, and decoded by the charset found for each row."""
-    rows = table(spark, sf_dir, "documents").where("text is not null")
+    rows = table(spark, sf_dir, "documents")
     seq = F.col("doc_id")
     with enc.lenient_charsets(spark):
         coded = F.when(seq % 2 == 0, F.encode("text", "GB18030")).otherwise(F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), F.encode("text", "UTF-8")))
@@ -291,9 +305,17 @@ def book_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book_encodings(rows, archives)
 
 
-@query(f"WITH {PAGES_SQL} SELECT archive_id, entry_seq, CASE WHEN length(archive_id) % 2 = 0 THEN 'koi8-r' ELSE 'utf-8' END AS encoding FROM e")
+_ASCII = r"regexp_replace(html, '[^\x00-\x7F]', '', 'g')"
+
+
+@query(f"WITH {PAGES_SQL} SELECT archive_id, entry_seq, CASE WHEN length(archive_id) % 2 = 0 THEN 'windows-1251' ELSE 'utf-8' END AS encoding, {_ASCII} || CASE WHEN length(archive_id) % 2 = 0 THEN 'Ж' ELSE chr(65533) END AS text FROM e")
 def encoding_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a byte that isn't theirs: half of the hosts have an override that fits it, the others' declaration is believed."""
+    from ..operators.detection import redecoded
+
     e = pages(spark, sf_dir)
-    chosen = e.where(F.length("archive_id") % 2 == 0).select("archive_id", F.lit("koi8-r").alias("override")).distinct()
-    joined = e.join(chosen, "archive_id", "left")
-    return joined.select("archive_id", "entry_seq", enc.effective_encoding(F.col("content"), F.col("override"), F.lit(None).cast("string")).alias("encoding"))
+    content = F.concat(F.encode(F.regexp_replace("html", r"[^\x00-\x7F]", ""), "UTF-8"), F.lit(bytearray(b"\xc6")))
+    entries = e.select("archive_id", "entry_seq", "path", content.alias("content"))
+    hosts = e.select("archive_id").distinct()
+    chosen = hosts.select("archive_id", F.when(F.length("archive_id") % 2 == 0, "windows-1251").otherwise("").alias("override"))
+    return redecoded(entries, hosts.withColumn("encoding", F.lit("koi8-r")), chosen).select("archive_id", "entry_seq", "encoding", "text")

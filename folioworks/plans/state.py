@@ -88,6 +88,24 @@ def first_last_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "archive_id", F.unix_micros("first_opened").alias("first_us"), F.unix_micros("last_opened").alias("last_us"), "events")
 
 
+@query(f"""WITH {EVENTS_SQL}, s AS (SELECT user_id, archive_id, arg_max(path, event_id) AS chapter, arg_max(value, event_id) AS scroll, arg_max(event_type, event_id) AS title, min(ts) AS a, max(ts) AS b, 'gbk' AS encoding FROM m WHERE event_type <> 'click' GROUP BY ALL),
+ o AS (SELECT user_id, archive_id, min(ts) AS a, max(ts) AS b, arg_max(source, event_id) AS title, max(event_id) AS last FROM m WHERE event_type = 'click' GROUP BY ALL),
+ l AS (SELECT o.*, CASE WHEN m.k % 2 = 0 THEN 'big5' END AS encoding FROM o JOIN m ON o.last = m.event_id)
+ SELECT coalesce(s.user_id, l.user_id) AS user_id, coalesce(s.archive_id, l.archive_id) AS archive_id, s.chapter, coalesce(s.scroll, 0) AS scroll, CASE WHEN s.user_id IS NULL THEN 0.0 ELSE 0.25 END AS progress,
+ CASE WHEN l.user_id IS NULL THEN s.title ELSE l.title END AS title, epoch_us(coalesce(s.a, l.a)) AS first_us, epoch_us(coalesce(l.b, s.b)) AS last_us, CASE WHEN l.user_id IS NULL THEN s.encoding ELSE l.encoding END AS encoding
+ FROM s FULL JOIN l ON s.user_id = l.user_id AND s.archive_id = l.archive_id""")
+def open_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks open archives whose records the other events made."""
+    m = messages(spark, sf_dir)
+    old = m.where("event_type <> 'click'").groupBy("user_id", "archive_id").agg(
+        F.max_by("path", "event_id").alias("chapter"), F.max_by("value", "event_id").alias("scroll"), F.lit(0.25).alias("progress"), F.max_by("event_type", "event_id").alias("title"),
+        F.min("ts").alias("first_opened"), F.max("ts").alias("last_opened"), F.lit("gbk").alias("encoding"),
+    )
+    opens = m.where("event_type = 'click'").select("user_id", "archive_id", "ts", "event_id", F.col("source").alias("title"), F.when(F.col("k") % 2 == 0, "big5").alias("encoding"))
+    out = R.open_merge(old, opens)
+    return out.select("user_id", "archive_id", "chapter", "scroll", "progress", "title", F.unix_micros("first_opened").alias("first_us"), F.unix_micros("last_opened").alias("last_us"), "encoding")
+
+
 _SHELF = f"""WITH {EVENTS_SQL}, s AS (SELECT user_id, archive_id, arg_max(k, event_id) AS k, arg_max(value, event_id) AS scroll, max(event_id) AS last FROM m GROUP BY user_id, archive_id)"""
 
 
