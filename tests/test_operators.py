@@ -5,7 +5,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from folioworks.functions import encodings as E
+from folioworks.functions import paths as P
+from folioworks.functions import text as X
 from folioworks.operators import content as C
+from folioworks.operators import detection as DT
 from folioworks.operators import navigation as N
 from folioworks.operators import state as R
 from folioworks.sources import entries as S
@@ -113,17 +117,214 @@ def test_references(spark):
     assert kinds == {"b.htm#f": "internal", "/i%20j.gif": "internal", "http://x/y": "external", "#z": "fragment", "..\\q.gif": "internal"}
 
 
+def column(spark, change, values):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, h string")
+    return [r[0] for r in df.orderBy("i").select(change(F.col("h"))).collect()]
+
+
 def test_script_navigation(spark):
     cases = [
-        ("location='a.htm'", ["a.htm"]), ("window.location.href = \"b\"", ["b"]), ("top . location.replace('c', 1)", ["c"]), ("location.assign(x+'d')", ["d"]),
+        ("location='a.htm'", ["'a.htm'"]), ("window.location.href = \"b\"", ['"b"']), ("location.replace('c', 1)", ["'c'"]), ("location.assign(x+'d')", ["x+'d'"]),
         ("if (location == 'x') {}", []), ("if (location.href === 'x') {}", []), ("foo.location = 'x'", []), ("'location=\"x\"'", []), ("// location='x'", []),
-        ("/* location='x' */ self.location='e'", ["e"]), ("location.hash = 'x'", []), ("parent.location='f'; this.location.href='g'", ["f", "g"]), ("mylocation='x'", []),
+        ("/* location='x' */ self.location='e'", ["'e'"]), ("location.hash = 'x'", []), ("location.search = '?x'", []), ("mylocation='x'", []),
+        # no name of the set: another window's, and members with space around the dot
+        ("parent.location='f'; this.location.href='g'", ["'g'"]), ("top . location.replace('c')", []), ("obj . location = 'x'", []),
+        # an argument is more than its first literal, and ends at a comma outside brackets
+        ("location.href = 'a' + id + '.htm'", ["'a' + id + '.htm'"]), ("location = f(x), y = 'z'", ["f(x)"]), ("location.href = f(\"a\",\"b\");", ['f("a","b")']),
+        ("location.assign(f(1, [2, 3]), 4)", ["f(1, [2, 3])"]), ("document.location = url;x", ["url"]), ("location = {a: ';'}\nlocation='n'", ["{a: ';'}", "'n'"]),
+        # templates and regular expressions
+        ("`location='no'`", []), ("x = /location='no'/; top.location='t'", ["'t'"]), ("x = /[/]location='no'/g.test(y)", []), ("a = b / c; location='q' / 2", ["'q' / 2"]),
+        ("location=\"a\";location.href=\"b\";", ['"a"', '"b"']), ("document.location.href = \"x\" /* c, */ + 'y'", ["\"x\" /* c, */ + 'y'"]), ("location=", []), (None, []),
+    ]
+    got = column(spark, C.navigation_arguments, [s for s, _ in cases])
+    assert [g or [] for g in got] == [w for _, w in cases]
+    df = spark.createDataFrame([("a", "/p", "location='x\\n'; location = f('y')")], "archive_id string, path string, text string")
+    assert rows(C.script_nav_edges(df).select("at", "argument", "target"), "at") == [(0, "'x\\n'", "x\n"), (1, "f('y')", None)]
+
+
+def test_deep_nesting_goes_whole(spark):
+    forms = "<form>" * 9 + "x" + "</form>y" * 9
+    cases = [(forms + "z", "yz"), ("a<FORM><button>b</form>c<select>d</select>", "ac"), ("<object><form><object>1</object>2</form></object>k", "k"), ("<form>open", "open"), (None, None)]
+    assert column(spark, C.sanitize_tags, [a for a, _ in cases]) == [b for _, b in cases]
+
+
+def test_hardened_links(spark):
+    cases = [
+        ('<a target="_self" rel=x href="http://x">', '<a href="http://x" target="_blank" rel="noopener noreferrer">'),
+        ("<A HREF=mailto:x target />", '<A HREF=mailto:x target="_blank" rel="noopener noreferrer"/>'),
+        ('<a href="/in" target=_top>', '<a href="/in">'), ('<a href="javascript:x()" target=q>', '<a href="javascript:x()" target=q>'), ('<area href="http://x">', '<area href="http://x">'),
+    ]
+    assert column(spark, C.harden_links, [a for a, _ in cases]) == [b for _, b in cases]
+
+
+def test_backgrounds_keep_styles(spark):
+    cases = [
+        ('<td id="a" style="color:red" BACKGROUND = "i.gif">', "<td id=\"a\" style=\"color:red;background-image:url('i.gif')\">"),
+        ("<body style='margin:0; background-image: url(o.gif); top:1px;' background=n.gif/>", "<body style=\"margin:0; top:1px;background-image:url('n.gif/')\">"),
+        ("<td background=\"it's.gif\">", "<td style=\"background-image:url('it%27s.gif')\">"),
+        ("<td background='http://x/y.gif'>", "<td background='http://x/y.gif'>"), ("<p>background=x</p>", "<p>background=x</p>"),
+    ]
+    assert column(spark, C.project_background, [a for a, _ in cases]) == [b for _, b in cases]
+
+
+def test_frames_in_frames(spark):
+    pages = [
+        ("/i.htm", '[<iframe src="sub/p.htm">no frames</iframe>]'), ("/sub/p.htm", "P<frame src=q.htm>"), ("/sub/q.htm", "Q<frame src='r.txt'>"), ("/sub/r.txt", "R"), ("/q.htm", "WRONG"),
+        ("/case.htm", "<frame src=/two.htm>"), ("/TWO.htm", "upper"), ("/two.htm", "lower"), ("/odd.htm", "\x01<frame src=none.htm><frame src='a.gif'><iframe src=http://x/p.htm></iframe>\x01"), ("/a.gif", "GIF"),
+    ]
+    df = spark.createDataFrame([("a", p, h) for p, h in pages] + [("b", "/sub/p.htm", "other")], "archive_id string, path string, html string")
+    got = {(r.archive_id, r.path): r.html for r in C.inline_frames(df).collect()}
+    assert len(got) == len(pages) + 1
+    assert got["a", "/i.htm"] == "[<div class=\"frame\">P<div class=\"frame\">Q<frame src='r.txt'></div></div>]"
+    assert got["a", "/sub/q.htm"] == 'Q<div class="frame">R</div>'
+    assert got["a", "/case.htm"] == '<div class="frame">lower</div>'
+    assert got["a", "/odd.htm"] == dict(pages)["/odd.htm"] and got["b", "/sub/p.htm"] == "other"
+    links = [("<frameset><FRAME name=a src=/f.htm></frameset>", '<div><p><a href="/f.htm">→ /f.htm</a></p></div>'), ("<iframe src='a\"b.htm'>x<b>y</b></iframe>", '<p><a href="a&quot;b.htm">→ a"b.htm</a></p>'), ("<iframe src=http://x></iframe>", "<iframe src=http://x></iframe>")]
+    assert column(spark, C.frames_to_links, [a for a, _ in links]) == [b for _, b in links]
+
+
+def test_css_in_place(spark):
+    sheets = [
+        ("/c/1.css", "@import url('2.css');p{background:url(i.gif)}@import \"http://x/y.css\";@import 'none.css';"), ("/c/2.css", "@import 'd/3.css' screen; b{}"), ("/c/d/3.css", "@import \"4.css\";u{x:URL( \"j.gif\" )}"),
+        ("/c/d/4.css", "@import '5.css';v{}"), ("/c/d/5.css", "@import '6.css';w{}"), ("/c/d/6.css", "deep"),
+    ]
+    df = spark.createDataFrame([("a", p, c) for p, c in sheets], "archive_id string, path string, css string")
+    urls = spark.createDataFrame([("a", "/c/1.css", "i.gif", "U1"), ("a", "/c/d/3.css", "j.gif", "U2")], "archive_id string, path string, raw string, url string")
+    whole = {r.path: r.whole for r in C.expand_css(df, urls).collect()}
+    assert whole["/c/1.css"] == "@import '6.css';w{}v{}u{x:url(\"U2\")} b{}p{background:url(\"U1\")}" and whole["/c/d/5.css"] == "deepw{}"
+    assert {(r.path, r.target) for r in C.css_urls(df).collect()} == {("/c/1.css", "/c/i.gif"), ("/c/d/3.css", "/c/d/j.gif")}
+    pages = spark.createDataFrame([("a", "/p.htm", "<link rel=StyleSheet href='C/2.CSS'><style>q{}</style><link rel=icon href=c/1.css>")], "archive_id string, path string, html string")
+    assert rows(C.page_styles(pages, df).select("kind", "base", "css"), "kind") == [("inline", "/p.htm", "q{}"), ("linked", "/C/2.CSS", "@import 'd/3.css' screen; b{}")]
+
+
+def test_references_rewritten_in_any_quotes(spark):
+    html = "<img src=old1 href=\"old2\"><a HREF = 'old&amp;3' title='src=old1'>old1</a><p data-src=old1>"
+    pages = spark.createDataFrame([("a", "/p", html), ("a", "/q", html)], "archive_id string, path string, html string")
+    urls = spark.createDataFrame([("a", "/p", "old1", "n1"), ("a", "/p", "old2", 'n"2'), ("a", "/p", "old&3", "n3"), ("a", "/p", "old1", "n1")], "archive_id string, path string, raw string, url string")
+    got = {r.path: r.html for r in C.rewrite_refs(pages, urls).collect()}
+    assert got == {"/p": "<img src=\"n1\" href=\"n&quot;2\"><a HREF = \"n3\" title='src=old1'>old1</a><p data-src=old1>", "/q": html}
+
+
+def test_audit(spark):
+    html = "<script>x</script><FORM onsubmit=y><a href=' javascript:a()' ONCLICK='b'><img src='data:text/html,x'></form><p>on x=1</p>"
+    pages = spark.createDataFrame([("a", "/p", html), ("a", "/q", "<p>")], "archive_id string, path string, html string")
+    assert rows(C.sanitize_audit(pages).select("path", "what", "n"), "what") == [("/p", "form", 1), ("/p", "handler", 2), ("/p", "inline html", 1), ("/p", "script", 1), ("/p", "script link", 1)]
+
+
+def test_scripts_once_and_decoded(spark):
+    pages = spark.createDataFrame([("a", "/p.htm", "<script src=s.js></script><script src='http://x/s.js'></script><script>y</script>")], "archive_id string, path string, html string")
+    entries = [("a", 0, "/s.js", "old".encode(), "gbk"), ("a", 1, "/S.JS", "中文".encode("gbk"), "gbk"), ("b", 0, "/s.js", b"other", "gbk")]
+    df = spark.createDataFrame(entries, "archive_id string, entry_seq long, path string, content binary, encoding string")
+    with E.lenient_charsets(spark):
+        found = C.script_sources(pages, df)
+        found.schema
+    assert [(r.script_path, r.text) for r in found.collect()] == [("/S.JS", "中文")]
+
+
+def test_sitemaps_however_deep(spark):
+    """Lists nested 600 deep and files of more tags than are walked at a time; each node's trail is its parent's and itself."""
+    rng = random.Random(4)
+    streams = ["u" * 600 + "n" + "uuu" + "n" + "/" * 700 + "n", "n" * 700, "un" * 300 + "/n" * 300] + ["".join(rng.choice("uu//nnnn") for _ in range(900)) for _ in range(3)]
+    html = {"u": "<UL>", "/": "</ul>", "n": '<object type="text/sitemap"><param name=Name value="x"></object>'}
+    docs = spark.createDataFrame([("a", str(i), "".join(html[c] for c in s)) for i, s in enumerate(streams)], "archive_id string, path string, text string")
+    got = {}
+    for r in N.sitemap_nodes(docs).collect():
+        got.setdefault(int(r.path), {})[r.node_id] = (r.parent_id, [t.id for t in r.trail])
+    for i, s in enumerate(streams):
+        want = tree_rule(s)
+        assert [got[i][k][0] for k in range(len(want))] == want
+        assert all(trail == ([] if parent < 0 else got[i][parent][1]) + [k] for k, (parent, trail) in got[i].items())
+
+
+def test_trail_to_the_first_node(spark):
+    toc = [("a", 0, None, [(0, "V")]), ("a", 1, "/x.htm", [(0, "V"), (1, "X")]), ("a", 2, "/X.htm", [(2, "again")])]
+    df = spark.createDataFrame(toc, "archive_id string, node_id int, local string, trail array<struct<id:int,name:string>>")
+    targets = spark.createDataFrame([("a", "/x.HTM"), ("a", "/none.htm"), ("b", "/x.htm")], "archive_id string, path string")
+    got = {(r.archive_id, r.path): (r.node_id, r.trail) for r in N.ancestor_trail(df, targets).collect()}
+    assert got == {("a", "/x.HTM"): (1, ["V", "X"]), ("a", "/none.htm"): (None, None), ("b", "/x.htm"): (None, None)}
+
+
+def test_which_script_counts(spark):
+    row = "pages[%d]=['f%d','T%d'];"
+    good = "".join(row % (i, i, i) for i in range(3))
+    files = [
+        (0, "/0.js", row % (1, 1, 1) + row % (2, 2, 2) + row % (3, 3, 3)), (1, "/few.js", row % (0, 0, 0) + row % (1, 1, 1)), (2, "/big.js", good + " " * 600_000), (3, "/e.js", ""), (4, "/no.txt", good),
+        (6, "/yes.JS", good.replace("T", "章")), (7, "/later.js", good),
     ]
-    df = spark.createDataFrame([("a", str(i), s) for i, (s, _) in enumerate(cases)], "archive_id string, path string, text string")
+    df = spark.createDataFrame([("a", s, p, t.encode("gbk"), "gbk") for s, p, t in files], "archive_id string, entry_seq int, path string, content binary, encoding string")
+    with E.lenient_charsets(spark):
+        found = N.chapter_scripts(df)
+        found.schema
+    assert [(r.path, r.text) for r in found.collect()] == [("/yes.JS", good.replace("T", "章"))]
+
+
+def test_navigation_chain(spark):
+    """Contents file, chapter rows, texts, folders: the first that has anything; with the documents that go with it."""
+    sitemap = spark.createDataFrame([("s", 0, -1, "A", "/a.htm")], "archive_id string, node_id int, parent_id int, name string, local string")
+    synthetic = spark.createDataFrame([("s", 0, "no", "/1.txt", 0, None), ("y", 0, "one", "/1.txt", 0, None), ("y", 1, "two", "/2.txt", 1, "V"), ("y", 2, "three", "/3.txt", 1, "V"), ("y", 3, "four", "/4.txt", 2, "V")], "archive_id string, pos int, title string, local string, volume_no int, volume string")
+    flat = spark.createDataFrame([("y", 0, "no", "/1.txt"), ("f", 0, "1", "/1.txt"), ("f", 1, "2", "/2.txt")], "archive_id string, pos int, name string, local string")
+    docs = spark.createDataFrame([(a, i, p) for a in "syfd" for i, p in enumerate(("/x/1.htm", "/2.htm", "/x/3.htm"))], "archive_id string, pos int, path string")
+    nodes, own = N.book_navigation(sitemap, synthetic, flat, docs)
     got = {}
-    for r in C.script_nav_edges(df).orderBy("path", "at").collect():
-        got.setdefault(int(r.path), []).append(r.target)
-    assert [got.get(i, []) for i in range(len(cases))] == [w for _, w in cases]
+    for r in nodes.orderBy("archive_id", "node_id").collect():
+        got.setdefault((r.archive_id, r.source), []).append((r.node_id, r.parent_id, r.name, r.local))
+    assert got == {
+        ("s", 0): [(0, -1, "A", "/a.htm")],
+        ("y", 1): [(0, -1, "one", "/1.txt"), (1, -1, "V", None), (2, 1, "two", "/2.txt"), (3, 1, "three", "/3.txt"), (4, -1, "V", None), (5, 4, "four", "/4.txt")],
+        ("f", 2): [(0, -1, "1", "/1.txt"), (1, -1, "2", "/2.txt")],
+        ("d", 3): [(0, -1, "x", None), (1, 0, "1", "/x/1.htm"), (2, 0, "3", "/x/3.htm"), (3, -1, "(top)", None), (4, 3, "2", "/2.htm")],
+    }
+    lists = {}
+    for r in own.orderBy("archive_id", "pos").collect():
+        lists.setdefault((r.archive_id, r.synthetic), []).append(r.path)
+    pages = ["/x/1.htm", "/2.htm", "/x/3.htm"]
+    assert lists == {("s", False): pages, ("d", False): pages, ("y", True): ["/1.txt", "/2.txt", "/3.txt", "/4.txt"], ("f", True): ["/1.txt", "/2.txt"]}
+
+
+def test_override_decodes_everything_again(spark):
+    contents = '<ul><li><object type="text/sitemap"><param name="Name" value="Жук"><param name="Local" value="a.htm"></object></ul>'
+    entries = [("a", 0, "/toc.hhc", contents.encode("cp1251")), ("a", 1, "/a.htm", "Жук".encode("cp1251")), ("b", 0, "/b.htm", "é".encode())]
+    df = spark.createDataFrame(entries, "archive_id string, entry_seq int, path string, content binary")
+    encodings = spark.createDataFrame([("a", "koi8-r"), ("b", "gbk")], "archive_id string, encoding string")
+    chosen = spark.createDataFrame([("a", "windows-1251"), ("b", None)], "archive_id string, override string")
+    found = DT.redecoded(df, encodings, chosen)
+    assert rows(found.select("path", "encoding", "text"), "path") == [("/a.htm", "windows-1251", "Жук"), ("/toc.hhc", "windows-1251", contents)]
+    nodes = N.sitemap_nodes(found.where("path = '/toc.hhc'").select("archive_id", "path", "text"))
+    assert [(r.name, r.local) for r in nodes.collect()] == [("Жук", "a.htm")]
+    back = spark.createDataFrame([("b", "")], "archive_id string, override string")
+    assert rows(DT.redecoded(df, encodings, back).select("path", "encoding", "text"), "path") == [("/b.htm", "utf-8", "é")]
+
+
+def test_titles_from_properties(spark):
+    props = [("a", 3, 0, "Жук ".encode("cp1251") + b"\0rest"), ("a", 3, 1, b"later"), ("b", 3, 0, b" \0x"), ("c", 1, 0, b"no")]
+    df = spark.createDataFrame(props, "archive_id string, code int, prop_seq int, value binary")
+    encodings = spark.createDataFrame([("a", "windows-1251", "lcid"), ("b", "utf-8", "default")], "archive_id string, encoding string, encoding_source string")
+    with E.lenient_charsets(spark):
+        titles = N.book_titles(df, encodings)
+        titles.schema
+    entries = spark.createDataFrame([(x, 5) for x in "abc"], "archive_id string, length long")
+    none = spark.createDataFrame([], "archive_id string")
+    info = N.book_info(entries, none, none.withColumn("synthetic", F.lit(True)), encodings, titles)
+    assert rows(info.select("archive_id", "title", "encoding"), "archive_id") == [("a", "Жук", "windows-1251"), ("b", "b", "utf-8"), ("c", "c", None)]
+
+
+def test_open_keeps_what_is_stored(spark):
+    stored = [(1, "a", "/c", 42.0, 0.5, "T", 10, 20, "gbk"), (2, "a", "/d", 1.0, 0.1, "U", 11, 21, None)]
+    opens = [(1, "a", 30, 1, "new", None), (1, "a", 40, 2, "newer", "big5"), (3, "b", 50, 3, "first", None)]
+    at = lambda c: F.timestamp_seconds(c).alias(c)
+    s = spark.createDataFrame(stored, "user_id int, archive_id string, chapter string, scroll double, progress double, title string, first_opened long, last_opened long, encoding string")
+    s = s.withColumns({c: at(c) for c in ("first_opened", "last_opened")})
+    o = spark.createDataFrame(opens, "user_id int, archive_id string, ts long, event_id int, title string, encoding string").withColumn("ts", at("ts"))
+    got = R.open_merge(s, o).withColumns({c: F.unix_seconds(c) for c in ("first_opened", "last_opened")})
+    assert rows(got, "user_id") == [(1, "a", "/c", 42.0, 0.5, "newer", 10, 40, "big5"), (2, "a", "/d", 1.0, 0.1, "U", 11, 21, None), (3, "b", None, 0.0, 0.0, "first", 50, 50, None)]
+
+
+def test_numbers_and_accents_in_order(spark):
+    names = ["a01", "a1", "Á1", "a9", "a10", "a" + "1" * 30 + "0", "a" + "1" * 30 + "1", "b"]
+    df = spark.createDataFrame([(x,) for x in reversed(names)], "s string")
+    assert [r[0] for r in df.orderBy(P.natural_key(F.col("s")), "s").collect()] == names
+    coded = "&#0000000000065;&#x00000000000000041;&#99999999999999999999;&#x110000;&amp;lt;&#0;x"
+    assert column(spark, X.decode_entities, [coded]) == ["AA&#99999999999999999999;&#x110000;&lt;\0x"]
 
 
 def test_stale_and_progress(spark):

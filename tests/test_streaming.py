@@ -70,6 +70,18 @@ def test_shelf_sink(spark, tmp_path):
     assert sorted(map(tuple, got.select("user_id", "event_id").collect())) == sorted((u, max(r[0] for r in rows if r[2] == u)) for u in {r[2] for r in rows})
 
 
+def test_shelf_sink_deletes(spark, tmp_path):
+    """A latest row marked as deleted takes its record away; only the snapshots that a repetition needs stay."""
+    put = V.shelf_sink(f"{tmp_path}/shelf", ["k"], "n")
+    batches = [[("a", 1, False), ("b", 1, False)], [("a", 2, True), ("c", 1, False)], [("b", 0, True), ("c", 3, True), ("a", 3, False)]]
+    want = [{("a", 1), ("b", 1)}, {("b", 1), ("c", 1)}, {("b", 1), ("a", 3)}]
+    for i, rows in enumerate(batches):
+        for _ in range(2):  # a repeated batch writes the same
+            put(spark.createDataFrame(rows, "k string, n int, deleted boolean"), i)
+            assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/shelf/{i}").collect()} == want[i]
+    assert sorted(x.name for x in (tmp_path / "shelf").iterdir()) == ["1", "2"]
+
+
 def test_entry_stream(spark, tmp_path):
     (tmp_path / "in" / "book").mkdir(parents=True)
     (tmp_path / "in" / "book" / "a.txt").write_bytes(b"hello")
