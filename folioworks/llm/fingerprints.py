@@ -14,54 +14,69 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import partitions, slices, table
-from .hashing import WordHashes, shingles
+from .hashing import shingles, word_hashes
 
 SHINGLE, FRACTION, LEAST = 5, 1 / 16, 48
+#: Blocks of rows to a partition.
+BLOCKS = 4
 TOP = (1 << 63) - 1
 
-_words = WordHashes()
-
 
 class Sketch:
-    """All shingle hashes up to `bound`, of the distinct shingles of a text.
+    """The fingerprint: all shingle hashes up to a fixed fraction of the range, whatever the text's
+    length; and, apart from it, a short text's supplement.
+
+    A text with fewer than `least` hashes under the fraction also keeps the smallest ones
+    above, `least` in all, so that short texts compare with each other. What is known of a
+    text reaches up to `bound`: the fraction, or the last of the supplement, or everything.
+    Both parts merge exactly: the sketch of a union is made of the sketches alone."""
 
-    The bound is a fixed fraction of the hash range; a text with fewer than `least` hashes
-    below it keeps its `least` smallest and takes the last as its bound, so that a short
-    text isn't blank. The union of two sketches is a sketch: the hashes of both up to the
-    lower bound."""
+    def __init__(self, hashes: np.ndarray, limit: int, least: int, bound: int):
+        self.hashes, self.limit, self.least, self.bound = hashes, limit, least, bound
 
-    def __init__(self, hashes: np.ndarray, bound: int):
-        self.hashes, self.bound = hashes, bound
+    @classmethod
+    def cut(cls, every: np.ndarray, limit: int, least: int, known: int = TOP) -> "Sketch":
+        """From ascending distinct hashes, which are all that there are up to `known`: where that
+        isn't everything, there are `least` of them at least."""
+        n = int(np.searchsorted(every, limit, side="right"))
+        if n >= least:
+            return cls(every[:n], limit, least, limit)
+        if len(every) > least or known < TOP:
+            return cls(every[:least], limit, least, int(every[least - 1]))
+        return cls(every, limit, least, TOP)
 
     @classmethod
     def of(cls, text: str, size: int = SHINGLE, fraction: float = FRACTION, least: int = LEAST) -> "Sketch":
-        every = np.unique(shingles(_words.of(text.split()), size) >> np.uint64(1)).astype(np.int64)
-        limit = int(fraction * TOP)
-        kept = int(np.searchsorted(every, limit, side="right"))
-        if kept >= least:
-            return cls(every[:kept], limit)
-        if len(every) <= least:
-            return cls(every, TOP)
-        return cls(every[:least], int(every[least - 1]))
+        every = np.unique(shingles(word_hashes().of(text.split()), size) >> np.uint64(1)).astype(np.int64)
+        return cls.cut(every, int(fraction * TOP), least)
+
+    @property
+    def main(self) -> np.ndarray:
+        """The fingerprint proper, under the fraction."""
+        return self.hashes[: np.searchsorted(self.hashes, self.limit, side="right")]
 
     def text(self) -> str:
-        return f"{self.bound:016x}:" + base64.b64encode(self.hashes.astype("<i8").tobytes()).decode()
+        """The fraction's bound and the hashes under it, then the least size and the supplement with its bound."""
+        pack = lambda x: base64.b64encode(x.astype("<i8").tobytes()).decode()
+        n = len(self.main)
+        return f"{self.limit:016x}:{pack(self.hashes[:n])}:{self.least}:{self.bound:016x}:{pack(self.hashes[n:])}"
 
     @classmethod
     def parse(cls, text: str) -> "Sketch":
-        bound, _, raw = text.partition(":")
-        return cls(np.frombuffer(base64.b64decode(raw), "<i8"), int(bound, 16))
+        limit, main, least, bound, more = text.split(":")
+        return cls(np.frombuffer(base64.b64decode(main) + base64.b64decode(more), "<i8"), int(limit, 16), int(least), int(bound, 16))
 
     def merged(self, other: "Sketch") -> "Sketch":
-        bound = min(self.bound, other.bound)
+        """The sketch of the union of the two texts' shingles; both have the same fraction and least size."""
+        known = min(self.bound, other.bound)
         both = np.union1d(self.hashes, other.hashes)
-        return Sketch(both[: np.searchsorted(both, bound, side="right")], bound)
+        return Sketch.cut(both[: np.searchsorted(both, known, side="right")], self.limit, self.least, known)
 
     def shared(self, other: "Sketch") -> tuple[int, int, int]:
-        """Hashes of this, of the other and of both below the lower bound."""
-        bound = min(self.bound, other.bound)
-        a = self.hashes[: np.searchsorted(self.hashes, bound, side="right")]
-        b = other.hashes[: np.searchsorted(other.hashes, bound, side="right")]
+        """Hashes of this, of the other and of both, as far as both are known."""
+        known = min(self.bound, other.bound)
+        a = self.hashes[: np.searchsorted(self.hashes, known, side="right")]
+        b = other.hashes[: np.searchsorted(other.hashes, known, side="right")]
         return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
 
     def likeness(self, other: "Sketch") -> float:
@@ -69,10 +84,11 @@ class Sketch:
         a, b, both = self.shared(other)
         return both / (a + b - both) if a + b else 1.0
 
-    def containment(self, other: "Sketch") -> float:
-        """Estimated share of this text's shingles that the other holds; 1 for a text without words."""
+    def containment(self, other: "Sketch") -> float | None:
+        """Estimated share of this text's shingles that the other holds; 1 for a text without
+        words, None where this text has no hash as far as the other is known."""
         a, _, both = self.shared(other)
-        return both / a if a else 1.0
+        return both / a if a else None if len(self.hashes) else 1.0
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, fraction: float = FRACTION, least: int = LEAST) -> DataFrame:
@@ -89,7 +105,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, fraction: float = FRACTIO
 
 @F.pandas_udf(T.DoubleType())
 def containment(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Estimated share of the first fingerprint's shingles that the second holds."""
+    """Estimated share of the first fingerprint's shingles that the second holds; null where they don't tell."""
     return pd.Series([Sketch.parse(x).containment(Sketch.parse(y)) for x, y in zip(a, b)], dtype="float64")
 
 
@@ -107,35 +123,56 @@ COMPARED = (
 def compared_with_next(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, its edited text's, and their likeness and that to the next row's.
 
-    Rows lie in ascending doc_id (null first, equal ids by text); after the last comes the
-    first. The edited text has the last floor(n/2) code points replaced by the first as many
-    of the next text. Rows go to blocks between quantiles of doc_id; the first row of a
-    block goes to the block before as well, where it only serves as a next text. So each
-    text is shuffled once, and a block streams through its task. A null text is an empty
-    one, equal rows follow each other, a single row follows itself, an empty table gives no
-    rows, and other columns are ignored."""
-    blocks = 4 * partitions(docs.sparkSession)
+    Rows lie in ascending doc_id (null first, equal ids by a digest of the text); after the
+    last comes the first. The edited text has the last floor(n/2) code points replaced by the
+    first as many of the next text. Rows go to blocks between quantiles of doc_id, an id that
+    spans several blocks to parts of its digests' range; a pass without texts finds each
+    block's first row, which goes to the block before as well, where it only serves as a
+    next text. So each text is shuffled once, and a block streams through its task.
+
+    A null text is an empty one, equal rows follow each other, a single row follows itself,
+    an empty table gives no rows, and other columns are ignored. A very long text is taken
+    whole; its task needs about 150 bytes a word."""
+    n_parts = partitions(docs.sparkSession)
+    blocks = BLOCKS * n_parts
     found = docs.agg(
-        F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)] or [0.5], max(10_000, 20 * blocks)).alias("cuts"),
-        F.min("doc_id").alias("least"),
+        F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], max(10_000, 20 * blocks)).alias("cuts"),
         F.count_if(F.col("doc_id").isNull()).alias("nulls"),
+        F.count(F.lit(1)).alias("rows"),
     ).first()
-    least, nulls = found["least"], found["nulls"] > 0
-    cuts = np.asarray(sorted({x for x in found["cuts"] or [] if x != least or nulls} | ({least} if nulls and least is not None else set())), np.int64)
-    cuts = cuts[cuts > np.iinfo(np.int64).min]
-
-    @F.pandas_udf("block int, also int")
-    def placed(ids: pd.Series) -> pd.DataFrame:
-        known = ids.notna().to_numpy()
-        values = ids.fillna(0).astype("int64").to_numpy() if known.any() else np.zeros(len(ids), np.int64)
-        block = np.where(known, np.searchsorted(cuts, values, side="right"), 0)
-        also = np.full(len(ids), -1)
-        if len(cuts):
-            at = np.minimum(np.maximum(block - 1, 0), len(cuts) - 1)
-            also = np.where(known & (block > 0) & (cuts[at] == values), block - 1, also)
-        first = ~known if nulls else known & (values == (least if least is not None else 0))
-        also = np.where(first, len(cuts), also)
-        return pd.DataFrame({"block": block.astype("int32"), "also": also.astype("int32")})
+    # null ids come first: as many cuts among them as their share of the rows asks for
+    null_blocks = -(-blocks * found["nulls"] // max(1, found["rows"]))
+    ids = np.asarray(found["cuts"] or [], np.int64)
+    if found["nulls"] and len(ids):
+        ids = ids[:: max(1, blocks // max(1, blocks - null_blocks))]
+    again = np.arange(len(ids)) - np.searchsorted(ids, ids, side="left")
+    times = np.searchsorted(ids, ids, side="right") - np.searchsorted(ids, ids, side="left")
+    # the k-th of n cuts at one id lies at k/n of the digests' range
+    digests = np.array([-(1 << 63) + int(k) * ((1 << 64) // int(n)) for k, n in zip(again, times)], np.int64)
+    null_cuts = np.array([-(1 << 63) + k * ((1 << 64) // max(1, null_blocks)) for k in range(1, null_blocks)], np.int64)
+    ahead = len(null_cuts) + 1 if found["nulls"] else 0
+
+    @F.pandas_udf("int")
+    def block_of(doc_ids: pd.Series, texts: pd.Series) -> pd.Series:
+        known = doc_ids.notna().to_numpy()
+        values = doc_ids.fillna(0).astype("int64").to_numpy()
+        digest = texts.to_numpy(np.int64)
+        block = np.searchsorted(ids, values, side="left")
+        for i in np.flatnonzero(np.append(ids, 0)[block] == values).tolist() if len(ids) else ():
+            first = int(block[i])
+            if first < len(ids):
+                block[i] = first + np.searchsorted(digests[first : first + int(times[first])], digest[i], side="right")
+        return pd.Series(np.where(known, block + ahead, np.searchsorted(null_cuts, digest, side="right")).astype("int32"))
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    keyed = keyed.withColumn("block", block_of("doc_id", "digest"))
+    firsts = keyed.groupBy("block").agg(F.min(F.struct(F.col("doc_id"), F.col("digest"))).alias("key")).orderBy("block").collect()  # a row a block
+    before = {(r["key"]["doc_id"], r["key"]["digest"]): firsts[i - 1]["block"] for i, r in enumerate(firsts)}
+
+    @F.pandas_udf("int")
+    def block_before(doc_ids: pd.Series, texts: pd.Series) -> pd.Series:
+        keys = zip(doc_ids.astype(object).where(doc_ids.notna(), None), texts)
+        return pd.Series([before.get((None if x is None else int(x), int(y)), -1) for x, y in keys], dtype="int32")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
@@ -164,19 +201,15 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [x.split()[0] for x in COMPARED.split(", ")])
 
-    rows = docs.select("doc_id", "text", placed("doc_id").alias("at"))
-    copies = rows.select(
-        "doc_id",
-        "text",
-        F.explode(
-            F.when(
-                F.col("at.also") >= 0,
-                F.array(F.struct(F.col("at.block").alias("block"), F.lit(False).alias("guest")), F.struct(F.col("at.also").alias("block"), F.lit(True).alias("guest"))),
-            ).otherwise(F.array(F.struct(F.col("at.block").alias("block"), F.lit(False).alias("guest"))))
-        ).alias("to"),
-    ).select("to.block", "to.guest", "doc_id", "text")
-    order = ["block", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    return copies.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions(*order).mapInArrow(work, COMPARED)
+    own = F.struct(F.col("block"), F.lit(False).alias("guest"))
+    also = F.struct(F.col("before").alias("block"), F.lit(True).alias("guest"))
+    copies = keyed.withColumn("before", block_before("doc_id", "digest"))
+    copies = copies.select("doc_id", "text", "digest", F.explode(F.when(F.col("before") >= 0, F.array(own, also)).otherwise(F.array(own))).alias("to"))
+    copies = copies.select("to.block", "to.guest", "doc_id", "text", "digest")
+    order = ["block", "guest", F.col("doc_id").asc_nulls_first(), "digest", F.col("text").asc_nulls_first()]
+    whole = ahead + len(ids) + 1
+    dealt = copies.repartitionById(n_parts, F.least(F.lit(n_parts - 1), (F.col("block") * n_parts / whole).cast("int")))
+    return dealt.sortWithinPartitions(*order).mapInArrow(work, COMPARED)
 
 
 def op1_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
