@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices, table, tokenizer_path, written
+from .common import crc_remainder, scratch_path, slices, table, tokenizer_path, written
 from .tokens import BYTE_BPE, encoder
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -32,23 +32,22 @@ def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
     return stored.where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
 
 
-def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = BYTE_BPE, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit for each row of docs(doc_id, text).
+def content_digest() -> Column:
+    """SHA-256 of a row's normalised content. The tokenizer has no normaliser, so the only
+    normalisation that keeps its counts is null to empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
+def store_missing(docs: DataFrame, cache_path: str, tokenizer: str = BYTE_BPE) -> str:
+    """Encode the contents of docs(text) that the cache lacks and append their counts; returns the tokenizer's version.
 
-    A text's key is the SHA-256 of its normalised content with the digest of the tokenizer's
-    file. The tokenizer has no normaliser, so the only normalisation that keeps its counts
-    is null to empty. Keys that the cache lacks are made distinct (each map task first sends
-    one row a key, so a group of copies meets as a few rows), encoded and appended to the
-    cache; all rows then join the counts of their keys. Both sides of that join are tables
-    that were written out, so the adaptive join can split a hot key's rows, of 50 bytes each. Null and empty texts count 0 tokens; equal rows stay; an empty
-    table gives no rows and appends none; other columns are ignored."""
+    A key is the digest of a text's content with that of the tokenizer's file. Keys are made
+    distinct (each map task first sends one row a key, so a group of copies meets as a few
+    rows); those that are stored aren't encoded."""
     spark = docs.sparkSession
-    path = tokenizer_path(tokenizer)
-    version = tokenizer_version(path)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    digest = F.unhex(F.sha2(text.cast("binary"), 256))
-    distinct = docs.select(digest.alias("digest"), text.alias("text")).dropDuplicates(["digest"])
-    misses = distinct.join(read_cache(spark, cache_path, version).select("digest"), "digest", "left_anti")
+    version = tokenizer_version(tokenizer_path(tokenizer))
+    distinct = docs.select(content_digest().alias("digest"), F.coalesce(F.col("text"), F.lit("")).alias("text")).dropDuplicates(["digest"])
+    misses = distinct.join(read_cache(spark, cache_path, version).select("digest").hint("merge"), "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path(tokenizer))
@@ -59,11 +58,37 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = BYTE_BPE, li
 
     fresh = misses.mapInArrow(encode, "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    rows = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest")), "digests")
+    return version
+
+
+def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = BYTE_BPE, limit: int = 512) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit for each row of docs(doc_id, text).
+
+    First store_missing() sees to it that the cache has all keys; then all rows join the
+    counts of their keys. Both sides of that join are tables that were written out, so the
+    adaptive join can split a hot key's rows, of 50 bytes each. Null and empty texts count 0
+    tokens; equal rows stay; an empty table gives no rows and stores none; other columns are
+    ignored. A very long text is encoded whole, at about 100 bytes a word."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text"), F.lit(""))
+    version = store_missing(docs, cache_path, tokenizer)
+    rows = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), content_digest().alias("digest")), "digests")
     own = rows.select("digest").distinct()
     known = written(read_cache(spark, cache_path, version).join(own.hint("merge"), "digest", "left_semi"), "counts")
     return rows.join(known.hint("merge"), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+#: The cache's folder; where it isn't set, the query makes one of its own.
+CACHE_CONF = "folioworks.token_cache"
+
+
 def op6_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "token-cache"))
+    """Counts of all documents. A cache that is new is primed by a first pass over the documents of a
+    hash remainder, as an earlier delivery would have left it; then all documents are counted,
+    of which those already stored aren't encoded again."""
+    docs = table(spark, sf_dir, "documents")
+    stored = spark.conf.get(CACHE_CONF, None)
+    path = stored or scratch_path(spark, "token-cache")
+    if not stored:
+        store_missing(docs.where(crc_remainder("doc_id", 8) == 0), path)
+    return count_tokens(docs, path)
