@@ -13,22 +13,19 @@ import re
 
 import numpy as np
 
+from .hashing import worker_memo
+
 BYTE_BPE = "byte_bpe_50k.json"
-#: Pieces in each of the two generations of the memo; about 200 bytes a piece.
-MEMO_PIECES = 300_000
+#: Pieces in each of the two generations of the memo, about 200 bytes a piece, and the longest piece that stays.
+MEMO_PIECES, LONGEST_PIECE = 300_000, 64
 
 #: Letters up to an ASCII character that is none: a border for the library.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\x00-\x7f])")
 
-_encoders: dict[tuple[str, int], "PieceEncoder"] = {}
-
 
 def encoder(path: str, memo_pieces: int = MEMO_PIECES) -> "PieceEncoder":
-    """One encoder per Python worker and file."""
-    key = (path, memo_pieces)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, memo_pieces)
-    return _encoders[key]
+    """One encoder per Python worker and file, as long as the worker does nothing else."""
+    return worker_memo(("pieces", path, memo_pieces), lambda: PieceEncoder(path, memo_pieces))
 
 
 class PieceEncoder:
@@ -48,8 +45,9 @@ class PieceEncoder:
         self.old: dict[str, bytes | None] = {}
         self.rests: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def wholes(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each text, by its call that leaves offsets out."""
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def batch(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each after a space, encoded side by side and cut by their bytes."""
@@ -57,7 +55,7 @@ class PieceEncoder:
         for first in range(0, len(pieces), 2000):
             some = pieces[first : first + 2000]
             joined = " " + " ".join(some)
-            ids = np.asarray(self.library.encode(joined, add_special_tokens=False).ids, "<u4")
+            ids = np.frombuffer(self.wholes([joined])[0], "<u4")
             ends = np.cumsum(self.widths[ids])
             data = np.frombuffer(joined.encode(), np.uint8)
             due = np.append(np.flatnonzero(data == 32)[1:], len(data))
@@ -68,14 +66,15 @@ class PieceEncoder:
                     out.append(raw[begin:cut])
                     begin = cut
             else:
-                out += [self.whole(f" {x}") for x in some]
+                out += self.wholes([f" {x}" for x in some])
         return out
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> set[str]:
         """Put each piece (a space and the piece, that is) into the memo; None where it can't stand alone.
 
         A piece of letters and then others is split at that border as the library does it,
-        except where an apostrophe may decide; the letters are a piece of their own."""
+        except where an apostrophe may decide; the letters are a piece of their own.
+        Returns these fronts."""
         memo, old = self.young, self.old
         wanted = {x for x in pieces if x.isalpha()}
         split: list[tuple[str, str, str]] = []
@@ -101,11 +100,14 @@ class PieceEncoder:
         rests = self.rests
         order = list(wanted)
         memo.update(zip(order, self.batch(order)))
+        missing = list({rest for _, _, rest in split}.difference(rests))
+        rests.update(zip(missing, self.wholes(missing)))
         for x, front, rest in split:
-            ids = rests.get(rest)
-            if ids is None:
-                ids = rests[rest] = self.whole(rest)
-            memo[x] = memo[front] + ids
+            memo[x] = memo[front] + rests[rest]
+        for rest in missing:
+            if len(rest) > LONGEST_PIECE:
+                del rests[rest]
+        return {front for _, front, _ in split}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -119,16 +121,20 @@ class PieceEncoder:
                 self.young[x] = self.old[x]
             else:
                 fresh.append(x)
-        self.learn(fresh)
+        fronts = self.learn(fresh)
         get, out = self.young.__getitem__, []
-        for text, pieces in zip(texts, split):
-            if not text:
-                out.append(b"")
-            elif len(pieces) == 1 or not pieces[0] or pieces[0][-1].isspace():
-                out.append(self.whole(text))
+        heads = self.wholes([pieces[0] for pieces in split])
+        for text, pieces, head in zip(texts, split, heads):
+            if len(pieces) == 1:
+                out.append(head)
+            elif not pieces[0] or pieces[0][-1].isspace():
+                out += self.wholes([text])
             else:
                 try:
-                    out.append(b"".join([self.whole(pieces[0]), *map(get, pieces[1:])]))
+                    out.append(b"".join([head, *map(get, pieces[1:])]))
                 except TypeError:
-                    out.append(self.whole(text))
+                    out += self.wholes([text])
+        for x in (*fresh, *fronts):
+            if len(x) > LONGEST_PIECE:
+                self.young.pop(x, None)
         return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,10 +128,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
 
     One file a shard: a zstd-compressed Parquet file of one row with the wavelet matrix, its
     rank directories, and the documents' ids and lengths. Documents lie in ascending doc_id
-    (null first; equal ids by text), range-partitioned; a partition's shards are numbered and
+    (null first; equal ids by a digest of the text), range-partitioned; a partition's shards are numbered and
     know the tokens before them in it, so the parts' totals give global places. A null or
     empty text is end_id alone, equal rows are stored each, an empty table writes no shard,
-    and other columns are ignored. Texts are shuffled once."""
+    and other columns are ignored. Texts are shuffled once. A document stays in one shard, so
+    a very long text, which is taken whole, makes its shard as long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path(tokenizer))
@@ -163,9 +166,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
         if chunks:
             yield shard()
 
-    by_id = F.col("doc_id").asc_nulls_first()
-    rows = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), by_id)
-    shards = rows.sortWithinPartitions(by_id, F.col("text").asc_nulls_first()).mapInArrow(work, SHARDS)
+    # a hot id's rows are dealt by a digest of their texts; of rows alike in both the texts decide
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest").asc()]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).repartitionByRange(partitions(docs.sparkSession), *order)
+    shards = rows.sortWithinPartitions(*order, F.col("text").asc_nulls_first()).select("doc_id", "text").mapInArrow(work, SHARDS)
     shards.write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path)
 
 
@@ -185,8 +189,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return shards.join(F.broadcast(offsets), "part").withColumn("start", F.col("ahead") + F.col("part_start")).drop("ahead")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and ids (little-endian unsigned 32-bit) of each document, decoded from the planes."""
+def _decoded(spark: SparkSession, path: str, kinds: dict[str, pa.DataType], columns: Callable[[np.ndarray, list[int], list[int]], list[list]]) -> DataFrame:
+    """doc_id, start and the columns that a function makes of a shard's ids and its documents' starts and ends in it."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,17 +198,23 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 ids = WaveletMatrix.stored(row).tokens().astype("<u4")
                 ends = np.cumsum(np.asarray(row["lengths"], np.int64))
                 starts = ends - row["lengths"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(starts + row["start"], pa.int64()),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()),
-                    ],
-                    ["doc_id", "start", "ids"],
-                )
+                made = columns(ids, starts.tolist(), ends.tolist())
+                arrays = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["start"], pa.int64()), *(pa.array(x, k) for x, k in zip(made, kinds.values()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", *kinds])
 
     kept = read_shards(spark, path).select("start", "n_tokens", "doc_ids", "lengths", "planes", "ranks", "zeros")
-    return kept.mapInArrow(decode, "doc_id long, start long, ids binary")
+    return kept.mapInArrow(decode, ", ".join(["doc_id long, start long", *(f"{c} {'binary' if k == pa.binary() else 'long'}" for c, k in kinds.items())]))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start and ids (little-endian unsigned 32-bit) of each document, decoded from the planes."""
+    return _decoded(spark, path, {"ids": pa.binary()}, lambda ids, starts, ends: [[ids[a:b].tobytes() for a, b in zip(starts, ends)]])
+
+
+def document_digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the planes; the ids stay in the tasks."""
+    of = lambda ids, starts, ends: [[b - a for a, b in zip(starts, ends)], [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends)]]
+    return _decoded(spark, path, {"n_tokens": pa.int64(), "ids_crc32": pa.int64()}, of)
 
 
 def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -223,22 +233,27 @@ def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
 
 def tokens_at(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
     """(place, token) of the given global places, by access on the planes of the shards that hold them."""
+    # which shards hold a place is known before their planes are read
+    ends = read_shards(spark, path).select("part", "seq", "start", "n_tokens")
+    wanted = F.exists(F.array(*[F.lit(int(p)).cast("long") for p in places]), lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n_tokens")))
+    own = ends.where(wanted).select("part", "seq", "start").collect() if places else []  # a row a place at most
+    # plain comparisons, which reach the files' statistics
+    held_by = reduce(lambda a, b: a | b, [(F.col("part") == r["part"]) & (F.col("seq") == r["seq"]) for r in own], F.lit(False))
+    starts = {(r["part"], r["seq"]): r["start"] for r in own}
+    shards = spark.read.schema(SHARDS).parquet(path)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                w = WaveletMatrix.stored(row)
-                own = [p for p in places if row["start"] <= p < row["start"] + w.n]
-                got = [w.access(p - row["start"]) for p in own]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(got, pa.int64())], ["place", "token"])
+                w, start = WaveletMatrix.stored(row), starts[row["part"], row["seq"]]
+                held = [p for p in places if start <= p < start + w.n]
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([w.access(p - start) for p in held], pa.int64())], ["place", "token"])
 
-    kept = read_shards(spark, path).select("start", "n_tokens", "planes", "ranks", "zeros")
+    kept = shards.where(held_by).select("part", "seq", "n_tokens", "planes", "ranks", "zeros")
     return kept.mapInArrow(look, "place long, token long")
 
 
 def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "wavelet")
     write_shards(table(spark, sf_dir, "documents"), path)
-    return read_documents(spark, path).select(
-        "doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
-    )
+    return document_digests(spark, path)
