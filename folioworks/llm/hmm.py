@@ -343,7 +343,8 @@ def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
     score is the log10 probability of the text's words and its end. A word that no training
     text has gets its class's share for such words. Null and empty texts are the end alone;
     equal texts get equal scores; without training rows the model is the even start; an
-    empty table gives no rows; other columns are ignored."""
+    empty table gives no rows; other columns are ignored. A very long text is one sequence,
+    taken whole, at about 150 bytes a token."""
     cut = written(blocks(docs, block_bytes), "blocks", compression="zstd")
     vocabulary, counts, totals = word_counts(cut)
     texts = written(classed_texts(cut, vocabulary, counts, totals), "classed", compression="zstd")

@@ -74,7 +74,8 @@ def pack(
     at most `piece` tokens, and about group_windows windows' worth of pieces at a time are
     spread over near-equal windows. The work follows the input partitions, without any
     shuffle; a sequence's number holds the partition's. Equal rows are packed each; an empty
-    table gives no rows; other columns are ignored."""
+    table gives no rows; other columns are ignored. A very long text is encoded whole, at
+    about 100 bytes a word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path(tokenizer))

@@ -19,7 +19,7 @@ def balanced_shards(docs: DataFrame, shards: int = 40, row_bytes: int = ROW_BYTE
     Cuts lie at equal targets of the total, and a row goes where its middle byte lies, so
     shards are contiguous and differ by one row's size at most. A null text has no bytes.
     Equal rows are kept apart as rows; an empty table gives no rows; other columns are
-    ignored. Only 24 bytes a row are shuffled, never a text."""
+    ignored. Only 24 bytes a row are shuffled, never a text, however long."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
