@@ -154,9 +154,16 @@ def learn(docs: DataFrame, usable: Column, per_language: int = TEXTS_PER_LANGUAG
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, -(-per_language * 1_000_000 // n)))])
     some = rows.where(draw < share[F.col("lang")]).dropDuplicates(["doc_id", "text", "lang"]).select("lang", "text")
-    got = some.mapInArrow(bucket_counts, "lang string, buckets array<int>, counts array<int>").collect()
-    rows_ = sorted((r["lang"], r["buckets"], r["counts"]) for r in got)
-    return train([(a, np.asarray(b), np.asarray(c, float)) for a, b, c in rows_])
+    # as Arrow, so the driver holds numbers and no objects
+    got = some.mapInArrow(bucket_counts, "lang string, buckets array<int>, counts array<int>").toArrow().combine_chunks()
+    texts = []
+    for part in got.to_batches():
+        lists = [part.column(c) for c in ("buckets", "counts")]
+        ends = lists[0].offsets.to_numpy()
+        flat = [x.values.to_numpy() for x in lists]
+        for lang, i, j in zip(part.column("lang").to_pylist(), ends[:-1], ends[1:]):
+            texts.append((lang, *(x[i:j] for x in flat)))
+    return train(sorted(texts, key=lambda x: (x[0], x[1].tobytes(), x[2].tobytes())))
 
 
 PREDICTED = ("lang_pred", "score", "rejected")
