@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -118,6 +119,51 @@ def test_sketch_merges_and_contains():
     assert FP.Sketch.parse(small.text()).text() == small.text()
 
 
+def test_sketch_merge_is_the_unions_sketch():
+    rng = np.random.default_rng(5)
+    limit = int(FP.FRACTION * FP.TOP)
+    for n, m in [(0, 0), (0, 5), (1, 1), (30, 30), (47, 1), (48, 48), (49, 3), (60, 60), (60, 5000), (400, 600), (2000, 40), (5000, 9000)]:
+        a, b = (np.unique(rng.integers(0, FP.TOP, k)) for k in (n, m))
+        whole = FP.Sketch.cut(np.union1d(a, b), limit, FP.LEAST)
+        got = FP.Sketch.cut(a, limit, FP.LEAST).merged(FP.Sketch.cut(b, limit, FP.LEAST))
+        assert got.text() == whole.text() == FP.Sketch.parse(whole.text()).text()
+        assert set(got.main) == {x for x in np.union1d(a, b).tolist() if x <= limit}
+
+
+def test_containment_of_short_in_long():
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 30_000)]
+    long = FP.Sketch.of(" ".join(words))
+    apart, inside = [], []
+    for i in range(200):
+        apart.append(FP.Sketch.of(" ".join(f"v{x}" for x in rng.integers(0, 10**9, 14))).containment(long))
+        inside.append(FP.Sketch.of(" ".join(words[50 * i : 50 * i + 14])).containment(long))
+    assert set(apart) == {None, 0.0} and set(inside) == {None, 1.0}
+    assert FP.Sketch.of("").containment(long) == 1.0 and FP.Sketch.of("a b c").containment(FP.Sketch.of("")) == 0.0
+    for n in (400, 3000):
+        own, other = words[:n], words[n // 2 : 2 * n]
+        truth = len(shingle_set(" ".join(own)) & shingle_set(" ".join(other))) / (n - 4)
+        assert abs(FP.Sketch.of(" ".join(own)).containment(FP.Sketch.of(" ".join(other))) - truth) < 0.2
+
+
+def test_op1_hot_ids(spark):
+    """A null id and one id that hold most rows are cut into blocks of their own and stay one cycle."""
+    rows = [(None, f"n{i} x") for i in range(300)] + [(7, f"s{i} y") for i in range(300)] + [(i, f"t{i} z") for i in range(40)]
+    got = FP.compared_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    own = collections.Counter((r.doc_id, r.fingerprint) for r in got)
+    assert set(own.values()) == {1}
+    texts = {FP.Sketch.of(t).text(): t for _, t in rows}
+    # each text serves as the next one exactly once
+    firsts = collections.Counter(r.edited_sha256 for r in got)
+    order = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()
+    want = []
+    for i, r in enumerate(order):
+        text, after = r.text, order[(i + 1) % len(order)].text
+        want.append(hashlib.sha256((text[: len(text) - len(text) // 2] + after[: len(text) // 2]).encode()).hexdigest())
+    assert firsts == collections.Counter(want) and len(texts) == len(rows)
+
+
 # 2
 
 
@@ -128,6 +174,37 @@ def test_op2_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def plain_statistics(text):
+    """The statistics of quality.statistics() over Python strings."""
+    t = text or ""
+    words, lines = t.split(), [x for x in t.split("\n") if x]
+    n_words, n_lines, n_chars = max(1, len(words)), max(1, len(lines)), max(1, len(t))
+    of = lambda test: sum(map(test, t))
+    letter = lambda c: unicodedata.category(c).startswith("L")
+    space = lambda c: c in " \t\n\x0b\f\r"
+    letters, spaces, stops = of(letter), of(space), of(lambda c: c in ".,;:")
+    return [
+        math.log1p(len(t)), math.log1p(len(words)), (len(t) - spaces) / n_words, letters / n_chars,
+        of(lambda c: unicodedata.category(c) == "Lu") / max(1, letters), of(lambda c: c in "0123456789") / n_chars, spaces / n_chars,
+        (of(lambda c: not (letter(c) or c in "0123456789" or space(c))) - stops) / n_words, stops / n_words, of(lambda c: c in "!?") / n_words,
+        t.count("\n") / n_words, n_words / n_lines, len(set(words)) / n_words, len(set(lines)) / n_lines,
+        of(lambda c: c in "|\\/<>{}=_#$%&*~^") / n_words, sum(not re.search(r"[.!?]\s*$", x) for x in lines) / n_lines,
+    ]
+
+
+def test_op2_scores_from_plain_statistics(spark, docs):
+    texts = [*docs.text[:80], "", None, "One. Two!\nthree", "A" * 2_000_000 + " b", "B" * 1_500_000 + " b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = table(spark, SF, "labels")
+    model = Q.learn(table(spark, SF, "documents"), labels, F.lit(True))
+    got = {r.doc_id: r.score for r in Q.score(df, model, ["doc_id"]).collect()}
+    x = np.array([plain_statistics(t) for t in texts])
+    native = df.orderBy("doc_id").select(*Q.statistics(F.col("text"))).toPandas().to_numpy(float)
+    assert np.allclose(native, x, atol=1e-9)
+    assert np.allclose([got[i] for i in range(len(texts))], model.probability(x))
+    assert native[-1, 0] < native[-2, 0]
+
+
 def test_op2_rules_as_columns(spark, odd, empty):
     rng = np.random.default_rng(0)
     x = rng.random((600, len(Q.STATISTICS)))
@@ -288,6 +365,14 @@ def test_op6(spark, docs, odd, empty, plain_encoder):
         n = len(ids_of(plain_encoder, t))
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 512)
     path = scratch_path(spark, "cache")
+    # a stored count is used, not made again
+    digest = hashlib.sha256(docs.text[0].encode()).digest()
+    stored = spark.createDataFrame([(bytearray(digest), TC.tokenizer_version(tokenizer_path(BYTE_BPE)), -5), (bytearray(digest), "older", 7)], TC.CACHE)
+    stored.write.parquet(path)
+    some = table(spark, SF, "documents").where(F.col("doc_id") < 40)
+    found = {r.doc_id: r.n_tokens for r in TC.count_tokens(some, path).collect()}
+    assert found[int(docs.doc_id[0])] == -5 and sum(n == len(ids_of(plain_encoder, t)) for n, t in zip(map(found.get, docs.doc_id[:40]), docs.text[:40])) >= 39 - list(docs.text[:40]).count(docs.text[0])
+    path = scratch_path(spark, "cache")
     first = TC.count_tokens(odd, path).collect()
     stored = spark.read.parquet(path).count()
     again = TC.count_tokens(odd, path).collect()
@@ -347,6 +432,43 @@ def test_op7_group_of_near_copies(spark):
     assert [got[i][1] for i in range(len(texts))] == [i == want[i] for i in range(len(texts))]
 
 
+def test_overlaps_by_bits_are_exact():
+    """What the bits of two bags have in common, and what they hold beyond the centre, bound their overlap."""
+    rng = np.random.default_rng(3)
+    bits = lambda x: sum((int(v) & (2**64 - 1)) << (64 * i) for i, v in enumerate(x))
+    for _ in range(60):
+        h = np.sort(rng.choice(10**6, 90, replace=False)).astype(np.uint64)
+        bags = []
+        for _ in range(3):
+            keep = rng.random(90) < 0.8
+            bags.append((h[keep], rng.integers(1, 4, keep.sum())))
+        a, b, c = bags
+        every = [dict(zip(x[0].tolist(), x[1].tolist())) for x in bags]
+        in_all = sum(min(x.get(k, 0) for x in every) for k in every[2])
+        got = (bits(ND.held_bits(a, c)) & bits(ND.held_bits(b, c))).bit_count()
+        assert got == in_all and bits(ND.held_bits(a, c)).bit_count() == ND.overlap(a, c)
+        beyond = min(int(x[1].sum()) - ND.overlap(x, c) for x in (a, b))
+        assert ND.overlap(a, b) <= got + beyond
+
+
+def test_op7_recall(spark, docs):
+    """Pairs that a brute-force search over shared shingles finds and the bands don't: none of the given documents."""
+    sf = "/root/testdata/sf0.01"
+    texts = table(spark, sf, "documents").orderBy("doc_id").toPandas()
+    want = class_rule_fast(list(texts.text))
+    got = {r.doc_id: r.class_id for r in QUERIES["op7_bagminhash_classes"](spark, sf).collect()}
+    worded = [i for i, t in enumerate(texts.text) if D.words_of(t)]
+    assert all(got[int(texts.doc_id[i])] == int(texts.doc_id[want[i]]) for i in worded)
+
+
+def test_op7_bound_at_ties(spark):
+    """Overlaps that make a pair exactly 0.8 alike reach it, those one less don't."""
+    assert [r[0] for r in spark.sql("select 28L as most, 63L as sizes").select(ND.reaches(F.col("most"), F.col("sizes"), ND.SIMILAR)).collect()] == [True]
+    ties = spark.range(1, 2223).select((F.col("id") * 4).alias("most"), (F.col("id") * 9).alias("sizes"))
+    assert ties.where(~ND.reaches(F.col("most"), F.col("sizes"), ND.SIMILAR)).count() == 0
+    assert ties.where(ND.reaches(F.col("most") - 1, F.col("sizes"), ND.SIMILAR)).count() == 0
+
+
 def test_op7_odd(odd, empty):
     got = ND.classes(odd).collect()
     assert len(got) == len(ODD) + 2
@@ -477,25 +599,35 @@ def test_op10_recursions():
 
     texts = [rng.integers(0, H.CLASSES, n) for n in (1, 2, 128, 129, 130, 400, 1, 257)]
     assert np.allclose(model.log10(texts), [path_sum(x) for x in texts])
-    short = [rng.integers(0, H.CLASSES, n) for n in (4, 3, 4, 1)]
-    sums = model.expected(short, np.array([True, False, True, True]))
+    k = 3
+    whole = [rng.integers(0, H.CLASSES, n) for n in (4, 1, 128, 129, 130, 400, 2, 257)]
+    sums = model.expected(whole)
     want = np.zeros_like(sums)
-    for x, first in zip(short, (True, False, True, True)):
-        paths = {}
-        for code in range(3 ** len(x)):
-            s = [code // 3**t % 3 for t in range(len(x))]
-            p = (model.start if first else model.mix)[s[0]] * model.emit[s[0], x[0]]
-            for t in range(1, len(x)):
-                p *= model.move[s[t - 1], s[t]] * model.emit[s[t], x[t]]
-            paths[tuple(s)] = p
-        total = sum(paths.values())
-        for s, p in paths.items():
-            want[(0 if first else 3) + s[0]] += p / total
-            for t in range(1, len(x)):
-                want[6 + 3 * s[t - 1] + s[t]] += p / total
-            for t, c in enumerate(x):
-                want[6 + 9 + s[t] * H.CLASSES + c] += p / total
+    for x in whole:
+        ahead, behind = [model.start * model.emit[:, x[0]]], [np.ones(k)]
+        for c in x[1:]:
+            ahead.append(ahead[-1] / ahead[-1].sum() @ model.move * model.emit[:, c])
+        for c in x[:0:-1]:
+            b = model.move @ (model.emit[:, c] * behind[-1])
+            behind.append(b / b.sum())
+        behind.reverse()
+        for t, c in enumerate(x):
+            g = ahead[t] * behind[t]
+            want[k + k * k + np.arange(k) * H.CLASSES + c] += g / g.sum()
+            if t == 0:
+                want[:k] += g / g.sum()
+            else:
+                both = (ahead[t - 1])[:, None] * model.move * (model.emit[:, c] * behind[t])[None, :]
+                want[k : k + k * k] += (both / both.sum()).ravel()
     assert np.allclose(sums, want)
+    # a round never makes the texts less likely
+    fitted = H.Hmm.first(np.bincount(np.concatenate(whole), minlength=H.CLASSES).astype(float), k)
+    before = fitted.log10(whole).sum()
+    counts = fitted.expected(whole)
+    start, move, emit = np.split(counts, [k, k + k * k])
+    move, emit = move.reshape(k, k), emit.reshape(k, -1)
+    after = H.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), np.maximum(emit, 1e-300) / emit.sum(axis=1, keepdims=True))
+    assert after.log10(whole).sum() >= before
 
 
 def test_op10_odd(odd, empty):
@@ -541,6 +673,67 @@ def test_pipeline(spark, plain_encoder):
     assert C.STAGES[-1][1](spark, docs, sf).agg(F.sum("length")).first()[0] == total
 
 
+CLASHES = ["score", "rejected", "lang_pred", "kept_by", "kept_row", "row_key", "gone_key", "print", "row", "chars", "quality", "kept_text", "Score_", "a.b", "at", "digest", "block"]
+
+
+def test_stages_with_odd_rows(spark):
+    """Every stage keeps clashing columns, takes nulls, repeated rows and an empty table, and gives the same again."""
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.001"
+    base = table(spark, sf, "documents")
+    fields = ", ".join(f"`{x}` string" for x in CLASHES)
+    rows = [(i, t, None, "s", 3, *(f"{i} {x}" for x in CLASHES)) for i, t in enumerate(ODD, 10**6)]
+    rows += [(None, TEXT, None, None, None, *[None] * len(CLASHES)), rows[13], rows[13], (rows[13][0], TEXT, *rows[0][2:])]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + fields)
+    docs = base.withColumns({x: F.lit(x) for x in CLASHES if "." not in x}).withColumn("a.b", F.lit("q")).unionByName(more)
+    order = lambda df: sorted(map(str, df.collect()))
+    for name, stage in C.STAGES:
+        after = stage(spark, docs, sf)
+        none = stage(spark, docs.where("doc_id = -1"), sf)
+        assert none.count() == 0 and none.columns == after.columns
+        if name == "packing":
+            assert after.agg(F.count_distinct("doc_id")).first()[0] == len({r.doc_id for r in docs.collect()} - {None})
+            continue
+        assert after.columns == docs.columns
+        kept = order(after)
+        assert kept == order(stage(spark, docs.repartition(7), sf)) and kept
+        assert not collections.Counter(kept) - collections.Counter(order(docs))
+        if name == "neardup":
+            assert sum("quick brown fox" in x.lower() for x in kept) == 1 and any("doc_id=None" in x for x in kept)
+
+
+def test_very_long_texts(spark, plain_encoder):
+    """One text of some megabytes among short ones, through each operator."""
+    rng = np.random.default_rng(9)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 50_000, 400_000)) + "\n" + "y" * 300_000 + " end"
+    df = spark.createDataFrame([(1, "a short text of a few words"), (2, long), (3, None)], "doc_id long, text string").repartition(1)
+    got = {r.doc_id: r for r in FP.compared_with_next(df).collect()}
+    truth = jaccard(shingle_set(long), shingle_set(long[: len(long) - len(long) // 2]))
+    assert got[2].n_chars == len(long) and abs(got[2].near_edited - truth) < 0.02 and got[1].near_next == 0
+    model = Q.RuleEnsemble(0.3, [Q.Rule(((0, True, 10.0),))], [1.0])
+    assert {r.doc_id: round(r.score, 3) for r in Q.score(df, model, ["doc_id"]).collect()} == {1: 0.574, 2: 0.786, 3: 0.574}
+    n = {1: len(ids_of(plain_encoder, "a short text of a few words")), 2: len(ids_of(plain_encoder, long)), 3: 0}
+    path = scratch_path(spark, "test")
+    W.write_shards(df, path, shard_tokens=50_000)
+    assert {r.doc_id: len(r.ids) // 4 - 1 for r in W.read_documents(spark, path).collect()} == n
+    assert {r.doc_id: r.n_tokens for r in TC.count_tokens(df, scratch_path(spark, "cache")).collect()} == n
+    sums = collections.Counter()
+    for r in PK.packed_digest(df).collect():
+        sums[r.doc_id] += r.length
+    assert sums == {k: v + 1 for k, v in n.items()}
+    assert sum(r.size for r in SH.balanced_shards(df, 4).collect()) == len(long) + 27 + 3 * 16
+    twice = df.union(df.selectExpr("doc_id + 10", "concat(text, ' more')"))
+    assert {r.doc_id: r.class_id for r in ND.classes(twice).collect()} == {1: 1, 11: 11, 2: 2, 12: 2, 3: 3, 13: 3}
+    bench = spark.createDataFrame([(1, " ".join(long.split(" ")[1000:1012])), (2, "y" * 300_000 + " end")], "item_id long, text string")
+    hit = {r.doc_id: (r.n_hit >= 14, r.n_items) for r in D.contamination(df, bench).collect()}
+    assert hit == {1: (False, 0), 2: (True, 2), 3: (False, 0)}
+    languages = L.LanguageModel(["x", "y"], np.ones((L.BUCKETS, 2), np.float32), np.array([0.5, 0.0]), 1.0, 0.0)
+    assert {r.doc_id: r.lang_pred for r in L.predict(df, languages, ["doc_id"]).collect()} == {1: "x", 2: "x", 3: "und"}
+    scored = {r.doc_id: r for r in H.scores(df.withColumn("held_out", F.lit(False)), rounds=1).collect()}
+    assert scored[2].n_tokens == len(long.split()) + 1 and all(math.isfinite(r.score) and r.score < 0 for r in scored.values())
+
+
 def class_rule_fast(texts):
     """class_rule over pairs that share a shingle."""
     bags = [bag_of(t) for t in texts]
