@@ -9,33 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.llm import decontaminate, language, neardup, packing, quality
-from folioworks.llm.common import table, written
+from folioworks.llm.common import column, free_names, table, written
+
+
+# Each stage takes a null text as an empty one, a very long text whole, and any further columns,
+# whatever their names; equal rows meet the same fate (but for the near-duplicates', of which one
+# stays), and an empty table gives an empty one.
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the rule ensemble, fitted on the labelled documents, scores 0.5 or more."""
+    """Rows whose text the rule ensemble, fitted on the labelled documents, scores 0.5 or more.
+
+    Empty and null texts are scored as any other. A doc_id that occurs several times teaches
+    once; without labels every row scores 0.5 and stays."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score(docs, model, docs.columns).where(F.col("score") >= 0.5).select(*docs.columns)
+    (score,) = free_names(docs.columns, "score")
+    return quality.score(docs, model, docs.columns, score).where(column(score) >= 0.5).select(*map(column, docs.columns))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with letters whose language the model, fitted on the documents with a language, doesn't reject."""
+    """Rows with letters whose language the model, fitted on the documents with a language, doesn't reject.
+
+    Null and empty texts and those without a letter go; where no document has a language, so do all."""
     model = language.learn(docs, F.lit(True))
-    return language.predict(docs, model, docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    names = tuple(free_names(docs.columns, *language.PREDICTED))
+    return language.predict(docs, model, docs.columns, names).where(~column(names[2])).select(*map(column, docs.columns))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates."""
-    return neardup.deduplicated(docs).select(*docs.columns)
+    """One row of each class of near-duplicates: that with the least (doc_id, hash of the text), a null id first.
+
+    Null and empty texts are copies of each other; of equal rows one stays."""
+    return neardup.deduplicated(docs).select(*map(column, docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of the benchmark."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Rows without a passage of the benchmark; null, empty and wordless texts stay."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*map(column, docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in near-equal sequences."""
+    """The pieces of all documents in near-equal sequences; a null or empty text is its end token alone, other columns go."""
     return packing.packed_digest(docs)
 
 
