@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, table
+from .common import column, crc_remainder, table
 
 #: At most about this many labelled rows are learned from (chosen by a hash of the id).
 LEARNED_ROWS = 12_000
@@ -32,8 +32,8 @@ def statistics(text: Column) -> list[Column]:
     spaces = count(r"\S+")
     stops = count("[^.,;:]+")
     return [
-        F.least(chars, F.lit(1_000_000)).cast("double").alias("chars"),
-        F.least(F.size(words), F.lit(1_000_000)).cast("double").alias("words"),
+        F.log1p(chars).alias("chars"),
+        F.log1p(F.size(words)).alias("words"),
         ((chars - spaces) / n_words).alias("word_chars"),
         (letters / per_char).alias("letters"),
         (count(r"[^\p{Lu}]+") / F.greatest(letters, F.lit(1))).alias("capitals"),
@@ -178,23 +178,25 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = LEARNE
 
     labels(doc_id, quality): null labels are left out, and a document with differing labels
     counts as bad. The labels drawn are bounded by `rows`, so they are broadcast and no text
-    is shuffled."""
+    is shuffled; of rows of one doc_id that with the least statistics teaches."""
     marks = labels.where(F.col("quality").isNotNull() & usable).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = marks.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     some = marks.where(draw < min(1_000_000, -(-rows * 1_000_000 // max(n, 1))))
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", *statistics(F.col("text"))).toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", *statistics(F.col("text")))
+    got = found.groupBy("doc_id").agg(F.min(F.struct("quality", *STATISTICS)).alias("row")).select("row.*").toPandas()
     got = got.sort_values(list(got.columns), ignore_index=True)
     return fit(got[list(STATISTICS)].fillna(0).to_numpy(float), got["quality"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: RuleEnsemble, keep: list[str]) -> DataFrame:
-    """docs' columns `keep` with `score`: the probability of quality 1 of each whole text, natively and without a shuffle.
+def score(docs: DataFrame, model: RuleEnsemble, keep: list[str], name: str = "score") -> DataFrame:
+    """docs' columns `keep` with `name`: the probability of quality 1 of each whole text, natively and without a shuffle.
 
     A null text is scored as an empty one; equal texts get equal scores; an empty table
-    gives no rows. Columns of docs named like a statistic don't matter."""
-    own = docs.select(*[F.col(c).alias(f"kept_{c}") for c in keep], *statistics(F.col("text")))
-    return own.select(*[F.col(f"kept_{c}").alias(c) for c in keep], model.column().alias("score"))
+    gives no rows. Columns of docs named like a statistic don't matter. A very long text is
+    taken whole; its task holds it with its words, about 100 bytes each."""
+    own = docs.select(*[column(c).alias(f"kept_{c}") for c in keep], *statistics(F.col("text")))
+    return own.select(*[column(f"kept_{c}").alias(c) for c in keep], model.column().alias(name))
 
 
 def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
