@@ -170,7 +170,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
     order = [F.col("doc_id").asc_nulls_first(), F.col("digest").asc()]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).repartitionByRange(partitions(docs.sparkSession), *order)
     shards = rows.sortWithinPartitions(*order, F.col("text").asc_nulls_first()).select("doc_id", "text").mapInArrow(work, SHARDS)
-    shards.write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path)
+    # bit planes hardly shrink further at a higher level
+    shards.write.option("maxRecordsPerFile", 1).option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(path)
 
 
 SHARD_ARROW = pa.schema([
