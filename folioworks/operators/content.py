@@ -380,11 +380,14 @@ NAVIGATES = (
     "location", "location.href", "location.assign", "location.replace", "document.location", "document.location.href", "window.location",
     "window.location.href", "this.location", "this.location.href", "top.location", "top.location.href", "self.location", "self.location.href",
 )
+#: The signs after which a slash begins a regular expression, as a class of a pattern has them.
+SIGNS = r"=(,;:!&|?{}\[\]+\-*%~^<>\n"
 #: A script's tokens: comments, literals, regular expressions with the sign before them, names
 #: that navigate with their sign, members of other objects, other names, and single characters.
 SCRIPT_TOKEN = (
     rf"//[^\n]*+|/\*.*?(?:\*/|\z)|{LITERAL}|`(?:[^`\\]|\\.)*+(?:`|\z)"
-    r"|(?:^|[=(,;:!&|?{}\[\]+\-*%~^<>\n])[ \t]*+/(?![/*])(?:[^\\\[/\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/?[\w$]*+"
+    rf"|(?:^|[{SIGNS}])[ \t]*+/(?![/*])"
+    r"(?:[^\\\[/\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/?[\w$]*+"
     rf"|(?:{'|'.join(x.replace('.', chr(92) + '.') for x in sorted(NAVIGATES, reverse=True))})(?![\w$]|\.[\w$])[ \t]*+(?:=(?!=)|\()"
     r"|\.[ \t]*+[\w$]++(?:\.[\w$]++)*+|[\w$]++(?:\.[\w$]++)*+|."
 )
@@ -407,7 +410,7 @@ def navigation_arguments(script: Column) -> Column:
         at, inside = s["at"] + 1, s["first"] > 0
         begins = t.rlike(NAV_START)
         mark = F.substring(t, 1, 1)
-        single = (F.char_length(t) == 1) | t.rlike(r"(?s)^[=(,;:!&|?{}\[\]+\-*%~^<>\n][ \t]*+/")
+        single = (F.char_length(t) == 1) | t.rlike(rf"(?s)^[{SIGNS}][ \t]*+/")
         opens = (begins & t.endswith("(")) | (single & mark.isin("(", "[", "{"))
         closes = single & mark.isin(")", "]", "}")
         ends = inside & (s["depth"] == 0) & (closes | (single & mark.isin(",", ";", "\n")))
