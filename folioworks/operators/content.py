@@ -47,8 +47,8 @@ def _most_nested(html: Column, names: list[str]) -> Column:
     marks = F.regexp_extract_all(html, F.lit(rf"(?i)<(/?\s*(?:{'|'.join(names)}))\b"), F.lit(1))
     marks = F.transform(marks, lambda x: F.lower(F.regexp_replace(x, r"\s", "")))
 
-    def deepest(name: Column) -> Column:
-        own = F.filter(marks, lambda x: F.ltrim(x, F.lit("/")) == name)
+    def deepest(held: Column, name: Column) -> Column:
+        own = F.filter(held, lambda x: F.ltrim(x, F.lit("/")) == name)
         start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
 
         def step(s: Column, x: Column) -> Column:
@@ -57,7 +57,8 @@ def _most_nested(html: Column, names: list[str]) -> Column:
 
         return F.aggregate(own, start, step, lambda s: s["most"])
 
-    return F.array_max(F.transform(F.array(*map(F.lit, names)), deepest))
+    # bound to a name, so that the text is searched once and not once a name
+    return F.transform(F.array(marks), lambda held: F.array_max(F.transform(F.array(*map(F.lit, names)), lambda name: deepest(held, name))))[0]
 
 
 def sanitize_tags(html: Column) -> Column:
@@ -69,9 +70,9 @@ def sanitize_tags(html: Column) -> Column:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?(?:</\s*{tag}\s*>|\z)", "")
     paired = [t for t in DROPPED_TAGS if t not in RAW_TAGS and t not in VOID_TAGS]
     innermost = rf"(?is)<({'|'.join(paired)})\b[^>]*>(?:[^<]++|<(?!/?\s*\1\b))*+</\s*\1\s*>"
-    depth = _most_nested(out, paired)
-    passes = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
-    out = F.aggregate(passes, out, lambda text, _: F.regexp_replace(text, innermost, ""))
+    passes = lambda depth: F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    peeled = lambda x: F.aggregate(passes(_most_nested(x, paired)), x, lambda text, _: F.regexp_replace(text, innermost, ""))
+    out = F.transform(F.array(out), peeled)[0]
     return F.regexp_replace(out, rf"(?i)</?\s*(?:{'|'.join(DROPPED_TAGS)})\b[^>]*>", "")
 
 
