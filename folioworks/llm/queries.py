@@ -11,6 +11,7 @@ from .packing import op4_differencing_pack
 from .quality import op2_rule_ensemble
 from .sharding import op5_prefix_sum_shards
 from .token_cache import op6_digest_cache_counts
+from .trie_bpe import op11_trie_bpe
 from .wavelet import op3_wavelet_shards
 
 QUERIES = {
@@ -26,9 +27,10 @@ QUERIES = {
         op8_prefix_join_contamination,
         op9_subword_language,
         op10_hidden_markov,
+        op11_trie_bpe,
     )
 }
 
-#: None of the ten is within DuckDB's SQL (no crc32, no tokenizer, no SHA-256 hash order);
+#: None of these is within DuckDB's SQL (no crc32, no tokenizer, no SHA-256 hash order);
 #: tests/llm holds each against a brute-force version instead.
 ORACLE_SQL: dict[str, str] = {}
