@@ -6,6 +6,7 @@ from .decontaminate import op8_prefix_join_contamination
 from .fingerprints import op1_scaled_sketch
 from .hmm import op10_hidden_markov
 from .language import op9_subword_language
+from .merkle import op13_octopus_manifest
 from .neardup import op7_bagminhash_classes
 from .packing import op4_differencing_pack
 from .quality import op2_rule_ensemble
@@ -28,6 +29,7 @@ QUERIES = {
         op9_subword_language,
         op10_hidden_markov,
         op11_trie_bpe,
+        op13_octopus_manifest,
     )
 }
 
