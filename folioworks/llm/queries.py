@@ -10,6 +10,7 @@ from .merkle import op13_octopus_manifest
 from .neardup import op7_bagminhash_classes
 from .packing import op4_differencing_pack
 from .quality import op2_rule_ensemble
+from .ranked import OP12_SQL, op12_geometric_blocks
 from .sharding import op5_prefix_sum_shards
 from .token_cache import op6_digest_cache_counts
 from .trie_bpe import op11_trie_bpe
@@ -29,10 +30,11 @@ QUERIES = {
         op9_subword_language,
         op10_hidden_markov,
         op11_trie_bpe,
+        op12_geometric_blocks,
         op13_octopus_manifest,
     )
 }
 
-#: None of these is within DuckDB's SQL (no crc32, no tokenizer, no SHA-256 hash order);
+#: The others are beyond DuckDB's SQL (no crc32, no tokenizer, no hash order of SHA-256 digests);
 #: tests/llm holds each against a brute-force version instead.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_geometric_blocks": OP12_SQL}
