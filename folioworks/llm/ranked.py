@@ -107,6 +107,17 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def representatives(own: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """One document a block of a list: each the unlikest those before, of four times as many drawn from the list."""
+    count = -(-len(own) // BLOCK)
+    drawn = own[np.random.default_rng(len(own)).permutation(len(own))[: 4 * count]]
+    near, chosen = seen[drawn] @ seen[drawn[0]], [0]
+    while len(chosen) < count:
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, seen[drawn] @ seen[drawn[chosen[-1]]])
+    return drawn[chosen]
+
+
 class Shard:
     """Some documents' vectors, their posting lists in blocks, and the blocks' summaries.
 
@@ -137,8 +148,8 @@ class Shard:
         for term, end in enumerate(ends.tolist()):
             own = lists[begin:end]
             if len(own) > BLOCK:
-                # each joins the likest of evenly taken representatives; a cluster over the block's size is cut
-                chosen = own[np.linspace(0, len(own) - 1, -(-len(own) // BLOCK)).astype(np.int64)]
+                # each joins the likest representative; a cluster over the block's size is cut
+                chosen = representatives(own, seen)
                 nearest = np.argmax(seen[own] @ seen[chosen].T, axis=1)
                 order = np.argsort(nearest, kind="stable")
                 own = lists[begin:end] = own[order]
@@ -210,6 +221,7 @@ def search_shard(shard: Shard, terms: np.ndarray, weights: np.ndarray, best: Bes
     wide = np.zeros(shard.size, np.int64)
     wide[terms] = weights
     done = np.zeros(len(shard.starts) - 1, bool)
+    read = met = 0
     for i in range(len(order) - 1, -1, -1):
         if reach[i] < best.floor:
             break  # all terms up to this one together don't reach it
@@ -217,17 +229,23 @@ def search_shard(shard: Shard, terms: np.ndarray, weights: np.ndarray, best: Bes
         if a == b:
             continue
         bounds = shard.summaries[a:b][:, terms].astype(np.int64) @ (weights * STEP)
-        reached = np.flatnonzero(bounds >= best.floor)
-        if seen is not None:
-            seen[0] += len(reached)
-            seen[1] += b - a - len(reached)
-        if len(reached):
-            spans = shard.blocks[a + reached].astype(np.int64)
+        # the greatest bounds first, in steps that grow, as the score to reach rises with what is found
+        likely, at, step = np.argsort(-bounds, kind="stable"), 0, 1
+        while at < len(likely) and bounds[likely[at]] >= best.floor:
+            some = likely[at : at + step]
+            some = some[bounds[some] >= best.floor]
+            at, step = at + step, 2 * step
+            read += len(some)
+            spans = shard.blocks[a + some].astype(np.int64)
             places = shard.lists[ranges(spans[:, 0], spans[:, 1] - spans[:, 0])].astype(np.int64)
             places = places[~done[places]]
             if len(places):
                 done[places] = True
                 best.add(shard.scores(places, wide), shard.doc_ids, places)
+        met += b - a
+    if seen is not None:
+        seen[0] += read
+        seen[1] += met - read
 
 
 def build_index(vectors: DataFrame, size: int, n_docs: int, n_terms: int) -> DataFrame:
