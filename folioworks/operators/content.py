@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encodings import decode_text, effective_encoding
+from ..functions.markup import attribute_pieces, bound, in_tags, keep_attributes, piece_name, piece_value, tag_of, token_name, tokens_of, without_elements
 from ..functions.paths import fragment_of, is_external, is_renderable, is_text, normalize_path, trimmed
-from ..functions.text import CLOSED, LITERAL, TAG, WRITE_CALL, attribute, docwrite_html, escaped, is_docwrite, literal_value, plain_to_html, quoted, strip_tags, tag_values, unquoted
+from ..functions.text import CLOSED, LITERAL, TAG, WRITE_CALL, attribute, docwrite_html, escaped, is_docwrite, literal_value, plain_to_html, quoted, strip_tags, unquoted
 from ..sources.entries import last_per_key
 from ..sources.scratch import written
 
@@ -16,9 +17,6 @@ DROPPED_TAGS = (
     "script", "object", "embed", "applet", "iframe", "frame", "frameset", "base", "form", "input", "button", "select", "textarea", "link", "meta",
     "noscript", "template", "xml", "audio", "video", "source", "track",
 )
-#: Of these, those whose content is no markup, and those without content.
-RAW_TAGS = ("script", "textarea", "noscript", "xml", "template")
-VOID_TAGS = ("embed", "base", "input", "link", "meta", "source", "track", "frame")
 #: Presentational attributes.
 PRESENTATION = (
     "bgcolor", "text", "link", "vlink", "alink", "background", "color", "face", "size", "align", "valign", "border", "cellpadding", "cellspacing",
@@ -42,75 +40,42 @@ def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
     return left.join(right.hint("merge"), on, how)
 
 
-def _most_nested(html: Column, names: list[str]) -> Column:
-    """How deep the elements of these names nest in their own kind at most."""
-    marks = F.regexp_extract_all(html, F.lit(rf"(?i)<(/?\s*(?:{'|'.join(names)}))\b"), F.lit(1))
-    marks = F.transform(marks, lambda x: F.lower(F.regexp_replace(x, r"\s", "")))
-
-    def deepest(held: Column, name: Column) -> Column:
-        own = F.filter(held, lambda x: F.ltrim(x, F.lit("/")) == name)
-        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
-
-        def step(s: Column, x: Column) -> Column:
-            depth = F.greatest(F.lit(0), s["depth"] + F.when(x.startswith("/"), -1).otherwise(1))
-            return F.struct(depth.alias("depth"), F.greatest(s["most"], depth).alias("most"))
+def sanitize_tags(html: Column) -> Column:
+    """html without the dropped elements and what they hold, by one walk over its tags (markup.without_elements). Null stays null."""
+    return without_elements(html, DROPPED_TAGS)
 
-        return F.aggregate(own, start, step, lambda s: s["most"])
 
-    # bound to a name, so that the text is searched once and not once a name
-    return F.transform(F.array(marks), lambda held: F.array_max(F.transform(F.array(*map(F.lit, names)), lambda name: deepest(held, name))))[0]
+def _is_handler(piece: Column) -> Column:
+    return piece_name(piece).startswith("on")
 
 
-def sanitize_tags(html: Column) -> Column:
-    """html without the dropped elements: raw ones to their end or the text's, paired ones with
-    all that they hold, in as many passes as they nest in their own kind, void ones and stray
-    tags singly. Null stays null; mis-nested markup can leave text, which sanitize_audit reports."""
-    out = html
-    for tag in RAW_TAGS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?(?:</\s*{tag}\s*>|\z)", "")
-    paired = [t for t in DROPPED_TAGS if t not in RAW_TAGS and t not in VOID_TAGS]
-    innermost = rf"(?is)<({'|'.join(paired)})\b[^>]*>(?:[^<]++|<(?!/?\s*\1\b))*+</\s*\1\s*>"
-    passes = lambda depth: F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
-    peeled = lambda x: F.aggregate(passes(_most_nested(x, paired)), x, lambda text, _: F.regexp_replace(text, innermost, ""))
-    out = F.transform(F.array(out), peeled)[0]
-    return F.regexp_replace(out, rf"(?i)</?\s*(?:{'|'.join(DROPPED_TAGS)})\b[^>]*>", "")
-
-
-def in_tags(html: Column, change) -> Column:
-    """html with change applied to each of its tags."""
-    pieces = F.regexp_extract_all(html, F.lit(rf"(?s){TAG}|[^<]++|<"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(r"^<\s*[a-zA-Z]"), change(x)).otherwise(x)), "")
+def _is_inline_html(piece: Column) -> Column:
+    return piece_name(piece).isin("href", "src", "action") & piece_value(piece).rlike(r"(?i)^\s*data:text/html")
 
 
 def sanitize_attrs(html: Column) -> Column:
     """html without event handlers in its tags, and without references to inline HTML. Script references stay."""
-    inline = r"""(?:"\s*data:text/html[^"]*"|'\s*data:text/html[^']*'|data:text/html[^\s>]*)"""
-    handlers = lambda tag: F.regexp_replace(tag, rf"(?is)\s+on[\w:-]*\s*=\s*{VALUE}", "")
-    return in_tags(html, lambda tag: F.regexp_replace(handlers(tag), rf"(?is)\s+(?:href|src|action)\s*=\s*{inline}", ""))
+    return in_tags(html, lambda tag: keep_attributes(tag, lambda p: ~(_is_handler(p) | _is_inline_html(p))))
 
 
-HANDLER = r"(?i)^on"
+def _start_tags(html: Column) -> Column:
+    """The start tags of a page; what raw elements and comments hold is none."""
+    return F.filter(F.transform(F.filter(tokens_of(html), lambda t: t.rlike("^<[a-zA-Z]")), tag_of), lambda t: t != "")
 
 
 def attribute_flags(html: Column) -> Column:
     """struct(handlers, inline_html, script_links): how many event handlers and references to inline
     HTML sanitize_attrs takes from the tags, and how many script links it keeps."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), lambda t: t.rlike(r"^<\s*[a-zA-Z]"))
-    pairs = F.flatten(F.transform(tags, tag_values))
-    is_reference = lambda p: p["name"].isin("href", "src", "action")
-    count = lambda holds: F.size(F.filter(pairs, holds))
-    return F.struct(
-        count(lambda p: p["name"].rlike(HANDLER)).alias("handlers"),
-        count(lambda p: is_reference(p) & p["value"].rlike(r"(?i)^\s*data:text/html")).alias("inline_html"),
-        count(lambda p: is_reference(p) & p["value"].rlike(r"(?i)^\s*(?:javascript|vbscript):")).alias("script_links"),
-    )
+    pieces = F.flatten(F.transform(_start_tags(html), attribute_pieces))
+    count = lambda holds: F.size(F.filter(pieces, holds))
+    is_script = lambda p: piece_name(p).isin("href", "src", "action") & piece_value(p).rlike(r"(?i)^\s*(?:javascript|vbscript):")
+    return F.struct(count(_is_handler).alias("handlers"), count(_is_inline_html).alias("inline_html"), count(is_script).alias("script_links"))
 
 
 def strip_presentation(html: Column) -> Column:
     """html without style and presentational attributes; an image keeps its width and height."""
-    without = lambda tag, names: F.regexp_replace(tag, rf"(?is)\s+(?:{'|'.join(names)})\s*=\s*{VALUE}", "")
     image = ("style", *(x for x in PRESENTATION if x not in ("width", "height")))
-    return in_tags(html, lambda tag: F.when(tag.rlike(r"(?i)^<\s*img\b"), without(tag, image)).otherwise(without(tag, ("style", *PRESENTATION))))
+    return in_tags(html, lambda tag: F.when(tag.rlike(r"(?i)^<img[\s/>]"), without(tag, *image)).otherwise(without(tag, "style", *PRESENTATION)))
 
 
 #: A frame's tag, an inline one with what it holds up to its end, or else a run of other markup.
@@ -170,9 +135,19 @@ def inline_frames(pages: DataFrame, levels: int = 2) -> DataFrame:
 
 
 def body_of(html: Column) -> Column:
-    """What the body holds; without a body tag, all but the head."""
-    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
-    return F.when(html.rlike(r"(?i)<body\b"), body).otherwise(F.regexp_replace(html, r"(?is)<head\b.*?</head\s*>", ""))
+    """What the body holds; without a body tag, all but the head. Tags in scripts, styles, titles and comments don't count."""
+
+    def on(tokens: Column, names: Column) -> Column:
+        place = lambda names, name: F.array_position(names, name).cast("int")
+        first, size = place(names, "body"), F.size(tokens)
+        rest = F.slice(tokens, first + 1, size)
+        end = place(F.slice(names, first + 1, size), "/body")
+        body = F.when(end > 0, F.slice(rest, F.lit(1), end - 1)).otherwise(rest)
+        head, head_end = place(names, "head"), place(names, "/head")
+        headless = F.concat(F.slice(tokens, F.lit(1), head - 1), F.slice(tokens, head_end + 1, size))
+        return F.array_join(F.when(first > 0, body).when((head > 0) & (head_end > head), headless).otherwise(tokens), "")
+
+    return bound(tokens_of(html), lambda tokens: bound(F.transform(tokens, token_name), lambda names: on(tokens, names)))
 
 
 def references(pages: DataFrame) -> DataFrame:
@@ -200,7 +175,7 @@ def classify_links(refs: DataFrame) -> DataFrame:
 
 def without(tag: Column, *names: str) -> Column:
     """A tag without the attributes of these names, with or without a value."""
-    return F.regexp_replace(tag, rf"(?is)\s+(?:{'|'.join(names)})(?:\s*=\s*{VALUE}|(?=[\s/>]))", "")
+    return keep_attributes(tag, lambda p: ~piece_name(p).isin(*names))
 
 
 def with_attributes(tag: Column, *added: Column) -> Column:
@@ -487,8 +462,7 @@ def extraction_quality(pages: DataFrame, least: int = 50) -> DataFrame:
 def sanitize_audit(pages: DataFrame) -> DataFrame:
     """(archive_id, path, what, n): per page, how often each dropped tag opens, how many event handlers
     (`handler`) and references to inline HTML (`inline html`) go, and how many script links stay (`script link`)."""
-    tags = F.filter(F.regexp_extract_all("html", F.lit(TAG), F.lit(0)), lambda t: t.rlike(r"^<\s*[a-zA-Z]"))
-    names = F.filter(F.transform(tags, lambda t: F.lower(F.regexp_extract(t, TAG, 2))), lambda x: x.isin(*DROPPED_TAGS))
+    names = F.filter(F.transform(tokens_of(F.col("html")), token_name), lambda x: x.isin(*DROPPED_TAGS))
     dropped = pages.select("archive_id", "path", F.explode(names).alias("what")).groupBy("archive_id", "path", "what").agg(F.count(F.lit(1)).alias("n"))
     flags = attribute_flags(F.col("html"))
     kinds = F.array(*[F.struct(F.lit(what).alias("what"), F.col(f"f.{name}").cast("long").alias("n")) for what, name in (("handler", "handlers"), ("inline html", "inline_html"), ("script link", "script_links"))])

@@ -91,22 +91,25 @@ def chapter_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DROP = r"regexp_replace(regexp_replace(html, '<script>[^<]*</p>[^<]*</script>', '', 'g'), '<meta[^>]*>', '', 'g')"
 
 
-@query(f"SELECT page_id, {_DROP} AS html FROM pages")
+@query(f"SELECT page_id, replace({_DROP}, '<nav>', '<div></div><b></b><scr<meta>ipt src=x><p title=\"<form>\"><nav>') AS html FROM pages")
 def sanitize_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with a nested form, a frame and an object added, which go again."""
+    """Pages with a nested form, a frame and an object added, which go again; with forms that end with what is
+    around them, signs in quotes, tags in tags, and on every third page a form without an end."""
+    broken = F.lit('<input value="a>b"><div><form>in</div><b><form><i></b>x</i></form><scr<meta>ipt src=x><p title="<form>">')
+    tail = F.when(F.col("page_id") % 3 == 0, '<form><p>tail</select>').otherwise("")
     extra = F.lit('<FORM action="x"><p>in <select><option>a</select><button>b</button></p><input type=text></form><iframe src="/x.htm">no</iframe><object data="a"><embed src=b></object>')
-    html = F.regexp_replace("html", "<nav>", F.concat(extra, F.lit("<nav>")))
+    html = F.concat(F.replace("html", F.lit("<nav>"), F.concat(extra, broken, F.lit("<nav>"))), tail)
     return table(spark, sf_dir, "pages").select("page_id", C.sanitize_tags(html).alias("html"))
 
 
 _N_LINKS, _N_NAVS = """len(regexp_extract_all(html, '<a href="/'))""", "len(regexp_extract_all(html, '<nav>'))"
 
 
-@query(f"""SELECT page_id, replace(html, '<a href="/', '<a href="javascript:go(') AS html, 2 * {_N_LINKS} + {_N_NAVS} AS handlers, {_N_NAVS} AS inline_html, {_N_LINKS} AS script_links FROM pages""")
+@query(f"""SELECT page_id, replace(replace(html, '<a href="/', '<a href="javascript:go('), '<nav>', '<nav><img src=x><a title="x onclick=y">') AS html, 2 * {_N_LINKS} + 4 * {_N_NAVS} AS handlers, {_N_NAVS} AS inline_html, {_N_LINKS} AS script_links FROM pages""")
 def sanitize_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with handlers and references to inline HTML added, which go again and are counted, and script links, which stay."""
     html = F.replace("html", F.lit('<a href="/'), F.lit('<a ONCLICK="a > b" onmouseover=x() href="javascript:go('))
-    html = F.replace(html, F.lit("<nav>"), F.lit("<nav action='data:text/html,<b>' onload='y'>"))
+    html = F.replace(html, F.lit("<nav>"), F.lit("<nav action='data:text/html,<b>' onload='y'><img/onerror=alert(1) src=x><a title=\"x onclick=y\"onclick='z' onx>"))
     made = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
     return made.select("page_id", C.sanitize_attrs(F.col("html")).alias("html"), C.attribute_flags(F.col("html")).alias("f")).select("page_id", "html", "f.*")
 
@@ -123,7 +126,8 @@ _BODY = r"regexp_extract(html, '(?s)<body>(.*?)(</body>|$)', 1)"
 @query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_BODY} ELSE '<html lang>' || {_BODY} || '</html>' END AS html FROM pages")
 def body_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.regexp_extract("html", r"(?s)<body>(.*?)(?:</body>|\z)", 1)
-    html = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", "<body>", "<BODY class='a'>")).otherwise(F.concat(F.lit("<html lang><HEAD><title>x</title></head>"), inner, F.lit("</html>")))
+    head = F.lit("<HEAD><title><body></title><script>'<body>'</script></head>")
+    html = F.when(F.col("page_id") % 2 == 0, F.concat(head, F.regexp_replace("html", "<body>", "<BODY class='>'>"))).otherwise(F.concat(F.lit("<html lang>"), head, inner, F.lit("</html>")))
     return table(spark, sf_dir, "pages").select("page_id", C.body_of(html).alias("html"))
 
 
