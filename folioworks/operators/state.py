@@ -18,9 +18,9 @@ def debounced_saves(events: DataFrame, gap: str = "800 milliseconds") -> DataFra
     return events.groupBy("user_id", session).agg(F.max_by("path", F.struct("ts", "event_id")).alias("path"), F.count(F.lit(1)).alias("activities"), F.max("ts").alias("last_ts")).drop("session_window")
 
 
-def drop_stale(events: DataFrame) -> DataFrame:
+def drop_stale(events: DataFrame, order: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Events of a frame whose seq is above every earlier one of the frame; those without seq pass."""
-    before = Window.partitionBy("frame_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("frame_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     top = F.greatest(F.lit(0), F.coalesce(F.max("seq").over(before), F.lit(0)))
     return events.withColumn("top", top).where(F.col("seq").isNull() | (F.col("seq") > F.col("top"))).drop("top")
 
