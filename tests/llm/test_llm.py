@@ -91,9 +91,13 @@ def test_op1_query(spark, docs):
         text, after = docs.text[i] or "", docs.text[(i + 1) % n] or ""
         edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
         assert got.edited_sha256[i] == hashlib.sha256(edited.encode()).hexdigest()
-        errors.append(abs(got.near_edited[i] - jaccard(shingle_set(text), shingle_set(edited))))
-        errors.append(abs(got.near_next[i] - jaccard(shingle_set(text), shingle_set(after))))
-    assert max(errors) < 0.25 and sum(errors) / len(errors) < 0.03
+        for estimate, other in ((got.near_edited[i], edited), (got.near_next[i], after)):
+            a, b = shingle_set(text), shingle_set(other)
+            truth, held = jaccard(a, b), max(1, len(a | b) * FP.FRACTION)
+            errors.append((abs(estimate - truth), (truth * (1 - truth) / held) ** 0.5))
+    # as large as the number of hashes lets one expect, and none where texts are equal or have nothing in common
+    assert sum(e for e, _ in errors) / len(errors) < 0.03
+    assert all(e <= 5 * expected + 1e-9 for e, expected in errors)
 
 
 def test_op1_odd(odd, empty):
@@ -108,6 +112,19 @@ def test_op1_odd(odd, empty):
     assert odd.where("doc_id = 13").limit(1).transform(FP.compared_with_next).first().near_next == 1.0
 
 
+def test_op1_estimates_come_from_under_the_fraction(spark):
+    """Nearly every document of the given tables has hashes under it, and the estimates are made of these alone."""
+    got = QUERIES["op1_scaled_sketch"](spark, "/root/testdata/sf0.01").select("fingerprint", "edited_fingerprint", "near_edited").collect()
+    above = 0
+    for r in got:
+        a, b = FP.Sketch.parse(r.fingerprint), FP.Sketch.parse(r.edited_fingerprint)
+        x, y = set(a.main.tolist()), set(b.main.tolist())
+        if x or y:
+            assert r.near_edited == len(x & y) / len(x | y)
+        above += not len(a.main)
+    assert above <= 0.01 * len(got)
+
+
 def test_sketch_merges_and_contains():
     rng = np.random.default_rng(4)
     words = [f"w{x}" for x in rng.integers(0, 10**9, 30_000)]
@@ -124,8 +141,8 @@ def test_sketch_merge_is_the_unions_sketch():
     limit = int(FP.FRACTION * FP.TOP)
     for n, m in [(0, 0), (0, 5), (1, 1), (30, 30), (47, 1), (48, 48), (49, 3), (60, 60), (60, 5000), (400, 600), (2000, 40), (5000, 9000)]:
         a, b = (np.unique(rng.integers(0, FP.TOP, k)) for k in (n, m))
-        whole = FP.Sketch.cut(np.union1d(a, b), limit, FP.LEAST)
-        got = FP.Sketch.cut(a, limit, FP.LEAST).merged(FP.Sketch.cut(b, limit, FP.LEAST))
+        whole = FP.Sketch.cut(np.union1d(a, b), limit)
+        got = FP.Sketch.cut(a, limit).merged(FP.Sketch.cut(b, limit))
         assert got.text() == whole.text() == FP.Sketch.parse(whole.text()).text()
         assert set(got.main) == {x for x in np.union1d(a, b).tolist() if x <= limit}
 
@@ -138,7 +155,7 @@ def test_containment_of_short_in_long():
     for i in range(200):
         apart.append(FP.Sketch.of(" ".join(f"v{x}" for x in rng.integers(0, 10**9, 14))).containment(long))
         inside.append(FP.Sketch.of(" ".join(words[50 * i : 50 * i + 14])).containment(long))
-    assert set(apart) == {None, 0.0} and set(inside) == {None, 1.0}
+    assert set(apart) <= {None, 0.0} and set(inside) <= {None, 1.0} and apart.count(None) < 5
     assert FP.Sketch.of("").containment(long) == 1.0 and FP.Sketch.of("a b c").containment(FP.Sketch.of("")) == 0.0
     for n in (400, 3000):
         own, other = words[:n], words[n // 2 : 2 * n]
