@@ -10,6 +10,7 @@ from ..functions.encodings import decode_text, utf8_class
 from ..functions.paths import base_name, directory, doc_name, is_content, is_html, is_text, natural_key, normalize_path, trimmed
 from ..functions.text import GAP, LITERAL, TAG, attribute, is_docwrite, literal_value, strip_tags, tidy_title
 from .content import matched
+from .numbering import numbered
 
 PLACEHOLDER = "(no title)"
 ROOT_LABEL = "(top)"
@@ -235,9 +236,11 @@ def flat_toc(texts: DataFrame) -> DataFrame:
 
 
 def doc_paths(entries: DataFrame) -> DataFrame:
-    """(archive_id, pos, path) of the HTML documents in natural order."""
-    order = Window.partitionBy("archive_id").orderBy(natural_key(F.col("path")), "path")
-    return entries.where(is_content(F.col("path")) & is_html(F.col("path"))).select("archive_id", (F.row_number().over(order) - 1).alias("pos"), "path")
+    """(archive_id, pos, path) of the HTML documents in natural order.
+
+    The largest archive is numbered by all tasks: see numbering.numbered()."""
+    own = entries.where(is_content(F.col("path")) & is_html(F.col("path"))).select("archive_id", "path", natural_key(F.col("path")).alias("natural"))
+    return numbered(own, ["archive_id"], ["natural", "path"], "doc-paths").select("archive_id", F.col("place").cast("int").alias("pos"), "path")
 
 
 def fallback_toc(docs: DataFrame) -> DataFrame:
@@ -283,10 +286,10 @@ def folder_nodes(toc: DataFrame) -> DataFrame:
     folders = first.select("archive_id", "group_no", F.lit(-1).alias("pos"), "name", F.lit(None).cast("string").alias("local"))
     rows = folders.unionByName(toc.select("archive_id", "group_no", "pos", "name", "local"))
     order = Window.partitionBy("archive_id").orderBy("group_no", "pos")
-    numbered = rows.withColumn("node_id", F.row_number().over(order) - 1)
+    lined = rows.withColumn("node_id", F.row_number().over(order) - 1)
     head = F.min("node_id").over(Window.partitionBy("archive_id", "group_no"))
     parent = F.when(F.col("group_no").isNull() | (F.col("pos") < 0), -1).otherwise(head)
-    return numbered.select("archive_id", "node_id", parent.alias("parent_id"), "name", "local")
+    return lined.select("archive_id", "node_id", parent.alias("parent_id"), "name", "local")
 
 
 def book_navigation(sitemap: DataFrame, synthetic: DataFrame, flat: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -307,15 +310,17 @@ def book_navigation(sitemap: DataFrame, synthetic: DataFrame, flat: DataFrame, d
 
 def reading_order(toc: DataFrame, docs: DataFrame) -> DataFrame:
     """(archive_id, position, path): targets of toc(archive_id, pos, local) in order, then the other
-    docs(archive_id, pos, path); each path once without regard to case, its first spelling stays."""
+    docs(archive_id, pos, path); each path once without regard to case, its first spelling stays.
+
+    The largest archive is numbered by all tasks: see numbering.numbered()."""
     rows = (
         toc.where(F.col("local").isNotNull())
         .select("archive_id", F.lit(0).alias("part"), "pos", F.col("local").alias("path"))
         .unionByName(docs.select("archive_id", F.lit(1).alias("part"), "pos", "path"))
     )
     first = rows.groupBy("archive_id", F.lower("path").alias("path_key")).agg(F.min(F.struct("part", "pos", "path")).alias("f"))
-    order = Window.partitionBy("archive_id").orderBy("f.part", "f.pos")
-    return first.select("archive_id", (F.row_number().over(order) - 1).alias("position"), F.col("f.path").alias("path"))
+    lined = numbered(first.select("archive_id", "f.part", "f.pos", "f.path"), ["archive_id"], ["part", "pos", "path"], "reading-order")
+    return lined.select("archive_id", F.col("place").cast("int").alias("position"), "path")
 
 
 def toc_labels(spine: DataFrame, toc: DataFrame) -> DataFrame:
@@ -350,13 +355,13 @@ def filter_index(index: DataFrame, needle: str, most: int = 400) -> DataFrame:
 
 
 def spine_nav(labelled: DataFrame) -> DataFrame:
-    """Previous and next chapter of each position, and how far through the book it is."""
-    order = Window.partitionBy("archive_id").orderBy("position")
-    n = F.count(F.lit(1)).over(Window.partitionBy("archive_id"))
-    return labelled.select(
+    """Previous and next chapter of each position, and how far through the book it is. Neighbours in the
+    largest archive come from all tasks: see numbering.numbered()."""
+    lined = numbered(labelled.select("archive_id", "position", "path", "label"), ["archive_id"], ["position"], "spine", beside=("path", "label"))
+    n = F.col("group_size")
+    return lined.select(
         "archive_id", "position", "path",
-        F.lag("path").over(order).alias("prev_path"), F.lag("label").over(order).alias("prev_label"),
-        F.lead("path").over(order).alias("next_path"), F.lead("label").over(order).alias("next_label"),
+        F.col("before_path").alias("prev_path"), F.col("before_label").alias("prev_label"), F.col("after_path").alias("next_path"), F.col("after_label").alias("next_label"),
         F.floor((F.col("position") + 1) * 100 / n + 0.5).cast("int").alias("percent"), n.alias("chapters"),
     )
 
