@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.paths import is_content, mime_for
+from .archive_files import OPENED, empty_entries, stream_archive_files
 
 BINARY_FILE = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
@@ -17,18 +20,25 @@ BINARY_FILE = T.StructType([
 
 def _as_entries(files: DataFrame, root: str) -> DataFrame:
     below = rf"\Q{root.rstrip('/').split(':')[-1].lstrip('/')}\E/([^/]+)(/.*)$"
-    return files.select(F.regexp_extract("path", below, 1).alias("archive_id"), F.regexp_extract("path", below, 2).alias("path"), "length", "content", "modificationTime")
+    rows = files.select(F.regexp_extract("path", below, 1).alias("archive_id"), F.regexp_extract("path", below, 2).alias("path"), "length", "content", "modificationTime")
+    return rows.where(F.col("archive_id") != "")  # a file beside the archives' folders is none's
 
 
 def read_entries(spark: SparkSession, root: str) -> DataFrame:
     """Entries of extracted archives: one folder under root is one archive. Unread columns are pruned.
 
-    Spark's reader leaves out files without a byte."""
-    return _as_entries(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root)
+    Spark's reader leaves out files without a byte; these come from a listing of the same
+    folder, but for stores that only Spark opens."""
+    files = _as_entries(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root)
+    return files.unionByName(empty_entries(spark, root)) if urlparse(root).scheme in OPENED else files
 
 
 def stream_entries(spark: SparkSession, root: str) -> DataFrame:
-    """The same as files arrive."""
+    """The same as files arrive, whole ones and such without a byte alike; from stores that only
+    Spark opens without the latter."""
+    if urlparse(root).scheme in OPENED:
+        rows = stream_archive_files(spark, root)
+        return rows.select("archive_id", "path", "length", "content", F.col("modified").alias("modificationTime"))
     source = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
     return _as_entries(source.load(root), root)
 
