@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escaped
 from ..operators import content as C
+from ..operators import graph as G
 from .derived import PAGES_SQL, pages
 from .registry import query, table
 
@@ -316,6 +317,48 @@ def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.extraction_quality(made).select(F.col("path").cast("long").alias("doc_id"), "visible", "too_short", "script_left", "has_cjk")
 
 
+#: Pages numbered in their host, each with ways to three others: a link, a frame and a script; every seventh has none.
+_TREE_SQL = PAGES_SQL + """, t AS (SELECT archive_id, row_number() OVER (PARTITION BY archive_id ORDER BY entry_seq) - 1 AS n FROM e)"""
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, sheets): the first page of a host also has a stylesheet, which imports three others in turn; a fifth is nobody's."""
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy("archive_id").orderBy("entry_seq")) - 1
+    n = F.col("n")
+    name = lambda k: F.concat(F.lit("/P/"), (3 * n + k).cast("string"), F.lit(".htm"))
+    ways = F.concat(F.lit('<a href="'), F.lower(name(1)), F.lit('">x</a><iframe src="'), F.substring(name(2), 4, 20), F.lit('"></iframe><script>f(); top.location = \''), name(3), F.lit("'</script>"))
+    made = pages(spark, sf_dir).withColumn("n", place)
+    html = F.concat("html", F.when(n % 7 == 5, "").otherwise(ways), F.when(n == 0, '<link rel=stylesheet href="/css/0.css">').otherwise('<a href="0.htm">first</a>'))
+    made = made.select("archive_id", F.concat(F.lit("/p/"), n.cast("string"), F.lit(".htm")).alias("path"), html.alias("html"))
+    k = F.col("k")
+    css = F.when(k < 3, F.concat(F.lit("@import '"), (k + 1).cast("string"), F.lit(".css';"))).otherwise("p{}")
+    sheets = made.where("path = '/p/0.htm'").select("archive_id", F.explode(F.array(*map(F.lit, (0, 1, 2, 3, 9)))).alias("k"))
+    return made, sheets.select("archive_id", F.concat(F.lit("/css/"), k.cast("string"), F.lit(".css")).alias("path"), css.alias("css"))
+
+
+@query(f"""WITH RECURSIVE {_TREE_SQL}, r AS (SELECT archive_id, n, 0 AS steps FROM t WHERE n = 0
+ UNION ALL SELECT t.archive_id, t.n, r.steps + 1 FROM r JOIN t ON t.archive_id = r.archive_id AND (t.n - 1) // 3 = r.n AND t.n > 0 WHERE r.n % 7 <> 5)
+ SELECT t.archive_id, '/p/' || t.n || '.htm' AS path_key, r.steps FROM t LEFT JOIN r ON t.archive_id = r.archive_id AND t.n = r.n
+ UNION ALL SELECT archive_id, '/css/' || k || '.css', CASE WHEN k < 4 THEN k + 1 END FROM (SELECT DISTINCT archive_id, unnest([0, 1, 2, 3, 9]) AS k FROM t)""")
+def reachable_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each page and stylesheet is from its host's first page by links, frames, styles and scripts."""
+    made, sheets = _tree(spark, sf_dir)
+    return G.reachable(made.select("archive_id", "path").unionByName(sheets.select("archive_id", "path")), G.link_edges(made, sheets), made.where("path = '/p/0.htm'"))
+
+
+@query(f"""WITH {_TREE_SQL}, g AS (SELECT archive_id, '/p/' || n || '.htm' AS a, unnest(['/p/' || (3 * n + 1) || '.htm', '/p/' || (3 * n + 2) || '.htm', '/p/' || (3 * n + 3) || '.htm']) AS b FROM t WHERE n % 7 <> 5
+ UNION SELECT archive_id, '/p/' || n || '.htm', '/p/0.htm' FROM t WHERE n > 0 UNION SELECT archive_id, '/p/0.htm', '/css/0.css' FROM t UNION SELECT archive_id, '/css/' || k || '.css', '/css/' || (k + 1) || '.css' FROM (SELECT DISTINCT archive_id, unnest([0, 1, 2]) AS k FROM t)
+ UNION SELECT archive_id, '/p/' || n || '.htm', regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '[?#].*$', ''), '/$', '') FROM (SELECT archive_id, html, row_number() OVER (PARTITION BY archive_id ORDER BY entry_seq) - 1 AS n FROM e)),
+ d AS (SELECT DISTINCT archive_id, lower(a) AS a, lower(b) AS b FROM g), x AS (SELECT archive_id, a AS path_key, 1 AS o FROM d UNION ALL SELECT archive_id, b, 0 FROM d)
+ SELECT archive_id, path_key, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(1 - o) AS BIGINT) AS in_degree FROM x GROUP BY ALL""")
+def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees over all kinds of edges."""
+    made, sheets = _tree(spark, sf_dir)
+    return G.edge_degrees(G.link_edges(made, sheets))
+
+
 _AUDITED = [("script", "<script>", 1), ("meta", "<meta ", 1), ("form", "<nav>", 1), ("handler", "<nav>", 2), ("script link", "<nav>", 2), ("inline html", "<nav>", 1)]
 
 
