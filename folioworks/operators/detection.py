@@ -19,15 +19,20 @@ def book_encodings(entries: DataFrame, archives: DataFrame) -> DataFrame:
     The sample is the second HTML document in natural order, or the only one; without any,
     the first text over 256 bytes. Where it doesn't tell, the locale does: the property's
     low 16 bits before the header's; else UTF-8."""
-    sized = entries.select("archive_id", "path", "entry_seq", F.octet_length("content").alias("size"), F.substring("content", 1, SAMPLE).alias("sample"))
+    # names and sizes choose the entry; one sample an archive is read after that
+    names = entries.select("archive_id", "path", "entry_seq", F.octet_length("content").alias("size"))
     order = Window.partitionBy("archive_id").orderBy(natural_key(F.col("path")), "path")
-    html = sized.where(is_content(F.col("path")) & is_html(F.col("path"))).withColumn("place", F.row_number().over(order)).where("place <= 2")
-    html = html.groupBy("archive_id").agg(F.max_by("sample", "place").alias("html_sample"))
-    text = sized.where(is_text(F.col("path")) & (F.col("size") > 256)).groupBy("archive_id").agg(F.min_by("sample", "entry_seq").alias("text_sample"))
+    html = names.where(is_content(F.col("path")) & is_html(F.col("path"))).withColumn("place", F.row_number().over(order)).where("place <= 2")
+    own = F.struct("entry_seq", "path")
+    html = html.groupBy("archive_id").agg(F.max_by(own, "place").alias("html"))
+    text = names.where(is_text(F.col("path")) & (F.col("size") > 256)).groupBy("archive_id").agg(F.min(own).alias("text"))
+    chosen = matched(html, text, ["archive_id"], "full").select("archive_id", F.coalesce("html", "text").alias("c")).select("archive_id", "c.*")
+    samples = entries.select("archive_id", "entry_seq", "path", F.substring("content", 1, SAMPLE).alias("sample"))
+    samples = matched(samples, chosen, ["archive_id", "entry_seq", "path"]).select("archive_id", "sample")
     low = F.conv(F.concat(F.hex(F.substring("locale_property", 2, 1)), F.hex(F.substring("locale_property", 1, 1))), 16, 10).cast("int")
     lcid = F.when(F.octet_length("locale_property") >= 4, low).otherwise(F.col("lcid").bitwiseAND(0xFFFF))
-    joined = matched(matched(archives, html, ["archive_id"], "left"), text, ["archive_id"], "left")
-    seen = joined.select("archive_id", sniff(F.coalesce("html_sample", "text_sample")).alias("s"), locale_charset(lcid).alias("by_locale"))
+    joined = matched(archives, samples, ["archive_id"], "left")
+    seen = joined.select("archive_id", sniff(F.col("sample")).alias("s"), locale_charset(lcid).alias("by_locale"))
     return seen.select(
         "archive_id",
         F.coalesce("s.encoding", "by_locale", F.lit("utf-8")).alias("encoding"),
@@ -51,20 +56,42 @@ def redecoded(entries: DataFrame, encodings: DataFrame, overrides: DataFrame) ->
     return texts
 
 
+def _examined(entries: DataFrame) -> DataFrame:
+    """(archive_id, encoding, source, class, chars, marks) of each document: what sniff() finds, the UTF-8 shape, and
+    the signs and replacement characters of the decoded text."""
+    with lenient_charsets(entries.sparkSession):
+        found = entries.select("archive_id", "content", sniff(F.col("content")).alias("s"), utf8_class(F.col("content")).alias("class"))
+        texts = found.select("archive_id", "s.encoding", "s.source", "class", decode_text(F.col("content"), F.col("s.encoding")).alias("text"))
+        texts.schema  # analysed while the settings hold
+    left = F.char_length(F.replace("text", F.lit("\ufffd"), F.lit("")))
+    return texts.select("archive_id", "encoding", "source", "class", F.char_length("text").alias("chars"), (F.char_length("text") - left).alias("marks"))
+
+
 def encoding_report(entries: DataFrame, by: tuple[str, ...] = ("encoding", "source", "class")) -> DataFrame:
     """(archive_id, *by, documents, replaced) of entries(archive_id, content), and a last total with a null archive_id.
 
     encoding and source are what sniff() finds, null where nothing tells; class is the UTF-8 shape.
     The total has a value where all documents share it. replaced is the share of replacement
     characters in the decoded texts, null where these are empty."""
-    with lenient_charsets(entries.sparkSession):
-        found = entries.select("archive_id", "content", sniff(F.col("content")).alias("s"), utf8_class(F.col("content")).alias("class"))
-        texts = found.select("archive_id", "s.encoding", "s.source", "class", decode_text(F.col("content"), F.col("s.encoding")).alias("text"))
-        texts.schema  # analysed while the settings hold
-    left = F.char_length(F.replace("text", F.lit("\ufffd"), F.lit("")))
-    rows = texts.select("archive_id", *by, *[F.col(c).alias(f"own_{c}") for c in by], F.char_length("text").alias("chars"), (F.char_length("text") - left).alias("marks"))
+    rows = _examined(entries)
     n = F.count(F.lit(1))
     shared = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == n), F.min(c))
-    share = F.try_divide(F.sum("marks"), F.sum("chars"))
-    sums = rows.rollup("archive_id", *by).agg(n.alias("documents"), share.alias("replaced"), F.grouping_id().alias("g"), *[shared(f"own_{c}").alias(f"all_{c}") for c in by])
-    return sums.where(F.col("g").isin(0, 2 ** (len(by) + 1) - 1)).select("archive_id", *[F.col(f"all_{c}").alias(c) for c in by], "documents", "replaced")
+    sums = (n.alias("documents"), F.sum("marks").alias("marks"), F.sum("chars").alias("chars"))
+    groups = rows.groupBy("archive_id", *by).agg(*sums)
+    share = F.try_divide("marks", "chars").alias("replaced")
+    total = rows.agg(*sums, *[shared(c).alias(c) for c in by]).where("documents > 0")
+    return groups.select("archive_id", *by, "documents", share).unionByName(total.select(F.lit(None).cast("string").alias("archive_id"), *by, "documents", share))
+
+
+CUBED = ("archive_id", "encoding", "source", "class")
+
+
+def encoding_cube(entries: DataFrame) -> DataFrame:
+    """(archive_id, encoding, source, class, level, documents, replaced) for each set of these four columns.
+
+    level is Spark's grouping_id: a bit a column, the archive's the highest, 1 where the
+    column is summed over, so that a null of the data is told from one of a total. Documents
+    are counted once by all four columns; the sets are sums of these counts."""
+    cells = _examined(entries).groupBy(*CUBED).agg(F.count(F.lit(1)).alias("n"), F.sum("marks").alias("marks"), F.sum("chars").alias("chars"))
+    sums = cells.cube(*CUBED).agg(F.grouping_id().cast("long").alias("level"), F.sum("n").alias("documents"), F.try_divide(F.sum("marks"), F.sum("chars")).alias("replaced"))
+    return sums.select(*CUBED, "level", "documents", "replaced")

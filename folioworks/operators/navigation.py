@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.encodings import decode_text, utf8_class
 from ..functions.paths import base_name, directory, doc_name, is_content, is_html, is_text, natural_key, normalize_path, trimmed
-from ..functions.text import GAP, LITERAL, TAG, attribute, is_docwrite, literal_value, strip_tags, tidy_title
+from ..functions.text import FIRST_PAGE_ROW, LITERAL, PAGE_ROW, TAG, attribute, is_docwrite, literal_value, strip_tags, tidy_title
 from .content import matched
 from .numbering import numbered
 
@@ -155,10 +155,6 @@ def find_sitemaps(entries: DataFrame, stated: DataFrame) -> DataFrame:
     return found.select("archive_id", F.coalesce("stated_toc", "first_toc").alias("toc_path"), F.coalesce("stated_index", "first_index").alias("index_path"))
 
 
-#: The left side of a chapter row, to the bracket that opens its fields.
-PAGE_ROW = rf"pages{GAP}\[{GAP}(\d++){GAP}\]{GAP}={GAP}\["
-
-
 def _row_fields(text: Column) -> Column:
     """array of struct(idx, f): the number and the literals of each chapter row of a script."""
     rows = F.regexp_extract_all(text, F.lit(f"(?s){PAGE_ROW}(?:{LITERAL}|[^\\[\\]\"']++)*+"), F.lit(0))
@@ -194,7 +190,7 @@ def chapter_scripts(entries: DataFrame) -> DataFrame:
     size = F.octet_length("content")
     scripts = entries.where(F.lower("path").endswith(".js") & (size > 0) & (size <= SCRIPT_BYTES))
     text = decode_text(content, F.when(utf8_class(content) == "multibyte", "utf-8").otherwise(F.col("encoding")))
-    read = scripts.select("archive_id", "entry_seq", "path", text.alias("text")).where(F.col("text").rlike(rf"pages{GAP}\[{GAP}0{GAP}\]"))
+    read = scripts.select("archive_id", "entry_seq", "path", text.alias("text")).where(F.col("text").rlike(FIRST_PAGE_ROW))
     enough = read.where(F.size(F.filter(_row_fields(F.col("text")), lambda f: F.size(f["f"]) >= 2)) >= FEWEST)
     first = enough.groupBy("archive_id").agg(F.min_by(F.struct("path", "text"), "entry_seq").alias("s"))
     return first.select("archive_id", "s.path", "s.text")

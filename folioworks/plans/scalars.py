@@ -265,13 +265,6 @@ def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"WITH {PAGES_SQL} SELECT archive_id, 'utf-8' AS encoding, 'meta' AS source, count(*) AS documents FROM e GROUP BY archive_id UNION ALL SELECT NULL, 'utf-8', 'meta', count(*) FROM e")
-def encoding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.detection import encoding_report as report
-
-    return report(pages(spark, sf_dir), ("encoding", "source")).drop("replaced")
-
-
 _SHAPED = r"""d AS (SELECT archive_id, html, regexp_extract(html, '(?i)charset\s*=\s*["'']?\s*(\w[\w.:-]*)', 1) AS m FROM e),
  k AS (SELECT archive_id, CASE WHEN lower(m) IN ('utf-8', 'utf8', 'unicode') THEN 'utf-8' WHEN m <> '' THEN lower(m) WHEN octet_length(encode(html)) > length(html) THEN 'utf-8' END AS encoding,
  CASE WHEN m <> '' THEN 'meta' WHEN octet_length(encode(html)) > length(html) THEN 'heuristic' END AS source,
@@ -282,6 +275,13 @@ def _shared(c: str) -> str:
     return f"CASE WHEN min({c}) = max({c}) AND count({c}) = count(*) THEN min({c}) END AS {c}"
 
 
+@query(f"WITH {PAGES_SQL}, {_SHAPED} SELECT archive_id, encoding, source, count(*) AS documents FROM k GROUP BY ALL UNION ALL SELECT NULL, {_shared('encoding')}, {_shared('source')}, count(*) FROM k")
+def encoding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.detection import encoding_report as report
+
+    return report(pages(spark, sf_dir), ("encoding", "source")).drop("replaced")
+
+
 @query(f"WITH {PAGES_SQL}, {_SHAPED} SELECT archive_id, encoding, source, class, count(*) AS documents, sum(marks) / sum(chars) AS replaced FROM k GROUP BY ALL UNION ALL SELECT NULL, {_shared('encoding')}, {_shared('source')}, {_shared('class')}, count(*), sum(marks) / sum(chars) FROM k")
 def encoding_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.detection import encoding_report as report
@@ -289,6 +289,29 @@ def encoding_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(pages(spark, sf_dir))
 
 
+#: Pages with other charsets, a mark alone, nothing that tells, or bytes that are none, by number.
+_MIXED = r"""p AS (SELECT archive_id, entry_seq % 5 AS k, CASE WHEN entry_seq % 5 < 2 THEN html ELSE regexp_replace(html, 'charset', 'x', 'g') END AS t FROM e),
+ m AS (SELECT archive_id, k, CASE WHEN k = 1 THEN regexp_replace(replace(t, '"utf-8"', 'GB2312'), '[^\x00-\x7F]', '', 'g') ELSE t END AS t FROM p),
+ x AS (SELECT archive_id, k, length(t) + CASE WHEN k = 4 THEN 1 ELSE 0 END AS chars, CASE WHEN k = 4 THEN 1 ELSE 0 END AS marks, regexp_matches(t, '[^\x00-\x7F]') AS several FROM m),
+ y AS (SELECT archive_id, chars, marks, CASE WHEN k IN (0, 2) OR k = 3 AND several THEN 'utf-8' WHEN k = 1 THEN 'gbk' END AS encoding,
+ CASE WHEN k < 2 THEN 'meta' WHEN k = 2 THEN 'bom' WHEN k = 3 AND several THEN 'heuristic' END AS source, CASE WHEN k = 4 THEN 'invalid' WHEN k = 2 OR several THEN 'multibyte' ELSE 'ascii' END AS class FROM x)"""
+
+
+@query(f"""WITH {PAGES_SQL}, {_MIXED} SELECT archive_id, encoding, source, class, CAST(grouping_id(archive_id, encoding, source, class) AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS documents, sum(marks) / sum(chars) AS replaced
+ FROM y GROUP BY CUBE (archive_id, encoding, source, class)""")
+def encoding_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as they are, in another charset, with a mark only, with neither, and with a byte that is none."""
+    from ..operators.detection import encoding_cube as cube
+
+    e = pages(spark, sf_dir)
+    k = F.col("entry_seq") % 5
+    bare = F.replace("html", F.lit("charset"), F.lit("x"))
+    other = F.regexp_replace(F.replace("html", F.lit('"utf-8"'), F.lit("GB2312")), r"[^\x00-\x7F]", "")
+    coded = F.encode(F.when(k == 0, F.col("html")).when(k == 1, other).otherwise(bare), "UTF-8")
+    content = F.when(k == 2, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), coded)).when(k == 4, F.concat(coded, F.lit(bytearray(b"\xff")))).otherwise(coded)
+    return cube(e.select("archive_id", content.alias("content")))
+
+
 _BOOKENC = f"""WITH {PAGES_SQL}, c AS (SELECT archive_id, length(archive_id) % 4 AS r, count(*) AS n FROM e GROUP BY archive_id)
  SELECT archive_id, CASE r WHEN 0 THEN 'utf-8' WHEN 1 THEN 'gbk' WHEN 2 THEN 'shift_jis' ELSE 'utf-8' END AS encoding, CASE r WHEN 0 THEN 'meta' WHEN 3 THEN 'default' ELSE 'lcid' END AS source FROM c"""
 
