@@ -35,6 +35,11 @@ def chapter_html(chapters: DataFrame) -> DataFrame:
     return chapters.withColumn("html", F.when(is_text(F.col("path")), of_text).otherwise(text))
 
 
+def _directory_order(rows: DataFrame) -> str:
+    """The column that says which of entries that differ in case only counts: their order in the archive, or else their spelling."""
+    return "entry_seq" if "entry_seq" in rows.columns else "path"
+
+
 def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join of two sides that both grow with the archives: sorted and merged, never broadcast on a guess."""
     return left.join(right.hint("merge"), on, how)
@@ -120,17 +125,19 @@ def inline_frames(pages: DataFrame, levels: int = 2) -> DataFrame:
     Each page's frames are resolved against the page that holds them: first every page's
     frames get their targets as they are, then every page's own frames get their targets as
     they have become, so a level is one join. Of targets that differ in case only, the last
-    in order of their spelling is taken. Rows of one (archive_id, path) are one page."""
+    in the archive's order (entry_seq; without it, of their spelling) is taken. Rows of one
+    (archive_id, path) are one page."""
     pages = pages.dropDuplicates(["archive_id", "path"])
     frames = pages.select("archive_id", "path", F.posexplode(F.transform(_frame_pieces(F.col("html")), _frame_source)).alias("at", "src")).where(F.col("src").isNotNull())
     frames = frames.withColumn("target", normalize_path(F.col("path"), F.col("src"))).where(is_renderable(F.col("target")))
     wanted = frames.select("archive_id", "path", "at", F.lower("target").alias("target_key"))
-    shown = last_per_key(pages, [F.col("archive_id"), F.lower("path")], "path").select("archive_id", "path", F.col("html").alias("now"))
+    last = last_per_key(pages, [F.col("archive_id"), F.lower("path")], _directory_order(pages)).select("archive_id", "path")
+    shown = matched(pages, last, ["archive_id", "path"], "left_semi").select("archive_id", "path", F.col("html").alias("now"))
     for level in range(levels):
         put = shown.select("archive_id", F.lower("path").alias("target_key"), F.concat(F.lit('<div class="frame">'), "now", F.lit("</div>")).alias("put"))
         done = _put_in(pages, _frame_pieces(F.col("html")), wanted, put.where(F.col("put").isNotNull()))
         done = done.select("archive_id", "path", F.coalesce("whole", "html").alias("now"))
-        shown = last_per_key(done, [F.col("archive_id"), F.lower("path")], "path") if level < levels - 1 else done
+        shown = matched(done, last, ["archive_id", "path"], "left_semi") if level < levels - 1 else done
     return matched(pages.drop("html"), shown.withColumnRenamed("now", "html"), ["archive_id", "path"])
 
 
@@ -270,7 +277,7 @@ def page_styles(pages: DataFrame, sheets: DataFrame) -> DataFrame:
     those that aren't there have no row."""
     found = stylesheets(pages)
     inline = found.where("kind = 'inline'").select("archive_id", "path", "kind", F.col("path").alias("base"), F.col("value").alias("css"))
-    known = last_per_key(sheets, [F.col("archive_id"), F.lower("path")], "path").select("archive_id", F.lower("path").alias("target_key"), "css")
+    known = last_per_key(sheets, [F.col("archive_id"), F.lower("path")], _directory_order(sheets)).select("archive_id", F.lower("path").alias("target_key"), "css")
     linked = matched(found.where("kind = 'linked'").withColumn("target_key", F.lower("value")), known, ["archive_id", "target_key"])
     return inline.unionByName(linked.select("archive_id", "path", "kind", F.col("value").alias("base"), "css"))
 
@@ -340,9 +347,10 @@ def expand_css(sheets: DataFrame, urls: DataFrame, levels: int = 4) -> DataFrame
     own = written(own.select("archive_id", "path", F.when(F.col("urls").isNotNull(), with_urls).otherwise(F.col("css")).alias("own")), "sheets")
     rules = _imports(own.select("archive_id", "path", F.col("own").alias("css")))
     rules = rules.withColumn("target_key", F.when(~is_external(F.col("raw")), F.lower(normalize_path(F.col("path"), F.col("raw")))))
+    last = last_per_key(sheets, [F.col("archive_id"), F.lower("path")], _directory_order(sheets)).select("archive_id", "path")
     now = own.select("archive_id", "path", F.col("own").alias("now"))
     for _ in range(levels):
-        known = last_per_key(now, [F.col("archive_id"), F.lower("path")], "path").select("archive_id", F.lower("path").alias("target_key"), F.col("now").alias("put"))
+        known = matched(now, last, ["archive_id", "path"], "left_semi").select("archive_id", F.lower("path").alias("target_key"), F.col("now").alias("put"))
         puts = matched(rules, known, ["archive_id", "target_key"], "left").groupBy("archive_id", "path")
         puts = puts.agg(F.map_from_entries(F.collect_list(F.struct("at", F.coalesce("put", F.lit("")).alias("put")))).alias("puts"))
         filled = F.array_join(F.transform(_import_pieces(F.col("own")), lambda x, i: F.coalesce(F.try_element_at("puts", i), x)), "")
@@ -370,12 +378,15 @@ SCRIPT_TOKEN = (
 NAV_START = r"^(?:(?:document|window|this|top|self)\.)?location[\w.]*[ \t]*+[=(]$"
 
 
-def navigation_arguments(script: Column) -> Column:
-    """The argument of each assignment and call of a script that navigates, in order.
+def _script_tokens(script: Column) -> Column:
+    return F.regexp_extract_all(script, F.lit(f"(?s){SCRIPT_TOKEN}"), F.lit(0))
+
+
+def _argument_spans(tokens: Column) -> Column:
+    """array of struct(first, size): the tokens (from 1) of the argument of each assignment and call that navigates.
 
     A walk over the tokens with the depth of brackets: an argument ends at a comma, a
     semicolon or a line's end outside brackets, or at the bracket that closes the call."""
-    tokens = F.regexp_extract_all(script, F.lit(f"(?s){SCRIPT_TOKEN}"), F.lit(0))
     none = F.array().cast("array<struct<first:int,size:int>>")
     state = lambda at, first, depth, spans: F.struct(at.alias("at"), first.alias("first"), depth.alias("depth"), spans.alias("spans"))
 
@@ -398,9 +409,60 @@ def navigation_arguments(script: Column) -> Column:
         )
 
     start = state(F.lit(0), F.lit(0), F.lit(0), none)
-    spans = F.aggregate(tokens, start, step, lambda s: F.when(s["first"] > 0, span(s, s["at"] + 1)).otherwise(s["spans"]))
-    found = F.transform(spans, lambda s: trimmed(F.array_join(F.slice(tokens, s["first"], s["size"]), "")))
-    return F.when(script.contains("location"), F.filter(found, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    return F.aggregate(tokens, start, step, lambda s: F.when(s["first"] > 0, span(s, s["at"] + 1)).otherwise(s["spans"]))
+
+
+def navigation_arguments(script: Column) -> Column:
+    """The argument of each assignment and call of a script that navigates, in order."""
+    arguments = lambda tokens: F.transform(_argument_spans(tokens), lambda s: trimmed(F.array_join(F.slice(tokens, s["first"], s["size"]), "")))
+    found = lambda: F.filter(bound(_script_tokens(script), arguments), lambda x: x != "")
+    return F.when(script.contains("location"), found()).otherwise(F.array().cast("array<string>"))
+
+
+def rewrite_navigation(script: Column, callee: str) -> Column:
+    """script with each assignment and call that navigates as a call of callee with the same argument.
+
+    What is replaced lies between the tokens: a call's name, or an assignment's name and
+    sign, and the bracket after its argument; all else stays byte for byte, arguments after
+    the first too. A statement without an argument stays as it is."""
+    blank = lambda x: x.rlike(r"^[ \t]*$")
+    says_nothing = lambda x: blank(x) | x.rlike(r"^/[/*]")  # noqa: E731 - a comment after the argument may hide a bracket
+
+    def puts(tokens: Column, span: Column) -> Column:
+        """array of struct(at, put): what stands for some of the span's tokens, and for the one before it."""
+
+        def on(flags: Column) -> Column:
+            first = F.array_position(flags, True).cast("int")
+            last = F.size(flags) - F.array_position(F.reverse(flags), True).cast("int")  # from 0
+            at = lambda i, put: F.struct((span["first"] + i).cast("int").alias("at"), put.alias("put"))
+            called = F.element_at(tokens, span["first"] - 1).endswith("(")
+            ahead = F.slice(tokens, span["first"], first - 1)
+            spaces = F.transform(ahead, lambda x, i: at(i, F.when(blank(x), F.lit("")).otherwise(x)))
+            end = at(last, F.concat(F.element_at(tokens, span["first"] + last), F.lit(")")))
+            opening = F.array(at(F.lit(-1), F.lit(f"{callee}(")))
+            return F.when(first > 0, F.when(called, opening).otherwise(F.concat(opening, spaces, F.array(end)))).otherwise(F.array().cast("array<struct<at:int,put:string>>"))
+
+        return bound(F.transform(F.slice(tokens, span["first"], span["size"]), lambda x: ~says_nothing(x)), on)
+
+    def spliced(tokens: Column) -> Column:
+        changes = F.map_from_entries(F.flatten(F.transform(_argument_spans(tokens), lambda s: puts(tokens, s))))
+        return bound(changes, lambda m: F.array_join(F.transform(tokens, lambda x, i: F.coalesce(F.try_element_at(m, i + 1), x)), ""))
+
+    return F.when(script.contains("location"), bound(_script_tokens(script), spliced)).otherwise(script)
+
+
+def rewrite_page_scripts(html: Column, callee: str) -> Column:
+    """html whose inline scripts navigate by a call of callee; tags and the rest stay byte for byte."""
+
+    def changed(token: Column) -> Column:
+        def on(tag: Column) -> Column:
+            end = F.regexp_extract(token, r"(?is)</script(?=[\s/>])[^>]*>$", 0)
+            script = F.substr(token, F.char_length(tag) + 1, F.char_length(token) - F.char_length(tag) - F.char_length(end))
+            return F.when(tag != "", F.concat(tag, rewrite_navigation(script, callee), end)).otherwise(token)
+
+        return F.when(token_name(token) == "script", bound(tag_of(token), on)).otherwise(token)
+
+    return F.array_join(F.transform(tokens_of(html), changed), "")
 
 
 def script_nav_edges(scripts: DataFrame) -> DataFrame:

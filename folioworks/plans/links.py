@@ -183,8 +183,8 @@ def background_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", C.project_background(html).alias("html"))
 
 
-@query(f"""WITH {PAGES_SQL} SELECT archive_id, entry_seq, 'inline' AS kind, unnest(regexp_extract_all(html, '<style>([^<]*)</style>', 1)) AS css FROM e
- UNION ALL SELECT archive_id, entry_seq, 'linked', 'x' || entry_seq || '{{}}' FROM e WHERE entry_seq % 4 = 0""")
+@query(f"""WITH {PAGES_SQL} SELECT archive_id, entry_seq, 'inline' AS kind, '/html/p' || entry_seq AS base, unnest(regexp_extract_all(html, '<style>([^<]*)</style>', 1)) AS css FROM e
+ UNION ALL SELECT archive_id, entry_seq, 'linked', '/css/' || entry_seq || '.css', 'x' || entry_seq || '{{}}' FROM e WHERE entry_seq % 4 = 0""")
 def stylesheet_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The style blocks of pages and the stylesheets that every other page links; every other of these is there."""
     seq = F.col("entry_seq")
@@ -192,7 +192,7 @@ def stylesheet_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = pages(spark, sf_dir)
     made = e.select("archive_id", F.concat(F.lit("/html/p"), seq.cast("string")).alias("path"), F.concat("html", link).alias("html"))
     sheets = e.where(seq % 4 < 2).select("archive_id", F.concat(F.lit("/CSS/"), seq.cast("string"), F.lit(".CSS")).alias("path"), F.concat(F.lit("x"), seq.cast("string"), F.lit("{}")).alias("css"))
-    return C.page_styles(made, sheets).select("archive_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "kind", "css")
+    return C.page_styles(made, sheets).select("archive_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "kind", "base", "css")
 
 
 #: Each page's own style as a sheet that imports the next page's of its host.
@@ -266,6 +266,20 @@ def script_nav_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.script_nav_edges(scripts).select(F.col("path").cast("long").alias("page_id"), "at", "argument", "target")
 
 
+_CALLED = _NAVIGATION.replace("window.location.href = '/t%s.htm'", "go('/t%s.htm')").replace("location.replace('b.htm', 1)", "go('b.htm', 1)").replace("self.location = f(x, 'y')", "go(f(x, 'y'))").replace("location = 'a' + id,", "go('a' + id),")
+_CALLED_SQL = "'" + _CALLED.replace("'", "''").replace("%s", "' || page_id || '") + "'"
+
+
+@query(f"SELECT page_id, regexp_replace(html, '</script>', {_CALLED_SQL} || '</script>') AS html FROM pages")
+def script_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with such statements in their first script, each as a call with the same argument."""
+    before, after = _NAVIGATION.split("%s")
+    added = F.concat(F.lit(before), F.col("page_id").cast("string"), F.lit(after), F.lit("</script>"))
+    first = F.instr("html", "</script>")
+    html = F.when(first > 0, F.concat(F.left("html", first - 1), added, F.substr("html", first + 9))).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", C.rewrite_page_scripts(html, "go").alias("html"))
+
+
 @query(f"WITH {PAGES_SQL}, s AS (SELECT archive_id, entry_seq, entry_seq // 2 * 2 AS t FROM e) SELECT s.archive_id, s.entry_seq, CASE WHEN x.entry_seq % 4 = 0 THEN '/JS/S' || x.entry_seq || '.JS' ELSE '/js/s' || x.entry_seq || '.js' END AS script_path, 'é text ' || x.entry_seq AS text FROM s JOIN e x ON s.archive_id = x.archive_id AND s.t = x.entry_seq")
 def script_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that each name a script; every fourth script is there twice, in other case, and half of them aren't UTF-8."""

@@ -142,6 +142,30 @@ def test_script_navigation(spark):
     assert rows(C.script_nav_edges(df).select("at", "argument", "target"), "at") == [(0, "'x\\n'", "x\n"), (1, "f('y')", None)]
 
 
+def test_navigation_rewritten_in_place(spark):
+    names = ("document.location", "document.location.href", "location.href", "location", "this.location", "window.location", "top.location", "self.location")
+    cases = [(f'{x} = "x";', 'go("x");') for x in names] + [(f'{x}("x");', 'go("x");') for x in ("location.assign", "location.replace")]
+    same = ['if (location.href == "x") {}', 'if (location.href === "x") {}', "var s = \"location.href = 'x'\";", '// location.href = "x";\n', '/* location.href = "x"; */', 'obj.location = "x";', 'location.hash = "#f";', 'location.search = "?x";', "location=", "location.assign()", "no names", "", None]
+    cases += [(x, x) for x in same] + [
+        ('location.href = f("a","b");', 'go(f("a","b"));'), ('location.href="a";location.href="b";', 'go("a");go("b");'), ('location.href = "a" + "b";', 'go("a" + "b");'), ("document.location = url;", "go(url);"),
+        ("a;\n location =  x  // why\n;b", "a;\n go(x)  // why\n;b"), ("location = /* y */ x /* z */;", "go(/* y */x) /* z */;"), ("location.replace('c', 1) ;", "go('c', 1) ;"), ("if(a)location={b:';'}\nc", "if(a)go({b:';'})\nc"), ("location = 'a' , b", "go('a') , b"),
+    ]
+    assert column(spark, lambda s: C.rewrite_navigation(s, "go"), [a for a, _ in cases]) == [b for _, b in cases]
+    page = "<p onclick=\"location='a'\"><SCRIPT x>location='b'</script ><script src=y></script><style>location='c'</style><script>top.location='d'"
+    assert column(spark, lambda h: C.rewrite_page_scripts(h, "go"), [page, None]) == [page.replace("location='b'", "go('b')").replace("top.location='d'", "go('d')"), None]
+
+
+def test_last_of_a_spelling_in_the_archives_order(spark):
+    pages = spark.createDataFrame([("a", 3, "/F.htm", "old?"), ("a", 9, "/f.htm", "new"), ("a", 1, "/x.htm", "<iframe src=F.HTM></iframe>")], "archive_id string, entry_seq int, path string, html string")
+    got = {r.path: r.html for r in C.inline_frames(pages).collect()}
+    assert "new" in got["/x.htm"]
+    turned = pages.withColumn("entry_seq", -F.col("entry_seq"))
+    assert "old?" in {r.path: r.html for r in C.inline_frames(turned).collect()}["/x.htm"]
+    sheets = spark.createDataFrame([("a", 2, "/S.css", "p{}"), ("a", 1, "/s.css", "q{}")], "archive_id string, entry_seq int, path string, css string")
+    linked = spark.createDataFrame([("a", "/x.htm", "<link rel=stylesheet href=s.css>")], "archive_id string, path string, html string")
+    assert [r.css for r in C.page_styles(linked, sheets).collect()] == ["p{}"]
+
+
 def test_deep_nesting_goes_whole(spark):
     forms = "<form>" * 9 + "x" + "</form>y" * 9
     cases = [(forms + "z", "yz"), ("a<FORM><button>b</form>c<select>d</select>", "ac"), ("<object><form><object>1</object>2</form></object>k", "k"), ("a<form>open", "a"), (None, None)]
