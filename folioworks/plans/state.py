@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import requests as Q
 from ..operators import state as R
 from ..sources.entries import upsert_shelf
 from .derived import EVENTS_SQL, messages
@@ -61,6 +62,20 @@ def dedup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dedup_requests(messages(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, q AS (SELECT event_id AS id, path, ts AS t, ts + to_hours(user_id % 30) AS done, event_type <> 'signup' AS kept FROM m WHERE event_type <> 'error'),
+ x AS (SELECT path, ts FROM m WHERE event_type = 'error'),
+ f AS (SELECT q.*, CASE WHEN kept THEN (SELECT min(ts) FROM x WHERE x.path = q.path AND x.ts >= q.done) ELSE done END AS fin FROM q),
+ n AS (SELECT f.*, (SELECT arg_min(g.id, (g.t, g.id)) FROM q g WHERE g.path = f.path AND g.t >= f.fin AND (g.t > f.t OR g.t = f.t AND g.id > f.id)) AS next_id FROM f),
+ c AS (SELECT arg_min(id, (t, id)) AS id FROM q GROUP BY path UNION ALL SELECT n.next_id FROM c JOIN n ON n.id = c.id WHERE n.next_id IS NOT NULL)
+ SELECT q.path, q.id AS event_id, c.id IS NOT NULL AS fetched, last_value(c.id IGNORE NULLS) OVER (PARTITION BY q.path ORDER BY q.t, q.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served_by FROM q LEFT JOIN c ON c.id = q.id""")
+def shared_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests that take some hours, sign-ups of which find nothing; errors throw the path's answer out."""
+    m = messages(spark, sf_dir)
+    done = F.timestamp_micros(F.unix_micros("ts") + F.col("user_id") % 30 * 3_600_000_000)
+    asked = m.where("event_type <> 'error'").select("path", "event_id", "ts", done.alias("done_ts"), (F.col("event_type") != "signup").alias("found"))
+    return Q.fetches(asked, m.where("event_type = 'error'").select("path", "ts"), span=24 * 3600)
+
+
 @query(f"WITH {EVENTS_SQL}, c AS (SELECT *, lag(archive_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM m) SELECT event_id, user_id, archive_id AS path FROM c WHERE archive_id IS DISTINCT FROM was")
 def path_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir).withColumn("path", F.col("archive_id"))
