@@ -247,17 +247,22 @@ def rewrite_refs(pages: DataFrame, urls: DataFrame) -> DataFrame:
     return joined.withColumn("html", F.when(F.col("urls").isNotNull(), in_tags(F.col("html"), in_tag)).otherwise(F.col("html"))).drop("urls")
 
 
+def _projected(tag: Column, url: Column) -> Column:
+    """A tag with its background as an inline style of this url, beside the style that it has."""
+    style = F.regexp_replace(F.coalesce(attribute(tag, "style"), F.lit("")), r"(?i)(?:^|(?<=;))\s*background-image\s*:[^;]*;?", "")
+    style = F.regexp_replace(style, r"[\s;]+$", "")
+    image = F.concat(F.lit("background-image:url('"), F.replace(url, F.lit("'"), F.lit("%27")), F.lit("')"))
+    both = F.when(style == "", image).otherwise(F.concat(style, F.lit(";"), image))
+    return with_attributes(without(tag, "background", "style"), F.lit(" style="), quoted(both))
+
+
 def project_background(html: Column) -> Column:
     """A background attribute with an archive's file as an inline style, beside the style that the tag has."""
 
     def change(tag: Column) -> Column:
         url = attribute(tag, "background")
-        style = F.regexp_replace(F.coalesce(attribute(tag, "style"), F.lit("")), r"(?i)(?:^|(?<=;))\s*background-image\s*:[^;]*;?", "")
-        style = F.regexp_replace(style, r"[\s;]+$", "")
-        image = F.concat(F.lit("background-image:url('"), F.replace(url, F.lit("'"), F.lit("%27")), F.lit("')"))
-        both = F.when(style == "", image).otherwise(F.concat(style, F.lit(";"), image))
         inside = (url != "") & ~is_external(url) & ~url.startswith("blob:")
-        return F.when(inside, with_attributes(without(tag, "background", "style"), F.lit(" style="), quoted(both))).otherwise(tag)
+        return F.when(inside, _projected(tag, url)).otherwise(tag)
 
     return in_tags(html, change)
 
@@ -331,6 +336,96 @@ def css_urls(sheets: DataFrame) -> DataFrame:
     return rows.where(inner).select("archive_id", "path", "raw", normalize_path(F.col("path"), F.col("raw")).alias("target")).where(F.col("target").isNotNull()).distinct()
 
 
+def _put_urls(css: Column) -> Column:
+    """css with each url(...) that the row's map `urls` knows replaced."""
+    put = lambda x: F.coalesce(F.when(x.rlike(rf"^{URL_REFERENCE}$"), F.concat(F.lit('url("'), F.try_element_at("urls", _url_value(x)), F.lit('")'))), x)
+    return F.array_join(F.transform(F.regexp_extract_all(css, F.lit(URL_PIECE), F.lit(0)), put), "")
+
+
+def _first_value(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of this name; null without it."""
+    return piece_value(F.try_element_at(F.filter(attribute_pieces(tag), lambda p: piece_name(p) == name), F.lit(1)))
+
+
+def _is_asset(raw: Column) -> Column:
+    """Whether a reference means a file of the archive."""
+    return (raw != "") & ~is_external(raw) & ~F.lower(trimmed(raw)).rlike("^(?:blob|data):")
+
+
+def _image_source(tag: Column) -> Column:
+    """What an image or an image button shows; null for any other tag."""
+    name = token_name(tag)
+    return F.when((name == "img") | ((name == "input") & (F.lower(_first_value(tag, "type")) == "image")), _first_value(tag, "src"))
+
+
+def asset_references(pages: DataFrame) -> DataFrame:
+    """(archive_id, path, raw, target), distinct: the files of the archive that pages(archive_id, path, html) show, as
+    images, image buttons, backgrounds, and by url() in a style attribute."""
+
+    def shown(tag: Column) -> Column:
+        style = F.coalesce(_first_value(tag, "style"), F.lit(""))
+        urls = F.transform(F.regexp_extract_all(style, F.lit(URL_REFERENCE), F.lit(0)), _url_value)
+        return F.concat(F.array(_image_source(tag), _first_value(tag, "background")), urls)
+
+    may = r"(?is)^<(?:img|input)(?=[\s/>])|^<[a-z].*(?:background|url\s*\()"
+    tags = F.filter(F.transform(F.filter(tokens_of(F.col("html")), lambda t: t.rlike("^<[a-zA-Z]")), tag_of), lambda t: t.rlike(may))
+    raws = pages.select("archive_id", "path", F.explode(F.array_distinct(F.flatten(F.transform(tags, shown)))).alias("raw"))
+    return raws.where(_is_asset(F.col("raw"))).withColumn("target", normalize_path(F.col("path"), F.col("raw"))).where("target is not null")
+
+
+def put_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
+    """pages(archive_id, path, html) with the files that they show replaced by the addresses of
+    assets(archive_id, path, url), and what is missing marked.
+
+    Files are found without regard to case; of one path's entries the last of the archive
+    wins. Images and image buttons load late; one whose file is missing loses its source,
+    and says `[missing: source]` in place of an empty or no alternative text. A background
+    becomes an inline style, or goes if its file is missing; url() of a missing file in a
+    style stays. References outside, and those that are data already, stay.
+
+    Pages' references are joined by (archive, file), so an image of many pages is a key that
+    the adaptive join can split, and come back as one map a page; the page is rewritten in
+    one pass. Pages are one row a path; a null page stays null, and an asset without url is
+    missing."""
+    wanted = asset_references(pages).withColumn("target_key", F.lower("target"))
+    # written, as rows from explode have no size to plan a join by
+    wanted = written(wanted.select("archive_id", "path", "raw", "target_key"), "shown")
+    known = last_per_key(assets, [F.col("archive_id"), F.lower("path")], _directory_order(assets)).where("url is not null")
+    known = known.select("archive_id", F.lower("path").alias("target_key"), "url")
+    urls = url_maps(matched(wanted, known, ["archive_id", "target_key"]).select("archive_id", "path", "raw", "url"))
+    url_of = lambda raw: F.try_element_at("urls", raw)
+    inside = lambda raw: _is_asset(raw) & normalize_path(F.col("path"), raw).isNotNull()
+    late = F.lit(' loading="lazy"')
+
+    # values that are used more than once are bound: what they are made of is large
+    def image(tag: Column, src: Column) -> Column:
+        marked = lambda bare: with_attributes(bare, F.lit(" alt="), quoted(F.concat(F.lit("[missing: "), src, F.lit("]"))), late)
+        plain = lambda: bound(without(tag, "src", "loading"), lambda bare: with_attributes(bare, late))
+        missing = F.when(F.coalesce(_first_value(tag, "alt"), F.lit("")) == "", bound(without(tag, "src", "loading", "alt"), marked)).otherwise(plain())
+        found = lambda bare: with_attributes(bare, F.lit(" src="), quoted(url_of(src)), late)
+        return F.when(url_of(src).isNotNull(), bound(without(tag, "src", "loading"), found)).otherwise(missing)
+
+    def styled(tag: Column) -> Column:
+        def put(style: Column) -> Column:
+            own = lambda bare, new: with_attributes(bare, F.lit(" style="), quoted(new))
+            change = lambda new: F.when(new != style, bound(without(tag, "style"), lambda bare: own(bare, new))).otherwise(tag)
+            return F.when(style.rlike(r"(?i)url\s*\("), bound(_put_urls(style), change)).otherwise(tag)
+
+        return F.when(tag.rlike(r"(?is)\sstyle|/style|[\"']style"), bound(_first_value(tag, "style"), put)).otherwise(tag)
+
+    def grounded(tag: Column) -> Column:
+        def put(raw: Column) -> Column:
+            return F.when(inside(raw), F.when(url_of(raw).isNotNull(), _projected(tag, url_of(raw))).otherwise(without(tag, "background"))).otherwise(tag)
+
+        return F.when(tag.rlike("(?i)background"), bound(_first_value(tag, "background"), put)).otherwise(tag)
+
+    def change(tag: Column) -> Column:
+        shown = lambda: bound(_image_source(tag), lambda src: F.when(inside(src), image(tag, src)).otherwise(tag))
+        return bound(bound(F.when(tag.rlike(r"(?i)^<(?:img|input)(?=[\s/>])"), shown()).otherwise(tag), styled), grounded)
+
+    return matched(pages, urls, ["archive_id", "path"], "left").withColumn("html", in_tags(F.col("html"), change)).drop("urls")
+
+
 def expand_css(sheets: DataFrame, urls: DataFrame, levels: int = 4) -> DataFrame:
     """sheets(archive_id, path, css) with `whole`: the sheet with what it imports in place of its
     import rules, `levels` deep, and each url(...) that urls(archive_id, path, raw, url) knows
@@ -339,9 +434,7 @@ def expand_css(sheets: DataFrame, urls: DataFrame, levels: int = 4) -> DataFrame
     Each sheet's references are resolved against the sheet that holds them: first its own
     urls, then a join a level that puts the imported sheets in as they have become."""
     sheets = sheets.dropDuplicates(["archive_id", "path"])
-    put_url = lambda x: F.coalesce(F.when(x.rlike(rf"^{URL_REFERENCE}$"), F.concat(F.lit('url("'), F.try_element_at("urls", _url_value(x)), F.lit('")'))), x)
-    in_piece = lambda piece: F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(URL_PIECE), F.lit(0)), put_url), "")
-    with_urls = F.array_join(F.transform(_import_pieces(F.col("css")), lambda x: F.when(x.rlike("(?i)^@import"), x).otherwise(in_piece(x))), "")
+    with_urls = F.array_join(F.transform(_import_pieces(F.col("css")), lambda x: F.when(x.rlike("(?i)^@import"), x).otherwise(_put_urls(x))), "")
     own = matched(sheets, url_maps(urls), ["archive_id", "path"], "left")
     # written, as each level reads it twice
     own = written(own.select("archive_id", "path", F.when(F.col("urls").isNotNull(), with_urls).otherwise(F.col("css")).alias("own")), "sheets")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import escaped
 from ..operators import content as C
 from ..operators import graph as G
+from ..sources.entries import data_url
 from .derived import PAGES_SQL, pages
 from .registry import query, table
 
@@ -195,6 +196,27 @@ def stylesheet_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.page_styles(made, sheets).select("archive_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("entry_seq"), "kind", "base", "css")
 
 
+#: What becomes of the images of asset_inline: u is the address, null where the file is missing.
+_SHOWN = """'<nav style="color:red' || CASE WHEN u IS NULL THEN '' ELSE ';background-image:url(' || chr(39) || u || chr(39) || ')' END || '"><IMG' || CASE WHEN u IS NULL THEN ' alt="[missing: ../img/p' || n || '.gif]"' ELSE ' alt="" src="' || u || '"' END
+ || ' loading="lazy"><img alt=x' || CASE WHEN u IS NULL THEN '' ELSE ' src="' || u || '"' END || ' loading="lazy"><img src="http://h/x.gif"><input type=IMAGE' || CASE WHEN u IS NULL THEN ' alt="[missing: /img/p' || n || '.gif]"' ELSE ' src="' || u || '"' END
+ || ' loading="lazy"><p style="a:' || CASE WHEN u IS NULL THEN 'URL( ' || chr(39) || '../img/p' || n || '.gif' || chr(39) || ' )' ELSE 'url(&quot;' || u || '&quot;)' END || ';b:url(data:x)">'"""
+
+
+@query(f"""WITH {PAGES_SQL}, a AS (SELECT *, entry_seq AS n, CASE WHEN entry_seq % 2 = 0 THEN 'data:image/gif;base64,' || base64(encode(path)) END AS u FROM e)
+ SELECT archive_id, entry_seq, replace(html, '<nav>', {_SHOWN}) AS html FROM a""")
+def asset_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page shows an image in five ways; every other page's image is there, under a name of other case."""
+    e = pages(spark, sf_dir)
+    n = F.col("entry_seq").cast("string")
+    shown = F.concat(
+        F.lit('<nav background="../img/p'), n, F.lit('.gif" style="color:red"><IMG alt="" SRC=../img/p'), n, F.lit(".gif><img alt=x src='/img/p"), n, F.lit(".gif#t'><img src=\"http://h/x.gif\">"),
+        F.lit('<input type=IMAGE src="/img/p'), n, F.lit('.gif" loading=eager><p style="a:URL( \'../img/p'), n, F.lit(".gif' );b:url(data:x)\">"),
+    )
+    made = e.select("archive_id", "entry_seq", F.concat(F.lit("/html/p"), n, F.lit(".htm")).alias("path"), F.replace("html", F.lit("<nav>"), shown).alias("html"))
+    there = e.where("entry_seq % 2 = 0").select("archive_id", "entry_seq", F.concat(F.lit("/IMG/P"), n, F.lit(".GIF")).alias("path"), data_url(F.lit("image/gif"), F.encode("path", "UTF-8")).alias("url"))
+    return C.put_assets(made, there).select("archive_id", "entry_seq", "html")
+
+
 #: Each page's own style as a sheet that imports the next page's of its host.
 _SHEETS_SQL = PAGES_SQL + """, w AS (SELECT archive_id, entry_seq, array_to_string(regexp_extract_all(html, '<style>([^<]*)</style>', 1), '') AS own, lead(entry_seq) OVER (PARTITION BY archive_id ORDER BY entry_seq) AS s1 FROM e)"""
 
