@@ -191,13 +191,12 @@ def with_attributes(tag: Column, *added: Column) -> Column:
 
 
 def harden_links(html: Column) -> Column:
-    """html whose links out of the archive open apart, without access to the opener and without a
-    referrer, whatever target they had; links inside it lose their target, script links stay."""
+    """html whose links out of the archive, script links among them, open apart, without access to the
+    opener and without a referrer, whatever target they had; links inside it lose their target."""
     href = lambda tag: attribute(tag, "href")
     is_link = lambda tag: tag.rlike(r"(?i)^<\s*a\b") & (href(tag) != "")
-    is_script = lambda tag: trimmed(href(tag)).rlike("(?i)^(?:javascript|vbscript):")
     apart = lambda tag: with_attributes(without(tag, "target", "rel"), F.lit(' target="_blank" rel="noopener noreferrer"'))
-    change = lambda tag: F.when(is_link(tag) & ~is_script(tag), F.when(is_external(href(tag)), apart(tag)).otherwise(without(tag, "target"))).otherwise(tag)
+    change = lambda tag: F.when(is_link(tag), F.when(is_external(href(tag)), apart(tag)).otherwise(without(tag, "target"))).otherwise(tag)
     return in_tags(html, change)
 
 

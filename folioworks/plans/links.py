@@ -54,11 +54,16 @@ def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classify_links(refs).groupBy("archive_id", "link_class").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, '<a href="/([^"]*)">', '<a href="HTTP://h/\\1" target="_blank" rel="noopener noreferrer">', 'g') ELSE html END AS html FROM pages""")
+_APART = """regexp_replace(html, '<a href="/([^"]*)">', '<a href="{0}\\1" target="_blank" rel="noopener noreferrer">', 'g')"""
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_APART.format('HTTP://h/')} WHEN page_id % 4 = 1 THEN {_APART.format(' JavaScript:')} ELSE html END AS html FROM pages")
 def harden_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of every other page go outward, with a target and a rel of their own; the others have a target inside."""
+    """Links of every other page go outward, with a target and a rel of their own; those of every fourth run a script; the others have a target inside."""
     outward = F.replace("html", F.lit('<a href="/'), F.lit('<a target=_self rel=\'x y\' href="HTTP://h/'))
-    html = F.when(F.col("page_id") % 2 == 0, outward).otherwise(F.replace("html", F.lit('<a href="/'), F.lit('<a TARGET="_top" href="/')))
+    script = F.replace("html", F.lit('<a href="/'), F.lit('<a target=q href=" JavaScript:'))
+    inside = F.replace("html", F.lit('<a href="/'), F.lit('<a TARGET="_top" href="/'))
+    html = F.when(F.col("page_id") % 2 == 0, outward).when(F.col("page_id") % 4 == 1, script).otherwise(inside)
     return table(spark, sf_dir, "pages").select("page_id", C.harden_links(html).alias("html"))
 
 

@@ -176,7 +176,7 @@ def test_hardened_links(spark):
     cases = [
         ('<a target="_self" rel=x href="http://x">', '<a href="http://x" target="_blank" rel="noopener noreferrer">'),
         ("<A HREF=mailto:x target />", '<A HREF=mailto:x target="_blank" rel="noopener noreferrer"/>'),
-        ('<a href="/in" target=_top>', '<a href="/in">'), ('<a href="javascript:x()" target=q>', '<a href="javascript:x()" target=q>'), ('<area href="http://x">', '<area href="http://x">'),
+        ('<a href="/in" target=_top>', '<a href="/in">'), ('<a href="javascript:x()" target=q>', '<a href="javascript:x()" target="_blank" rel="noopener noreferrer">'), ('<area href="http://x">', '<area href="http://x">'),
     ]
     assert column(spark, C.harden_links, [a for a, _ in cases]) == [b for _, b in cases]
 
