@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -15,6 +16,7 @@ from folioworks.llm import decontaminate as D
 from folioworks.llm import fingerprints as FP
 from folioworks.llm import hmm as H
 from folioworks.llm import language as L
+from folioworks.llm.hashing import STEP, mixed
 from folioworks.llm import neardup as ND
 from folioworks.llm import packing as PK
 from folioworks.llm import quality as Q
@@ -557,6 +559,44 @@ def test_op8_odd(spark, odd, empty):
 # 9
 
 
+def test_op9_by_a_plain_statement(spark):
+    """Language and score of every document, from its words' grams one by one."""
+    rows = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    model = L.learn(rows, F.lit(True), per_language=40)
+    got = L.predict(rows, model, ["doc_id", "text"]).collect()
+    mask, step = (1 << 64) - 1, int(STEP)
+    mix = functools.cache(lambda x: int(mixed(np.array([x], np.uint64))[0]))
+
+    @functools.cache
+    def gain(word):
+        letters = "".join(c for c in word.lower() if c.isalpha())
+        if not letters:
+            return np.zeros(len(model.languages)), 0
+        marked = f"<{letters}>"
+        grams = [marked[i : i + k] for k in (2, 3, 4) for i in range(len(marked) - k + 1)]
+        buckets = []
+        for gram in grams:
+            h = len(gram)
+            for c in gram:
+                h = mix((h * step + ord(c)) & mask)
+            buckets.append(h % L.BUCKETS)
+        whole = mix(sum(mix((ord(c) + i * step) & mask) for i, c in enumerate(marked)) & mask)
+        buckets.append(whole % L.BUCKETS)
+        return model.gains[buckets].astype(float).sum(axis=0), len(buckets)
+
+    assert len(got) == rows.count()
+    for r in got:
+        parts = [gain(w) for w in (r.text or "").split()]
+        n = sum(k for _, k in parts)
+        if not n:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        z = (sum(g for g, _ in parts) / n + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == model.languages[int(p.argmax())] and math.isclose(r.score, p.max(), rel_tol=1e-5)
+        assert r.rejected == (r.score < model.reject_below)
+
+
 def test_op9(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op9_subword_language"](spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").toPandas()
