@@ -61,16 +61,21 @@ def fetches(requests: DataFrame, evictions: DataFrame, span: int = 3600) -> Data
     start, end = F.unix_micros("ts"), F.unix_micros("done_ts")
     asked = asked.select(F.lower("path").alias("key"), "path", F.col("event_id").cast("long").alias("id"), start.alias("start"), F.greatest(start, F.coalesce(end, F.lit(NEVER))).alias("done"), F.coalesce("found", F.lit(False)).alias("kept"))
     out = evictions.where("path is not null and ts is not null").select(F.lower("path").alias("key"), F.unix_micros("ts").alias("at"), F.lit(0).cast("long").alias("no"))
-    waits = asked.withColumns({"at": F.col("done"), "no": F.lit(FIRST)})
-    ended = _first_after(waits, out, "gone", span_us)
-    over = F.when(F.col("kept"), F.coalesce("gone.at", F.lit(NEVER))).otherwise(F.col("done"))
-    ended = written(ended.select("key", "path", F.col("start").alias("at"), F.col("id").alias("no"), over.alias("over")), "ends")
+    # what is never answered, or not kept, has its end already: it isn't looked up, so these don't meet in one slice
+    looked = F.col("kept") & (F.col("done") < NEVER)
+    gone = _first_after(asked.where(looked).withColumns({"at": F.col("done"), "no": F.lit(FIRST)}), out, "gone", span_us)
+    ended = gone.withColumn("over", F.coalesce("gone.at", F.lit(NEVER))).unionByName(asked.where(~looked).withColumn("over", F.col("done")), allowMissingColumns=True)
+    ended = written(ended.select("key", "path", F.col("start").alias("at"), F.col("id").alias("no"), "over"), "ends")
 
     lined = _along(ended.withColumn("slice", F.expr(f"at div {span_us}")), F.col("over"), "latest", ("at", "no"))
     lined = written(lined.select("key", "path", "at", "no", "over", (F.col("latest").isNull() | (F.col("at") >= F.col("latest"))).alias("head")), "islands")
-    at_once = F.col("over") <= F.col("at")
-    points = lined.where(F.col("over") < NEVER).select("key", F.col("no").alias("id"), F.when(at_once, F.col("at")).otherwise(F.col("over")).alias("at"), F.when(at_once, F.col("no")).otherwise(F.lit(FIRST)).alias("no"))
-    following = _first_after(points, lined, "next", span_us, "head").where("next is not null and not next.head")
+    # all that one eviction ends have the same successor, which is looked up once
+    later = lined.where((F.col("over") > F.col("at")) & (F.col("over") < NEVER)).select("key", F.col("no").alias("id"), "over")
+    times = later.select("key", F.col("over").alias("at"), F.lit(FIRST).alias("no")).distinct()
+    times = written(_first_after(times, lined, "next", span_us, "head").select("key", F.col("at").alias("over"), "next"), "times")
+    at_once = lined.where("over <= at").select("key", "at", "no", F.col("no").alias("id"))
+    following = later.join(times.hint("merge"), ["key", "over"]).select("key", "id", "next")
+    following = following.unionByName(_first_after(at_once, lined, "next", span_us, "head").select("key", "id", "next")).where("next is not null and not next.head")
     jumps = written(following.select("key", "id", F.col("next.no").alias("to")), "jumps")
     fetched = written(lined.where("head").select("key", F.col("no").alias("id")), "fetched")
     while True:
@@ -82,7 +87,7 @@ def fetches(requests: DataFrame, evictions: DataFrame, span: int = 3600) -> Data
         both = written(fetched.unionByName(more), "fetched")
         discard(more, jumps, fetched)
         fetched, jumps = both, twice
-    discard(more, jumps, ended)
+    discard(more, jumps, ended, times)
 
     marked = fetched.select("key", F.col("id").alias("no"), F.lit(True).alias("own"))
     known = lined.join(marked.hint("merge"), ["key", "no"], "left").withColumn("slice", F.expr(f"at div {span_us}"))
