@@ -289,15 +289,23 @@ def encoding_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(pages(spark, sf_dir))
 
 
-#: Pages with other charsets, a mark alone, nothing that tells, or bytes that are none, by number.
+_ALIAS_SQL = "MAP {" + ", ".join(f"'{name}': '{charset}'" for name, charset in enc.ALIASES.items()) + "}"
+
+#: Pages with other charsets, a mark alone, nothing that tells, or bytes that are none, by number. A declaration counts in
+#: the first 2,048 bytes, the shape is that of the whole characters in the first 64 KiB, and the byte that is none ends the page.
+#: Signs are counted as UTF-8's, so markup that isn't ASCII and declares another charset by its own letters is beyond this SQL.
 _MIXED = r"""p AS (SELECT archive_id, entry_seq % 5 AS k, CASE WHEN entry_seq % 5 < 2 THEN html ELSE regexp_replace(html, 'charset', 'x', 'g') END AS t FROM e),
  m AS (SELECT archive_id, k, CASE WHEN k = 1 THEN regexp_replace(replace(t, '"utf-8"', 'GB2312'), '[^\x00-\x7F]', '', 'g') ELSE t END AS t FROM p),
- x AS (SELECT archive_id, k, length(t) + CASE WHEN k = 4 THEN 1 ELSE 0 END AS chars, CASE WHEN k = 4 THEN 1 ELSE 0 END AS marks, regexp_matches(t, '[^\x00-\x7F]') AS several FROM m),
- y AS (SELECT archive_id, chars, marks, CASE WHEN k IN (0, 2) OR k = 3 AND several THEN 'utf-8' WHEN k = 1 THEN 'gbk' END AS encoding,
- CASE WHEN k < 2 THEN 'meta' WHEN k = 2 THEN 'bom' WHEN k = 3 AND several THEN 'heuristic' END AS source, CASE WHEN k = 4 THEN 'invalid' WHEN k = 2 OR several THEN 'multibyte' ELSE 'ascii' END AS class FROM x)"""
+ c AS (SELECT archive_id, k, CASE WHEN k = 2 THEN chr(65279) || t ELSE t END AS t FROM m),
+ h AS (SELECT *, left(regexp_replace(regexp_replace(regexp_replace(left(t, 2048), '[\x{80}-\x{7FF}]', '||', 'g'), '[\x{800}-\x{FFFF}]', '|||', 'g'), '[\x{10000}-\x{10FFFF}]', '||||', 'g'), 2048) AS head FROM c),
+ x AS (SELECT archive_id, k, """ + _ALIAS_SQL + r"""[lower(regexp_extract(head, '(?i)charset[\s\x0B]*=[\s\x0B]*["'']?[\s\x0B]*(\w[\w.:-]*)', 1))] AS meta, starts_with(t, chr(65279)) AS bom,
+ length(t) - CASE WHEN starts_with(t, chr(65279)) THEN 1 ELSE 0 END + CASE WHEN k = 4 THEN 1 ELSE 0 END AS chars, length(t) - length(replace(t, chr(65533), '')) + CASE WHEN k = 4 THEN 1 ELSE 0 END AS marks,
+ CASE WHEN k = 4 AND octet_length(encode(t)) < 65536 THEN 'invalid' WHEN octet_length(encode(regexp_extract(t, '^[\x00-\x7F]*[^\x00-\x7F]'))) BETWEEN 1 AND 65536 THEN 'multibyte' WHEN t IS NOT NULL THEN 'ascii' END AS class FROM h),
+ y AS (SELECT archive_id, chars, marks, CASE WHEN meta IS NOT NULL THEN meta WHEN bom OR class = 'multibyte' THEN 'utf-8' END AS encoding,
+ CASE WHEN meta IS NOT NULL THEN 'meta' WHEN bom THEN 'bom' WHEN class = 'multibyte' THEN 'heuristic' END AS source, class FROM x)"""
 
 
-@query(f"""WITH {PAGES_SQL}, {_MIXED} SELECT archive_id, encoding, source, class, CAST(grouping_id(archive_id, encoding, source, class) AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS documents, sum(marks) / sum(chars) AS replaced
+@query(f"""WITH {PAGES_SQL}, {_MIXED} SELECT archive_id, encoding, source, class, CAST(grouping_id(archive_id, encoding, source, class) AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS documents, sum(marks) / nullif(sum(chars), 0) AS replaced
  FROM y GROUP BY CUBE (archive_id, encoding, source, class)""")
 def encoding_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as they are, in another charset, with a mark only, with neither, and with a byte that is none."""

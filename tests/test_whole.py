@@ -4,6 +4,7 @@ import random
 import re
 from hashlib import sha256
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,15 @@ def test_scripts_are_bounded(spark, run, tmp_path):
     assert sorted((r[1], r[3]) for r in toc if r[0] == "hot") == [(n, f"/txt/f{i}.TXT") for n, i in enumerate(kept)]
     scripts = _scripts(spark, str(tmp_path)).select("archive_id", "path", F.size(F.split("text", "\n")).alias("n")).collect()
     assert len(scripts) == 8 and max(r.n for r in scripts) <= 1001
+
+
+def test_encoding_cube_by_samples(run, tmp_path):
+    """Query and SQL go by the same samples: pages longer than 64 KiB, characters that lie across its end, late declarations, marks of the page's own."""
+    head = '<meta charset="utf-8">'
+    bodies = ["", None, "<p>ascii", "é�章", head + "x" * 65513 + "é", head + "x" * 65514, head + "x" * 65510 + "章章", "x" * 70000 + "é", head + "é" + "x" * 70000, "é" * 1018 + "charset=utf8 x", " " * 2040 + head, "﻿" + head, "CHARSET = 'klingon'é", "<p CHARSET\x0b= Unicode>"]
+    pages = [(5 * i + k, f"http://h{i}/{k}", html) for i, html in enumerate(bodies) for k in range(5)]
+    got = run("encoding_cube", "pages", pages, "page_id long, url string, html string")
+    want = duckdb.sql(f"WITH pages AS (FROM '{tmp_path}/pages.parquet/*.parquet') {catalog.ORACLE_SQL['encoding_cube'].replace('WITH ', ', ', 1)}").fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str)
+    long = {r[2:4] for r in got if r[0] == "h7" and r[4] == 0}
+    assert ("heuristic", "invalid") not in long and (None, "invalid") not in long and (None, "ascii") in long
