@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .paths import bound
 from .text import unquoted
 
 #: Elements whose content is no markup, and elements without content.
@@ -45,11 +46,6 @@ TOKEN = (
 )
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value made once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def tokens_of(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
 
