@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .hashing import worker_memo
 
@@ -76,11 +79,9 @@ class PieceEncoder:
         except where an apostrophe may decide; the letters are a piece of their own.
         Returns these fronts."""
         memo, old = self.young, self.old
-        wanted = {x for x in pieces if x.isalpha()}
+        wanted = set(filter(str.isalpha, pieces))
         split: list[tuple[str, str, str]] = []
-        for x in pieces:
-            if x in wanted:
-                continue
+        for x in filterfalse(str.isalpha, pieces):
             if not x or x[-1].isspace():
                 memo[x] = None
                 continue
@@ -111,30 +112,37 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [x.split(" ") for x in texts]
-        wanted = set().union(*split)
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words, places, starts = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
         if len(self.young) > self.memo_pieces:
             self.old, self.young = self.young, {}
-        fresh = []
-        for x in wanted.difference(self.young):
-            if x in self.old:
-                self.young[x] = self.old[x]
-            else:
-                fresh.append(x)
+        young, old, fresh = self.young, self.old, []
+        for x in words:
+            if x not in young:
+                if x in old:
+                    young[x] = old[x]
+                else:
+                    fresh.append(x)
         fronts = self.learn(fresh)
-        get, out = self.young.__getitem__, []
-        heads = self.wholes([pieces[0] for pieces in split])
-        for text, pieces, head in zip(texts, split, heads):
-            if len(pieces) == 1:
-                out.append(head)
-            elif not pieces[0] or pieces[0][-1].isspace():
-                out += self.wholes([text])
-            else:
-                try:
-                    out.append(b"".join([head, *map(get, pieces[1:])]))
-                except TypeError:
-                    out += self.wholes([text])
+        known = list(map(young.__getitem__, words))
+        firsts = [words[i] for i in places[starts[:-1]].tolist()]
+        # each distinct piece's ids lie in one array, the texts' first pieces after them; the texts are gathered from it
+        lone = np.fromiter((x is None for x in known), bool, len(known))[places]
+        lone[starts[:-1]] = [x == "" or x[-1].isspace() for x in firsts] & (np.diff(starts) > 1)
+        places[starts[:-1]] = np.arange(len(known), len(known) + len(texts))
+        parts = [x or b"" for x in known] + self.wholes(firsts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begins, held = np.cumsum(sizes) - sizes, sizes[places]
+        ends = np.cumsum(held)
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(begins[places] - ends + held, held) + np.arange(ends[-1])]
+        raw, cuts = ids.tobytes(), (4 * np.append(0, ends)[starts]).tolist()
+        out = [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(np.diff(np.append(0, np.cumsum(lone))[starts])).tolist():
+            out[i] = self.wholes([texts[i]])[0]
         for x in (*fresh, *fronts):
             if len(x) > LONGEST_PIECE:
-                self.young.pop(x, None)
+                young.pop(x, None)
         return out

@@ -817,3 +817,23 @@ def test_held_out_rule(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long")
     for r in df.select("doc_id", crc_remainder("doc_id", 5).alias("m")).collect():
         assert r.m == zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5
+
+
+def test_known_pieces_cost_little(spark):
+    """Occurrences of known pieces are looked up side by side: same ids as the library's, in under 0.15 of its CPU time."""
+    from time import process_time
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(2500).select("text").collect()
+    texts = [r.text or "" for r in rows] + ["", " ", " a", "a ", "a  b", "x \n y", "\n", "don't 's", "<|endoftext|> a"]
+    enc = PieceEncoder(tokenizer_path(BYTE_BPE))
+    first, ours = enc.encode(texts), []
+    for _ in range(5):
+        a = process_time()
+        got = enc.encode(texts)
+        ours.append(process_time() - a)
+    a = process_time()
+    want = enc.wholes(texts)
+    whole = process_time() - a
+    assert first == got == want
+    assert enc.encode([]) == []
+    assert min(ours) < 0.15 * whole
